@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
-from . import bpe, leakage
+from ..tables import latest, table
+from . import bpe, leakage, secrets
 
 
 def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -38,7 +38,35 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(whole).cast("long").alias("n_whole"), F.max("n_words").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_report, p8_found, p8_items)}
+def _fact_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(scan_id, fact_id, properties_json) of each fact's latest delivery; texts that can't hold a secret are null, so
+    that the shuffle by key doesn't carry them."""
+    text = F.when(secrets.may_hold("properties_json"), F.col("properties_json")).alias("properties_json")
+    facts = table(spark, d, "facts").select("scan_id", "fact_id", "ingested_at", text)
+    return latest(facts, ["scan_id", "fact_id"], "ingested_at", ["properties_json"]).where(F.col("properties_json").isNotNull())
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    facts = secrets.found_lines(_fact_texts(spark, d), "properties_json", ["scan_id", "fact_id"], one_line=True)
+    files = secrets.found_lines(table(spark, d, "file_inventory"), "content", ["scan_id", "relative_path"])
+    parts = [x.select(F.lit(name).alias("table_name"), "scan_id", F.col(key).alias("item_key"), "line_no") for name, x, key in (("facts", facts, "fact_id"), ("file_inventory", files, "relative_path"))]
+    return parts[0].unionByName(parts[1].distinct())
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The items that hold secrets, with their texts redacted."""
+    facts = _fact_texts(spark, d).select(F.lit("facts").alias("table_name"), "scan_id", F.col("fact_id").alias("item_key"), F.col("properties_json").alias("text"))
+    files = table(spark, d, "file_inventory").where(secrets.may_hold("content")).select(F.lit("file_inventory").alias("table_name"), "scan_id", F.col("relative_path").alias("item_key"), F.col("content").alias("text"))
+    both = facts.unionByName(files).withColumn("clean", secrets.redacted("text"))
+    return both.where(F.col("clean") != F.col("text")).select("table_name", "scan_id", "item_key", F.col("clean").alias("text")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Items and lines with secrets a scan and table."""
+    return p3_found(spark, d).groupBy("table_name", "scan_id").agg(F.countDistinct("item_key").alias("n_items"), F.count(F.lit(1)).alias("n_lines"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p7_ids, p7_report, p8_found, p8_items)}
 
 _P8 = """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
