@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import bpe, leakage, secrets
+from . import bpe, handwritten, leakage, secrets
 
 
 def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -66,7 +66,27 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("table_name", "scan_id").agg(F.countDistinct("item_key").alias("n_items"), F.count(F.lit(1)).alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p7_ids, p7_report, p8_found, p8_items)}
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "file_inventory"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d).select("scan_id", "relative_path").distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Items that nobody wrote by hand a repository and kind of case."""
+    return _not_handwritten(spark, d).groupBy("repo", "verdict").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+def p4_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts left a repository and type once those of such files are left out."""
+    facts = latest(table(spark, d, "facts").select("scan_id", "fact_id", "ingested_at", "repo", "fact_type", "file_path"), ["scan_id", "fact_id"], "ingested_at", ["repo", "fact_type", "file_path"])
+    drop = p4_found(spark, d).withColumnRenamed("relative_path", "file_path")
+    return facts.join(drop, ["scan_id", "file_path"], "left_anti").groupBy("repo", "fact_type").agg(F.count(F.lit(1)).alias("n_facts"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p7_ids, p7_report, p8_found, p8_items)}
 
 _P8 = """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
