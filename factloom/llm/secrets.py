@@ -43,13 +43,16 @@ Q = r"(?:\\?[\"'`]|&quot;|&#34;|&apos;|&#39;)"
 IDENT = r"[A-Za-z_][\w.:\-]*"
 _CRED_WORD = r"(?:pass(?:word|wd|wort|phrase)?|pwd|pw|psw|kennwort|contrase[nñ]a|mot[_\- ]?de[_\- ]?passe|senha|secret|token|credential|login|auth|key|jwt|bearer|sig|\.DSN|_DSN)"
 
-#: Cheap test, also for the JVM: a text without any of these has no secret.
+#: Where a line may hold a secret; a text without any of these has none.
 CANDIDATE = r"(?i)pass|pwd|\bpw\b|_pw\b|kennwort|contrase|senha|parola|secret|(?<!cancellation)token|credential|login|auth(?!or)|[a-z_-]key\b|jwt|bearer|basic |sig=|://[^/\s\"']{1,80}:[^/\s\"']{1,80}@|thin:|PRIVATE KEY-----|\beyJ[A-Za-z0-9_-]{8}|\bAKIA[A-Z0-9]{12}|\bgh[a-z]_|\bxox[a-z]-|\bAIza|/hooks?/|identified"
+#: The same, or more, for the JVM: pieces of lower-case texts, and a pattern for the pieces that are common in code.
+PIECES = ("pass", "pwd", "kennwort", "contrase", "senha", "parola", "secret", "credential", "login", "jwt", "bearer", "basic ", "sig=", "thin:", "private key-----", "eyj", "akia", "xox", "aiza", "/hook", "identified", "gho_", "ghp_", "ghs_", "ghu_", "ghr_")
+COMMON = r"[a-z_-]key\b|auth(?!or)|\bpw\b|_pw\b|(?<!cancellation)token|://[^/\s\"']{1,80}:[^/\s\"']{1,80}@"
 
 # What follows is one list of (name, pattern); group "v" is the value, "k" the key that gives the context.
 _PATTERNS = (
     # "key": "value", key = "value", key="X" value="value", key => "value"
-    *(("pair", rf"(?<![\w])(?:{Q})?(?P<k>{IDENT})(?:{Q})?\s*(?::|=>?|:=)\s*(?:@|N(?=')|b(?=[\"'])|r(?=[\"']))?(?<!\\){q}(?P<v>(?:(?!{q}|\n).)*){q}") for q in ('(?<!\\\\)"', "'", "`", '\\\\"', "&quot;", "&#34;", "&apos;", "\\\\'")),
+    *((f"pair {need}", rf"(?<![\w])(?:{Q})?(?P<k>{IDENT})(?:{Q})?\s*(?::|=>?|:=)\s*(?:@|N(?=')|b(?=[\"'])|r(?=[\"']))?(?<!\\){q}(?P<v>(?:(?!{q}|\n).)*){q}") for q, need in (('(?<!\\\\)"', '"'), ("'", "'"), ("`", "`"), ('\\\\"', '\\"'), ("&quot;", "&quot;"), ("&#34;", "&#34;"), ("&apos;", "&apos;"), ("\\\\'", "\\'"))),
     ("attr", rf"\b(?:key|name)\s*=\s*(?P<q1>[\"'])(?P<k>[^\"'\n]*)(?P=q1)\s+(?:value|connectionString)\s*=\s*(?P<q>[\"'])(?P<v>[^\"']*)(?P=q)"),
     ("attr", rf"\b(?:value|connectionString)\s*=\s*(?P<q>[\"'])(?P<v>[^\"']*)(?P=q)\s+(?:key|name)\s*=\s*(?P<q1>[\"'])(?P<k>[^\"'\n]*)(?P=q1)"),
     ("named", r"\"(?:key|name)\"\s*:\s*\"(?P<k>[^\"\n]*)\"(?:\s*,\s*\"[^\"\n]*\"\s*:\s*\"[^\"\n]*\")*?\s*,\s*\"value\"\s*:\s*\"(?P<v>(?:\\.|[^\"\\])*)\""),
@@ -84,7 +87,7 @@ _PATTERNS = (
 )
 # Texts of which a line must hold one (lower case) for a rule to be tried.
 _NEEDS = {"pair": ("=", ":"), "attr": ("value", "connectionstring"), "call": ("(",), "couple": ("login", "credential", "auth", "account"), "joined": ("+",), "inner": ("=",), "userinfo": ("@",), "hook": ("hook",), "env": ("=",), "option": ("-",), "sql": ("password", "identified"), "told": ("login", "credential", "account", "pass", "set ", "pwd", "token", "secret", "key"), "basic": ("basic",), "bearer": ("bearer",), "header": ("x-", "api-key")}
-_RULES = [(n, _NEEDS[n], re.compile(p, re.M if n == "env" else re.I | re.M)) for n, p in _PATTERNS if n != "named"]
+_RULES = [(n.split()[0], (n.split()[1],) if " " in n else _NEEDS[n], re.compile(p, re.M if n == "env" else re.I | re.M)) for n, p in _PATTERNS if n != "named"]
 _NAMED = [re.compile(p, re.I) for n, p in _PATTERNS if n == "named"]
 _LINE = re.compile(CANDIDATE)
 # Shapes of well-known tokens.
@@ -155,6 +158,7 @@ def dictionary(path: str) -> Dictionary:
     return Dictionary(words)
 
 
+@lru_cache(maxsize=20_000)
 def key_strength(key: str) -> int:
     """2: the key names a secret; 1: it may (an unspecified key); 0: it names something else."""
     words = [w.lower() for w in _SPLIT.findall(key)]
@@ -190,8 +194,11 @@ class Scanner:
             return False  # other rules see to these
         if re.search(r"(?i)\b(?:password|pwd|accountkey|sharedaccesskey|pass)\s*(?:=|&quot;|\\?[\"']\s*:)", v) or re.search(r"://[^/\s]*:[^/\s]*@|://\S*[?&]|thin:\S+/\S+@", v):
             return False  # a longer text with a secret inside
+        mixed = bool(re.search(r"\d|[^\w\s.:/-]", v))
+        if mixed and strength == 2 and " " not in v and not re.fullmatch(r"[A-Z]\w*(?::[A-Z]\w*)+", v):
+            return True  # no text of words, whatever the dictionary explains
         found, rest = self._explained(v)
-        if rest <= RESIDUAL and not re.search(r"\d|[^\w\s.:/-]", v):
+        if rest <= RESIDUAL and not mixed:
             if any(w in NAMES for w in found):
                 return False
             parts = [p for p in re.split(r"[-_. ]", v) if p]
@@ -310,7 +317,11 @@ def scanner(path: str) -> Scanner:
 
 def may_hold(text: Column | str) -> Column:
     """The JVM's cheap test that spares Python most rows."""
-    return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(CANDIDATE), F.lit(False))
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    test = low.contains(PIECES[0])
+    for piece in PIECES[1:]:
+        test = test | low.contains(piece)
+    return F.coalesce(test | low.rlike(COMMON), F.lit(False))
 
 
 def found_lines(df: DataFrame, text: str, keys: list[str], one_line: bool = False, words: str | None = None) -> DataFrame:
