@@ -97,8 +97,8 @@ def minified(text: str, kind: str) -> bool:
     longest = max(map(len, lines), default=0)
     if longest < 250:
         return False
-    heavy = sum(len(x) for x in lines if len(x) >= 250)
-    spaces = sum(x.count(" ") for x in lines if len(x) >= 250)
+    heavy = sum(len(x) for x in lines if len(x) >= 150)
+    spaces = sum(x.count(" ") for x in lines if len(x) >= 150)
     words = _STRING.sub("", code)
     return heavy > 0.7 * len(code.strip()) and spaces < 0.16 * heavy and len(re.findall(r"[;{}(),]", words)) > 0.08 * len(words)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import bpe, handwritten, leakage, secrets
+from . import bpe, handwritten, leakage, parsing, secrets
 
 
 def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -86,7 +86,15 @@ def p4_facts(spark: SparkSession, d: str) -> DataFrame:
     return facts.join(drop, ["scan_id", "file_path"], "left_anti").groupBy("repo", "fact_type").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p7_ids, p7_report, p8_found, p8_items)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.judged(table(spark, d, "file_inventory")).where(~F.col("ok")).select("scan_id", "relative_path").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.rates(parsing.judged(table(spark, d, "file_inventory")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items)}
 
 _P8 = """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
