@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import latest, table
-from . import bpe, handwritten, leakage, parsing, secrets
+from . import abuse, bpe, handwritten, leakage, parsing, secrets
 
 
 def _documents(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -94,7 +94,28 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return parsing.rates(parsing.judged(table(spark, d, "file_inventory")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items)}
+def _scores(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    docs = _documents(spark, d, "source")
+    net = abuse.train(*abuse.sample(docs, table(spark, d, "labels")))
+    return abuse.scored(docs, net, ["doc_id", *keep])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") > abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's score and flag."""
+    return _scores(spark, d, "source").select("doc_id", "source", F.round("score", 6).alias("score"), (F.col("score") > abuse.THRESHOLD).alias("flagged"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged documents a source."""
+    hit = (F.col("score") > abuse.THRESHOLD).cast("long")
+    return _scores(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_flagged"), F.round(F.avg(hit), 6).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items, p9_found, p9_scores, p9_rates)}
 
 _P8 = """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
