@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import edge_rank, tier_rank
-from ..tables import cut
+from ..tables import cut, union
 
 PATH = ["start", "node", "depth", "nodes", "edges", "order", "tier", "review", "unknown"]
 
@@ -130,19 +130,25 @@ def drop_suffixes(paths: DataFrame) -> DataFrame:
     return paths.join(tails, "edges", "left_anti")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = 64, reverse: bool = False) -> DataFrame:
-    """(start, node, distance): everything reachable, each at its least distance; a node seen before isn't expanded."""
+def reachable(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+    """(start, node, distance): everything reachable, each at its least distance; a node seen before isn't expanded.
+
+    It goes on until nothing new is found, or for `max_depth` levels.
+    """
     a, b = ("target", "source") if reverse else ("source", "target")
-    e = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct()
+    e = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct())
     frontier = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).where(F.col("node").isNotNull()).distinct())
-    seen = frontier
-    for d in range(1, max_depth + 1):
-        new = frontier.join(e, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+    levels, d = [frontier], 0
+    while max_depth is None or d < max_depth:
+        d += 1
+        new = frontier.join(e, "node").select("start", F.col("next").alias("node")).distinct().join(union(levels).select("start", "node"), ["start", "node"], "left_anti")
         frontier = cut(new.withColumn("distance", F.lit(d)))
         if not frontier.limit(1).count():
             break
-        seen = cut(seen.unionByName(frontier).coalesce(64))
-    return seen
+        levels.append(frontier)
+        if len(levels) > 8:
+            levels = [cut(union(levels).coalesce(64))]
+    return union(levels)
 
 
 def bfs_tree(starts: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -428,7 +428,7 @@ def a19_diagnostics(s, d):
     return g.orderBy("i", "message").limit(20).select("message", "n")
 
 
-@query(f"with {LM} select repo, unnest(cast(json_extract(manifest_json, '$.knownGaps') as varchar[])) as gap, count(*) as n from lm group by all")
+@query(f"with {LM}, x as (select repo, unnest(cast(json_extract(manifest_json, '$.knownGaps') as varchar[])) as gap from lm) select repo, gap, count(*) as n from x group by all")
 def a21_known_gaps(s, d):
     m = E.current_manifest(table(s, d, "scan_manifest"))
     return m.select("repo", F.explode("manifest.knownGaps").alias("gap")).groupBy("repo", "gap").agg(_n())
@@ -534,7 +534,7 @@ def g7_maximal_paths(s, d):
     return G.drop_suffixes(G.edge_simple_paths(roots, edges, 5, ALL)).select("start", "node", "depth")
 
 
-@query(f"""with recursive {_EDGES}, p as (select combined_symbol_id s, combined_symbol_id n, 0 depth, [] path from cs where symbol_kind = 'Method'
+@query(f"""with recursive {_EDGES}, p as (select combined_symbol_id s, combined_symbol_id n, 0 depth, cast([] as varchar[]) path from cs where symbol_kind = 'Method'
 union all select p.s, e.a, p.depth + 1, list_append(p.path, e.b) from p join e on p.n = e.b where p.depth < 3 and not list_contains(p.path, e.b))
 select s as start, n as node, depth from p where depth > 0 and (depth = 3 or not exists (select 1 from e where e.b = p.n and not list_contains(p.path, e.b)))""")
 def g9_incoming_paths(s, d):
