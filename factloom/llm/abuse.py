@@ -58,7 +58,7 @@ _CJK = re.compile(r"([぀-ヿ㐀-鿿가-힯])")
 
 def fold(word: str) -> str:
     """A word in lower case without accents, stretching and digits for letters."""
-    w = unicodedata.normalize("NFKD", word.lower())
+    w = unicodedata.normalize("NFKD", word.lower().rstrip("!"))
     w = "".join(c for c in w if not unicodedata.combining(c))
     w = _STRETCH.sub(r"\1", w)
     if not w.isascii() and re.search("[a-z]", w):

@@ -47,7 +47,7 @@ _END = {
     "tdq": re.compile(r"\\(?:.|\n)|\"\"\"", re.S), "tsq": re.compile(r"\\(?:.|\n)|'''", re.S), "ms": re.compile(r"''|\\'(?=\w)|'"), "md": re.compile(r"\"\"|\""), "mb": re.compile(r"`"),
 }
 #: States that may span lines, besides code, by language.
-SPANNING = {"cs": ("block", "v", "vi"), "java": ("block", "tdq"), "ts": ("block", "bt"), "js": ("block", "bt"), "py": ("tdq", "tsq"), "sql": ("block", "ms", "md"), "json": ()}
+SPANNING = {"cs": ("block", "v", "vi"), "java": ("block", "tdq"), "ts": ("block", "bt"), "js": ("block", "bt"), "py": ("tdq", "tsq"), "sql": ("block", "ms", "md", "mb"), "json": ()}
 _BEFORE_REGEX = re.compile(r"(?:^|[=(,:;!&|?{}\[+\-*%<>~^]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))\s*$")
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
 

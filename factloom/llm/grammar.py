@@ -250,6 +250,14 @@ class Parser:
             else:
                 raise Bad("type arguments")
 
+    def constraint(self, i: int) -> int:
+        """What a type parameter of C# must be."""
+        if self.v(i) == "new":
+            return self.group(i + 1)
+        if self.v(i) in ("class", "struct", "notnull", "unmanaged", "default"):
+            return i + 2 if self.op(i + 1, "?") else i + 1
+        return self.type(i)
+
     def attempt(self, rule, i: int) -> int | None:
         try:
             return rule(i)
@@ -258,8 +266,8 @@ class Parser:
 
     # ---- expressions
 
-    def group(self, i: int) -> int:
-        """The end of a bracketed list of arguments, parameters or elements that begins at i."""
+    def group(self, i: int, declare: bool = True) -> int:
+        """The end of a bracketed list that begins at i: of parameters, or without `declare` of arguments or elements."""
         close = {"(": ")", "[": "]"}[self.v(i)]
         i += 1
         while not self.op(i, close):
@@ -270,12 +278,12 @@ class Parser:
                 if self.op(i, close) and not self.script and not (self.lang == "cs" and close == "]"):
                     raise Bad("comma before bracket")
                 continue
-            i = self.element(i)
+            i = self.element(i, declare)
             if not self.op(i, ",", close):
                 raise Bad(f"{self.v(i)!r} in brackets")
         return i + 1
 
-    def element(self, i: int) -> int:
+    def element(self, i: int, declare: bool) -> int:
         if self.op(i, "..."):
             i += 1
         while self.typed and self.op(i, "[") and self.lang == "cs" and self.is_id(i + 1):
@@ -290,17 +298,18 @@ class Parser:
         if self.lang == "cs" and self.is_id(i) and self.op(i + 1, ":"):
             i += 2
         while self.is_id(i) and self.v(i) in ("ref", "out", "in", "params", "this", "scoped") and self.lang == "cs" and (self.is_id(i + 1) or self.op(i + 1, "(")):
+            declare = declare or self.v(i) == "out"
             i += 1
         while self.is_id(i) and self.v(i) in ("final", "public", "private", "protected", "readonly", "override") and self.lang in ("java", "ts") and self.is_id(i + 1):
             i += 1
-        if self.lang in ("cs", "java"):
+        if self.lang in ("cs", "java") and declare:
             j = self.attempt(self.type, i)
             if j is not None and self.is_id(j) and self.v(j) not in self.word_ops and self.v(j) not in ("switch", "with", "when", "and", "or", "not") and self.op(j + 1, ",", ")", "=", ":", "]", "["):
                 j += 1
                 while self.op(j, "[") and self.op(j + 1, "]"):
                     j += 2
                 return self.expr(j + 1) if self.op(j, "=", ":") else j
-        if self.lang == "ts" and (self.is_id(i) or self.op(i, "{", "[")):
+        if self.lang == "ts" and declare and (self.is_id(i) or self.op(i, "{", "[")):
             # name?: type = default
             j = i + 1 if self.is_id(i) else self.attempt(self.operand, i)
             if j is not None:
@@ -366,11 +375,15 @@ class Parser:
                 raise Bad(f"{text} as operand")
             return i + 1
         if text == "(":
-            j = self.group(i)
+            j = self.attempt(lambda k: self.group(k, False), i)
+            if j is None or self.op(j, "=>", "->") or self.lang == "ts" and self.op(j, ":"):
+                j = self.group(i)  # parameters of a function, or a tuple that is taken apart
+                if not self.op(j, "=>", "->", "=", ":") and self.v(j) != "in":
+                    raise Bad("parameters without function")
             if not self.script and (self.is_id(j) and self.v(j) not in self.word_ops and self.v(j) not in ("switch", "with", "when", "and", "or") or j < self.n and self.t[j][0] in ("n", "s") or self.op(j, "(", "!", "~")):
                 inner = self.attempt(self.type, i + 1)
                 if inner is None or inner != j - 1:
-                    if not self.op(j, "("):
+                    if j < self.n and self.t[j][0] != "op":
                         raise Bad("no cast")
                     return j
                 return self.operand(j) if not self.op(j, "(") else j
@@ -473,7 +486,7 @@ class Parser:
                 elif text in ("(", "["):
                     if fresh and self.script and text == "[":
                         return i
-                    i = self.group(i) if not (text == "[" and self.op(i + 1, "]") and not self.script) else i + 2
+                    i = self.group(i, False) if not (text == "[" and self.op(i + 1, "]") and not self.script) else i + 2
                 elif text == "?" and self.lang == "cs" and self.op(i + 1, "["):
                     j = self.attempt(self.group, i + 1)
                     if j is None or self.op(j, ":"):
@@ -510,6 +523,8 @@ class Parser:
                 if text in self.word_ops and not (text == "of" and not self.script):
                     if self.lang == "cs" and text in ("is", "as") or self.lang == "java" or self.lang == "ts" and text in ("as", "is", "satisfies"):
                         i = self.pattern(i + 1)
+                        while self.is_id(i) and self.v(i) in self.word_ops and not self.t[i][2]:
+                            i = self.pattern(i + 1)
                         if i < self.n and self.t[i][0] == "op" and self.t[i][1] in _BINARY or self.op(i, "?"):
                             kind, text, fresh = self.t[i]
                         else:
@@ -693,7 +708,7 @@ class Parser:
             elif self.lang == "cs" and self.v(i) == "where":
                 i = self.need(i + 2, ":")
                 while True:
-                    i = i + 3 if self.v(i) == "new" else self.type(i)
+                    i = self.constraint(i)
                     if not self.op(i, ","):
                         break
                     i += 1
@@ -833,7 +848,7 @@ class Parser:
                 elif self.lang == "cs" and self.v(i) == "where":
                     i = self.need(i + 2, ":")
                     while True:
-                        i = i + 3 if self.v(i) == "new" else self.type(i)
+                        i = self.constraint(i)
                         if not self.op(i, ","):
                             break
                         i += 1
@@ -1234,6 +1249,8 @@ def _sql_statement(s: list[tuple[str, str]]) -> bool:
                 return False
             if word == "," and last == ("op", "("):
                 return False
+        elif kind == "id" and word in ("from", "where", "group", "order", "having", "into") and last[1] == "," and last[0] == "op":
+            return False
         elif kind in ("s", "n"):
             if last[0] == "n" or last[0] == "s" and kind == "n":
                 return False
