@@ -84,7 +84,9 @@ class _SqliteReader(DataSourceReader):
                 out += [_Rows(path, i, min(i + self.rows - 1, high)) for i in range(low, high + 1, self.rows)]
         return out
 
-    def read(self, part: _Rows) -> Iterator[tuple]:
+    def read(self, part: _Rows | None) -> Iterator[tuple]:
+        if part is None:  # no file has the table
+            return
         with sqlite3.connect(f"file:{part.path}?mode=ro", uri=True) as c:
             have = {r[1] for r in c.execute(f"pragma table_info({self.table})")}
             cols = ", ".join(f.name if f.name in have else f"null as {f.name}" for f in self.schema)
