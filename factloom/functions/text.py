@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..schema import EDGE_SYNONYMS, lookup_map
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it; keeps plans small, too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_prefix(value: Column, n: int) -> Column:
     """The first n hex digits of a text's SHA-256; null stays null."""
     return F.substring(F.sha2(value, 256), 1, n)
@@ -101,33 +106,41 @@ def node_key(method: Column, parameter: Column) -> Column:
 
 def symbol_alias(name: Column) -> Column:
     """struct(member, type, signature) of a displayed symbol, lower-cased and without generics; null if it is none."""
-    s = F.trim(name)
-    signature = F.when(s.rlike(r"(?s)\(.*\)"), F.regexp_replace(F.regexp_extract(s, r"(?s)\((.*)\)", 1), r"\s*,\s*", ","))
-    plain = F.regexp_replace(F.trim(F.regexp_replace(s, r"(?s)\(.*$", "")), r"\.+$", "")
-    parts = F.filter(F.transform(F.split(plain, r"\."), F.trim), lambda p: p != "")
-    clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"^.*global::", ""), r"(?s)<.*$", "")
-    member = clean(F.try_element_at(parts, F.lit(-1)))
-    owner = clean(F.try_element_at(parts, F.lit(-2)))
-    ok = (plain != "") & ~F.contains(plain, F.lit(" ")) & ~F.contains(s, F.lit("):")) & member.rlike(r"^\p{L}")
-    return F.when(ok, F.struct(F.lower(member).alias("member"), F.when(owner != "", F.lower(owner)).alias("type"), signature.alias("signature")))
+
+    def parsed(s: Column) -> Column:
+        signature = F.when(s.rlike(r"(?s)\(.*\)"), F.regexp_replace(F.regexp_extract(s, r"(?s)\((.*)\)", 1), r"\s*,\s*", ","))
+        plain = F.regexp_replace(F.trim(F.regexp_replace(s, r"(?s)\(.*$", "")), r"\.+$", "")
+        clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"^.*global::", ""), r"(?s)<.*$", "")
+        parts = lambda x: F.transform(F.filter(F.transform(F.split(x, r"\."), F.trim), lambda p: p != ""), clean)
+
+        def row(x: Column) -> Column:
+            member, owner = F.try_element_at(x, F.lit(-1)), F.try_element_at(x, F.lit(-2))
+            ok = ~F.contains(F.trim(F.regexp_replace(s, r"(?s)\(.*$", "")), F.lit(" ")) & ~F.contains(s, F.lit("):")) & member.rlike(r"^\p{L}")
+            return F.when(ok, F.struct(F.lower(member).alias("member"), F.when(owner != "", F.lower(owner)).alias("type"), signature.alias("signature")))
+
+        return let(parts(plain), row)
+
+    return let(F.trim(name), parsed)
 
 
 def destination_identity(raw: Column) -> Column:
     """struct(status, key, hash, reason) of a message destination: static, dynamic, hashed or unknown."""
-    s = F.trim(F.coalesce(raw, F.lit("")))
-    wild = s.rlike(r"[*#]|(^|[./])>$")
-    dynamic = s.rlike(r"\$\{|\$\(|\{[^}]*\}|%[^%]+%|\+|\(\)|<[^>]*>")
-    unsafe = s.rlike(r"(?i)://|@|password|secret|token|accountkey|sharedaccess|\\|;")
-    renderable = s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,199}$")
-    row = lambda status, key, digest, reason: F.struct(F.lit(status).alias("status"), key.alias("key"), digest.alias("hash"), F.lit(reason).cast("string").alias("reason"))
-    none, digest = F.lit(None).cast("string"), F.sha2(s, 256)
-    return (
-        F.when(s == "", row("unknown", none, none, "missing-destination-identity"))
-        .when(wild, row("dynamic", none, digest, "wildcard-pattern-destination"))
-        .when(dynamic, row("dynamic", none, digest, "dynamic-destination"))
-        .when(unsafe | ~renderable, row("hashed", none, digest, "unsafe-omitted"))
-        .otherwise(row("static", F.lower(s), none, None))
-    )
+    def told(s: Column) -> Column:
+        wild = s.rlike(r"[*#]|(^|[./])>$")
+        dynamic = s.rlike(r"\$\{|\$\(|\{[^}]*\}|%[^%]+%|\+|\(\)|<[^>]*>")
+        unsafe = s.rlike(r"(?i)://|@|password|secret|token|accountkey|sharedaccess|\\|;")
+        renderable = s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,199}$")
+        row = lambda status, key, digest, reason: F.struct(F.lit(status).alias("status"), key.alias("key"), digest.alias("hash"), F.lit(reason).cast("string").alias("reason"))
+        none, digest = F.lit(None).cast("string"), F.sha2(s, 256)
+        return (
+            F.when(s == "", row("unknown", none, none, "missing-destination-identity"))
+            .when(wild, row("dynamic", none, digest, "wildcard-pattern-destination"))
+            .when(dynamic, row("dynamic", none, digest, "dynamic-destination"))
+            .when(unsafe | ~renderable, row("hashed", none, digest, "unsafe-omitted"))
+            .otherwise(row("static", F.lower(s), none, None))
+        )
+
+    return let(F.trim(F.coalesce(raw, F.lit(""))), told)
 
 
 def glob_pattern(glob: str) -> str:

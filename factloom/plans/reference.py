@@ -10,6 +10,7 @@ from ..functions import sqltext as Q
 from ..functions import text as T
 from ..operators import diff as D
 from ..operators import evidence as E
+from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import match as M
 from ..operators import rollup as A
@@ -684,3 +685,153 @@ def k3_export_summary(s, d):
     from ..sources.sinks import summary_lines
 
     return summary_lines(_combined(s, d, "source_index_id", "fact_type"), "source_index_id", "fact_type")
+
+
+# ---- extraction from source texts
+
+
+def _files(s, d) -> DataFrame:
+    return table(s, d, "file_inventory").select("scan_id", "relative_path", "content").distinct()
+
+
+@query(r"""with f as (select distinct scan_id, relative_path, content from file_inventory where content is not null and regexp_matches(lower(relative_path), '\.py$')),
+l as (select scan_id, relative_path, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) line_no from f)
+select scan_id, relative_path, line_no::int as line_no, 'class' as keyword, regexp_extract(line, '^\s*class\s+([A-Za-z_]\w*)', 1) as name from l where regexp_matches(line, '^\s*class\s+[A-Za-z_]')""")
+def x18_python_types(s, d):
+    return X.declared_types(_files(s, d).where(F.lower("relative_path").endswith(".py")))
+
+
+@query(r"""with f as (select distinct scan_id, relative_path, content from file_inventory where content is not null and regexp_matches(lower(relative_path), '\.(cs|java)$')),
+l as (select scan_id, relative_path, unnest(string_split(content, chr(10))) line, generate_subscripts(string_split(content, chr(10)), 1) line_no from f),
+m as (select *, '^\s*(?:(?:\[[^\]]*\]|@\w+)\s*)*(?:(?:public|private|protected|internal|static|final|sealed|abstract|partial|readonly|file|ref)\s+)*(class|interface|struct|record|enum)\s+([A-Za-z_]\w*)' p from l)
+select scan_id, relative_path, line_no::int as line_no, regexp_extract(line, p, 1) as keyword, regexp_extract(line, p, 2) as name from m where regexp_matches(line, p)
+and not (lower(relative_path) like '%.java' and regexp_extract(line, p, 1) = 'struct')
+and not (lower(relative_path) like '%.java' and regexp_matches(line, '^\s*(?:\[|(?:\w+\s+)*(?:internal|partial|readonly|file|ref)\s)'))
+and not (lower(relative_path) like '%.cs' and regexp_matches(line, '^\s*(?:@|(?:\w+\s+)*final\s)'))""")
+def x2_declared_types(s, d):
+    """Types that C# and Java files declare."""
+    return X.declared_types(_files(s, d).where(F.lower("relative_path").rlike(r"\.(?:cs|java)$")))
+
+
+@query()
+def x5_config_keys(s, d):
+    from ..sources.readers import config_keys
+
+    return config_keys(_files(s, d))
+
+
+@query()
+def x7_sql_statements(s, d):
+    return X.sql_statements(_files(s, d)).groupBy("kind").agg(_n())
+
+
+@query()
+def x9_permissions(s, d):
+    return X.permissions(X.sql_statements(_files(s, d))).groupBy("action", "capability").agg(_n())
+
+
+@query()
+def a13_runbook_steps(s, d):
+    return X.runbook(X.sql_statements(_files(s, d))).select("scan_id", "relative_path", "island", "kind", "n_rows")
+
+
+@query(f"""with {LF}, g as (select repo, json_extract_string(properties_json, '$.message') m from lf where fact_type = 'AnalysisGap')
+select repo, case when regexp_matches(m, '(?i)restore|package') then 'restore' when regexp_matches(m, '(?i)load|project') then 'project-load' when regexp_matches(m, '(?i)syntax|declaration') then 'syntax'
+when regexp_matches(m, '(?i)dynamic') then 'dynamic-dispatch' else 'other' end as category, count(*) as n from g group by all""")
+def x14_diagnostics(s, d):
+    return X.gap_facts(_facts(s, d, "repo", "fact_type", "properties_json")).groupBy("repo", "category").agg(_n())
+
+
+@query(f"with {LF} select fact_type, count(*) as n, count(distinct file_path) as n_files from lf group by 1")
+def x20_deduplicated_facts(s, d):
+    one = X.dedupe(_facts(s, d, "fact_type", "file_path", "start_line", "source_symbol", "target_symbol"))
+    return one.groupBy("fact_type").agg(_n(), F.countDistinct("file_path").alias("n_files"))
+
+
+# ---- commands
+
+
+def _index(s, d) -> dict[str, DataFrame]:
+    return {n: table(s, d, n) for n in ("index_sources", "combined_facts", "combined_symbols")}
+
+
+def _sides(s, d) -> tuple[dict, dict]:
+    """The first and the last scan of every series as two single indexes; the series stands for the scan in keys."""
+    m = E.current_manifest(table(s, d, "scan_manifest"))
+    ends = m.groupBy("repo", "scan_root_relative_path").agg(F.min(F.struct("instant", "scan_id")).alias("b"), F.max(F.struct("instant", "scan_id")).alias("a"))
+    ends = ends.select(F.concat_ws("|", "repo", "scan_root_relative_path").alias("series"), F.col("b.scan_id").alias("b"), F.col("a.scan_id").alias("a")).where(F.col("a") != F.col("b"))
+    facts = table(s, d, "facts")
+    return tuple({"facts": facts.join(ends.select("series", F.col(x).alias("scan_id")), "scan_id").withColumn("scan_id", F.col("series"))} for x in ("b", "a"))
+
+
+@query(f"with {CF} select source_index_id as source_id, fact_type, evidence_tier, count(*) as n from cf group by all")
+def c_report(s, d):
+    from . import commands as C
+
+    return C.report(_index(s, d))["facts"]
+
+
+@query()
+def c_report_review(s, d):
+    from . import commands as C
+
+    return C.report(_index(s, d))["needs_review"].groupBy("why").agg(_n())
+
+
+@query()
+def c_paths(s, d):
+    from . import commands as C
+
+    return C.paths(_index(s, d), max_paths=ALL, max_frontier=ALL)["paths"].select("start", "node", "depth", "classification")
+
+
+@query()
+def c_reverse(s, d):
+    from . import commands as C
+
+    return C.reverse(_index(s, d), "sql-query", max_roots=10**6)["roots"]
+
+
+@query()
+def c_diff(s, d):
+    from . import commands as C
+
+    return C.diff(*_sides(s, d))["classes"]
+
+
+@query()
+def c_contract_diff(s, d):
+    from . import commands as C
+
+    return C.contract_diff(*_sides(s, d))["rows"].groupBy("classification").agg(_n())
+
+
+@query()
+def c_release_review(s, d):
+    from . import commands as C
+
+    return C.release_review(*_sides(s, d))["rollup"]
+
+
+@query()
+def c_portfolio(s, d):
+    """Surfaces that the combined index's three largest owners share."""
+    from . import commands as C
+
+    src = table(s, d, "index_sources").select("source_index_id", F.split_part("repo_name", F.lit("/"), F.lit(1)).alias("owner"))
+    facts = table(s, d, "combined_facts").join(src, "source_index_id")
+    return C.portfolio({x: {"combined_facts": facts.where(F.col("owner") == x)} for x in ("helio", "brack", "tamsin")})["shared"]
+
+
+@query(f"with {CF} select 'rule-version' as \"check\", count_if(not coalesce(regexp_matches(rule_id, '\\.v\\d+$'), false)) as n_bad, count(*) as n from cf union all select 'known-tier', count_if(not coalesce(evidence_tier in ('Tier1Semantic', 'Tier2Structural', 'Tier3SyntaxOrTextual', 'Tier4Unknown'), false)), count(*) from cf")
+def c_evidence_pack(s, d):
+    from . import commands as C
+
+    return C.evidence_pack(_index(s, d))["checks"].where(F.col("check").isin("rule-version", "known-tier")).select("check", "n_bad", "n")
+
+
+@query(f"with {CF} select fact_type, rule_id, count(*) as n from cf group by all")
+def c_baseline(s, d):
+    from . import commands as C
+
+    return C.baseline(_index(s, d))["counts"]
