@@ -37,10 +37,18 @@ def parents(df: DataFrame, kind: str, key: str, scope: str | None, order: str =
     return df.where(F.col(key).isNotNull()).select(F.lit(kind).alias("parent"), (F.col(scope) if scope else F.lit("")).alias("scope"), F.col(key).alias("key"), F.col(order).cast("timestamp").alias("at"))
 
 
-def orphans(refs: DataFrame, parent_rows: DataFrame, elsewhere_tables: list[str], share: float = HOT_SHARE) -> DataFrame:
+def reference_keys(df: DataFrame, fields: dict[str, str], scope: str | None) -> DataFrame:
+    """h: the keys' hashes of all delivered rows, repeats included; enough to tell hot keys, and read without a shuffle."""
+    within = F.col(scope) if scope else F.lit("")
+    keys = F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(kind), within, F.col(c))) for c, kind in fields.items()]))
+    return df.select(keys.alias("h"))
+
+
+def orphans(refs: DataFrame, parent_rows: DataFrame, elsewhere_tables: list[str], share: float = HOT_SHARE, raw_keys: DataFrame | None = None) -> DataFrame:
     """(table_name, field_name, row_key, status, seen_at) of the references that are `missing`, `late` or `elsewhere`.
 
     `elsewhere` is given only for references of `elsewhere_tables`: the key is absent in its own scope, present in another.
+    `raw_keys` (see reference_keys) saves looking for hot keys in the references themselves.
     """
     id_cols = ["parent", "scope", "key"]
     words = bloom.words_for(parent_rows.count())
@@ -49,7 +57,7 @@ def orphans(refs: DataFrame, parent_rows: DataFrame, elsewhere_tables: list[str]
     definite = asked.where(~F.col("maybe"))
     positive = asked.where(F.col("maybe"))
     first = parent_rows.groupBy(*id_cols).agg(F.min("at").alias("first_at"), F.lit(True).alias("there")).withColumn("h", F.xxhash64(*id_cols))
-    hot = hot_keys(refs.select(F.xxhash64(*id_cols).alias("h")), "h", share)
+    hot = hot_keys(refs.select(F.xxhash64(*id_cols).alias("h")) if raw_keys is None else raw_keys, "h", share)
     checked = lookup(positive, first, [*id_cols, "h"], "left", small=False, hot=hot, hot_col="h")
     status = F.when(F.col("there").isNull(), F.lit("missing")).when(F.col("first_at") > F.col("seen_at"), F.lit("late"))
     cols = ["table_name", "field_name", "parent", "key", "row_key", "seen_at", "status"]

@@ -15,18 +15,20 @@ ELSEWHERE = ["symbol_occurrences"]
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "index_sources").select("source_index_id", F.try_to_timestamp("imported_at").alias("ingested_at"))
-    refs = union([
-        O.references(table(spark, d, "symbol_occurrences"), "symbol_occurrences", "occurrence_id", {"fact_id": "facts", "symbol_id": "symbols"}, "scan_id"),
-        O.references(table(spark, d, "combined_symbol_occurrences"), "combined_symbol_occurrences", "combined_occurrence_id", {"combined_fact_id": "combined_facts"}, None),
-        O.references(table(spark, d, "combined_facts"), "combined_facts", "combined_fact_id", {"source_index_id": "index_sources"}, None),
-    ])
+    holders = [
+        ("symbol_occurrences", "occurrence_id", {"fact_id": "facts", "symbol_id": "symbols"}, "scan_id"),
+        ("combined_symbol_occurrences", "combined_occurrence_id", {"combined_fact_id": "combined_facts"}, None),
+        ("combined_facts", "combined_fact_id", {"source_index_id": "index_sources"}, None),
+    ]
+    refs = union([O.references(table(spark, d, name), name, key, fields, scope) for name, key, fields, scope in holders])
+    raw = union([O.reference_keys(table(spark, d, name), fields, scope) for name, _, fields, scope in holders])
     parents = union([
         O.parents(table(spark, d, "facts"), "facts", "fact_id", "scan_id"),
         O.parents(table(spark, d, "symbols"), "symbols", "symbol_id", "scan_id"),
         O.parents(table(spark, d, "combined_facts"), "combined_facts", "combined_fact_id", None),
         O.parents(sources, "index_sources", "source_index_id", None),
     ])
-    return O.orphans(refs, parents, ELSEWHERE)
+    return O.orphans(refs, parents, ELSEWHERE, raw_keys=raw)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
