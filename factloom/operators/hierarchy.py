@@ -222,12 +222,14 @@ def hierarchy(nodes: DataFrame, with_paths: bool = True, max_colocated: int = MA
     comp = components(base.select("nk", "pk"))
     full = base.join(comp, "nk").withColumn("parent_id", F.when(F.col("linked"), F.col("parent_id")))
     sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_colocated).select("comp")
-    big = [bytearray(r[0]) for r in sizes.collect()]  # at most nodes / max_colocated names
-    is_big = F.col("comp").isin(big) if big else F.lit(False)
-    small = full.where(~is_big).select("comp", "table_name", "scope_id", "node_id", "parent_id")
+    # At most nodes / max_colocated components; what is broadcast shrinks with the bound that makes it.
+    sizes = cut(sizes)
+    big = F.broadcast(sizes)
+    small = full.join(big, "comp", "left_anti").select("comp", "table_name", "scope_id", "node_id", "parent_id")
     out = small.repartition("comp").sortWithinPartitions("comp").mapInPandas(_walker(with_paths), OUT)
-    if big:
-        out = out.unionByName(_doubled(full.where(is_big).select("nk", "comp", "table_name", "scope_id", "node_id", F.when(F.col("linked"), F.col("pk")).alias("ptr")), with_paths))
+    if sizes.limit(1).count():
+        large = full.join(big, "comp", "left_semi").select("nk", "comp", "table_name", "scope_id", "node_id", F.when(F.col("linked"), F.col("pk")).alias("ptr"))
+        out = out.unionByName(_doubled(large, with_paths))
     return out
 
 
