@@ -35,7 +35,7 @@ WINDOW, STEP = 12, 5
 BUCKETS, WIDTH, HIDDEN = 1 << 16, 20, 24
 EPOCHS, ROUNDS, BATCH, RATE = 3, 2, 256, 0.004
 #: Training windows from each unflagged text, and score from which a text is flagged.
-CALM_WINDOWS, THRESHOLD = 4, 0.5
+CALM_WINDOWS, THRESHOLD = 4, 0.9
 #: Times that a wrongly scored unflagged window counts, and windows of unknown words among the unflagged ones.
 HARD, STRANGE = 4, 200
 
