@@ -93,5 +93,5 @@ def methods_compatible_two_index(client: Column, server: Column) -> Column:
 
 def joined_templates(routes: Column) -> Column:
     """A controller's and an action's template, given as a list in text, as one."""
-    parts = F.filter(F.transform(F.split(routes, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(routes, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) == 0, routes).otherwise(F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, "^/+|/+$", "")), "/"))

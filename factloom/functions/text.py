@@ -111,7 +111,7 @@ def symbol_alias(name: Column) -> Column:
         signature = F.when(s.rlike(r"(?s)\(.*\)"), F.regexp_replace(F.regexp_extract(s, r"(?s)\((.*)\)", 1), r"\s*,\s*", ","))
         plain = F.regexp_replace(F.trim(F.regexp_replace(s, r"(?s)\(.*$", "")), r"\.+$", "")
         clean = lambda p: F.regexp_replace(F.regexp_replace(p, r"^.*global::", ""), r"(?s)<.*$", "")
-        parts = lambda x: F.transform(F.filter(F.transform(F.split(x, r"\."), F.trim), lambda p: p != ""), clean)
+        parts = lambda x: F.transform(F.filter(F.transform(F.split(x, r"\."), lambda p: F.trim(p)), lambda p: p != ""), clean)
 
         def row(x: Column) -> Column:
             member, owner = F.try_element_at(x, F.lit(-1)), F.try_element_at(x, F.lit(-2))

@@ -61,7 +61,7 @@ def permissions(statements: DataFrame) -> DataFrame:
     action = F.when(is_plain, F.lower(F.regexp_extract(t, plain, 1))).when(is_owner, F.lit("owner-change")).when(is_member, F.when(t.rlike("(?i)^GRANT"), F.lit("role-membership")).otherwise(F.lit("revoke"))).otherwise(F.lit("unknown"))
     pick = lambda a, b, c: F.nullif(F.when(is_plain, F.regexp_extract(t, plain, a)).when(is_owner, F.regexp_extract(t, owner, b)).when(is_member, F.regexp_extract(t, member, c)), F.lit(""))
     capability = F.when(is_plain, F.lower(F.regexp_extract(t, plain, 2))).when(is_owner, F.lit("ownership")).when(is_member, F.lit("role-admin"))
-    return rows.withColumns({"action": action, "capability": F.explode(F.transform(F.split(F.coalesce(capability, F.lit("unknown")), ","), F.trim)), "object_kind": F.lower(F.coalesce(F.nullif(F.when(is_plain, F.regexp_extract(t, plain, 3)).when(is_owner, F.regexp_extract(t, owner, 1)), F.lit("")), F.lit("table"))), "object_id": pick(4, 2, 2), "role_id": pick(5, 3, 3)})
+    return rows.withColumns({"action": action, "capability": F.explode(F.transform(F.split(F.coalesce(capability, F.lit("unknown")), ","), lambda p: F.trim(p))), "object_kind": F.lower(F.coalesce(F.nullif(F.when(is_plain, F.regexp_extract(t, plain, 3)).when(is_owner, F.regexp_extract(t, owner, 1)), F.lit("")), F.lit("table"))), "object_id": pick(4, 2, 2), "role_id": pick(5, 3, 3)})
 
 
 #: Surfaces of links between databases and what each needs beforehand.

@@ -171,3 +171,52 @@ def lift_to_sources(paths: DataFrame, sources: DataFrame, per_source: int = 5) -
     touched = paths.select("start", "order", "depth", F.explode("nodes").alias("node")).join(sources, "node").select("start", "order", "depth", "source_id").distinct()
     w = Window.partitionBy("source_id").orderBy("depth", "order")
     return touched.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_source)
+
+
+# ---- classes of paths and what is missing
+
+
+def reverse_class(tier: Column, review: Column, unknown: Column, reduced_source: Column) -> Column:
+    """A reverse path's class: a source that was read in part asks for review, whatever the edges say."""
+    return F.when(unknown, F.lit("UnknownAnalysisGap")).when(reduced_source | review | (tier == 3), F.lit("NeedsReviewPath")).when(tier == 2, F.lit("ProbableStaticPath")).otherwise(F.lit("StrongStaticPath"))
+
+
+def value_origin(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, order, value_class) of the paths that hold value edges (arguments or forwarded parameters).
+
+    `paths` has start, order, edges; `edges` as for bounded_paths. Paths without a value edge have none.
+    """
+    e = edges.select("edge_id", "kind", tier_rank(F.col("evidence_tier")).alias("t"))
+    steps = paths.select("start", "order", F.explode("edges").alias("edge_id")).join(e, "edge_id")
+    value = F.col("kind").isin("parameter-forward", "argument-passed")
+    agg = steps.groupBy("start", "order").agg(F.bool_or(value).alias("has"), F.max("t").alias("t"), F.bool_or(value & (F.col("t") > 1)).alias("weak"), F.bool_or(F.col("kind").isin("symbol-reconciliation", "endpoint-match")).alias("review"))
+    cls = F.when(F.col("t") == 4, F.lit("UnknownAnalysisGap")).when(F.col("review") | (F.col("t") == 3), F.lit("NeedsReviewPath")).when((F.col("t") == 2) | F.col("weak"), F.lit("ProbableStaticPath")).otherwise(F.lit("StrongStaticPath"))
+    return agg.where("has").select("start", "order", cls.alias("value_class"))
+
+
+def legacy_class(paths: DataFrame, edges: DataFrame, hub: int = 5, generic: tuple[str, ...] = ("id", "name", "value", "key", "type", "data")) -> DataFrame:
+    """Paths whose end many edges reach, or that has a generic name, are for review in the legacy view."""
+    degree = edges.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("in_degree"))
+    weak = (F.coalesce("in_degree", F.lit(0)) >= hub) | F.lower(F.regexp_extract("node", r"([^.:]*)$", 1)).isin(*generic)
+    return paths.join(degree, "node", "left").withColumn("classification", F.when(weak & F.col("classification").isin("StrongStaticPath", "ProbableStaticPath"), F.lit("NeedsReviewPath")).otherwise(F.col("classification"))).drop("in_degree")
+
+
+def duplicate_nodes(nodes: DataFrame) -> DataFrame:
+    """Display names that several nodes of one source have; paths over them are downgraded."""
+    return nodes.groupBy("source_id", "display_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def no_path_gaps(starts: DataFrame, paths: DataFrame, edges: DataFrame, nodes: DataFrame, reduced: DataFrame) -> DataFrame:
+    """(start, gap) for starts without a path: unknown where a source read in part is reachable, else no path.
+
+    `nodes` has node, source_id; `reduced` source_id.
+    """
+    alone = starts.select(F.col("node").alias("start")).distinct().join(paths.select("start").distinct(), "start", "left_anti")
+    met = reachable(alone.select(F.col("start").alias("node")), edges).join(nodes.select("node", "source_id"), "node").join(reduced.select("source_id").distinct(), "source_id", "left_semi").select("start").distinct().withColumn("hit", F.lit(True))
+    return alone.join(met, "start", "left").select("start", F.when(F.col("hit"), F.lit("UnknownAnalysisGap")).otherwise(F.lit("NoPathFound")).alias("gap"))
+
+
+def override_candidates(relationships: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(base, candidate, depth): members that override a base through a chain of at most `max_depth` overrides."""
+    r = relationships.where(F.col("kind") == "overrides").select(F.col("to_symbol").alias("source"), F.col("from_symbol").alias("target"))
+    return reachable(r.select(F.col("source").alias("node")).distinct(), r, max_depth).where(F.col("distance") > 0).select(F.col("start").alias("base"), F.col("node").alias("candidate"), F.col("distance").alias("depth"))

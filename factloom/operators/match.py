@@ -214,3 +214,75 @@ def permission_status(operations: DataFrame, permissions: DataFrame) -> DataFram
         .when(F.col("after"), F.lit("needs-owner-review")).when(F.col("no_context"), F.lit("needs-owner-review")).when(F.col("thin"), F.lit("unknown")).otherwise(F.lit("present-in-scripts"))
     )
     return agg.select("operation_id", "capability", "grants", "revokes", status.alias("status"))
+
+
+# ---- further joins
+
+
+def align_two_indexes(clients: DataFrame, servers: DataFrame) -> DataFrame:
+    """One client index against one server index, where only the server's ANY stands for all methods.
+
+    Both sides have id, path_key, method, parameters (array), file_path, start_line. Matched rows note where parameters are
+    named differently; the rest of either side is told as unmatched.
+    """
+    s = servers.select(F.col("id").alias("server_id"), "path_key", F.col("method").alias("server_method"), F.col("parameters").alias("server_parameters"), F.col("file_path").alias("sf"), F.col("start_line").alias("sl"), F.explode(R.expand_keys(F.col("path_key"))).alias("k"))
+    c = clients.select(F.col("id").alias("client_id"), F.col("path_key").alias("k"), "method", "parameters")
+    fits = R.methods_compatible_two_index(F.col("method"), F.col("server_method"))
+    best = s.groupBy("k", "server_method").agg(F.min(F.struct("sf", "sl", "server_id", "server_parameters")).alias("m"))
+    found = c.join(best, "k").where(fits).groupBy("client_id", "k", "parameters").agg(F.min("m").alias("m"))
+    note = F.when(F.array_sort("parameters") != F.array_sort("m.server_parameters"), F.lit("parameter names differ"))
+    out = found.select(F.lit("Matched").alias("classification"), "client_id", F.col("m.server_id").alias("server_id"), note.alias("note"))
+    none = F.lit(None).cast("string")
+    lonely = c.join(found.select("client_id"), "client_id", "left_anti").select(F.lit("ClientCallNoServerEndpoint").alias("classification"), "client_id", none.alias("server_id"), none.alias("note"))
+    used = s.join(c.select("k", "method").distinct(), "k").where(fits).select("server_id").distinct()
+    idle = servers.select(F.col("id").alias("server_id")).join(used, "server_id", "left_anti").select(F.lit("ServerEndpointNoClientMatch").alias("classification"), none.alias("client_id"), "server_id", none.alias("note"))
+    return out.unionByName(lonely).unionByName(idle)
+
+
+def enrich(rows: DataFrame, evidence: DataFrame, ids: str, id_: str, take: list[str]) -> DataFrame:
+    """Rows with the evidence that a ';'-joined list of ids names: one row for each id that is known."""
+    return rows.withColumn(id_, F.explode(F.filter(F.transform(F.split(ids, ";"), lambda p: F.trim(p)), lambda x: x != ""))).join(evidence.select(id_, *take), id_)
+
+
+def selected_only(rows: DataFrame, paths: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose keys the selected paths hold."""
+    return rows.join(paths.select(*on).distinct(), on, "left_semi")
+
+
+def context_changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, same): whether a key's set of values is the same before and after; the sets meet as sorted lists."""
+    side = lambda df, n: df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(n))
+    return side(before, "b").join(side(after, "a"), key, "full_outer").select(key, F.col("b").eqNullSafe(F.col("a")).alias("same"))
+
+
+def property_bridges(views: DataFrame, models: DataFrame) -> DataFrame:
+    """View bindings with the model properties they show: names and model types equal without case, endpoints aligned.
+
+    `views` has view_id, property, model_type, path_key; `models` property_id, property, model_type, path_key (null: any).
+    """
+    low = lambda df: df.withColumns({"property": F.lower("property"), "model_type": F.lower(T.member_name(F.col("model_type")))})
+    v, m = low(views), low(models).withColumnRenamed("path_key", "m_path")
+    return v.join(m, ["property", "model_type"]).where(F.col("path_key").isNull() | F.col("m_path").isNull() | (F.col("path_key") == F.col("m_path"))).select("view_id", "property_id", "property", "model_type")
+
+
+def select_surfaces(surfaces: DataFrame, kind: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Surfaces by kind and name, matched in what names that kind, and the names that several of them share."""
+    keys = {"sql-query": ("table_names", "shape_hash"), "package-config": ("package_name", "config_key"), "http-client": ("path_key",), "http-route": ("path_key",)}.get(kind, ())
+    out = surfaces.where(F.col("surface_kind") == kind)
+    if name is not None:
+        hit = T.contains_ci(F.col("display_name"), name)
+        for k in keys:
+            hit = hit | (F.lower(F.col(k)) == name.lower())
+        out = out.where(F.coalesce(hit, F.lit(False)))
+    return out, out.groupBy("display_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def data_descriptors(facts: DataFrame) -> DataFrame:
+    """Descriptors of data models from metadata facts with `props`: a safe label, an identity that is hashed, and how many share it."""
+    p = F.col("props")
+    label = T.first_value(p, "entityName", "tableName", "className", "name")
+    safe = label.rlike(r"^[A-Za-z_][A-Za-z0-9_. ]{0,99}$") & ~label.rlike(r"(?i)password|secret|token|://")
+    identity = F.concat_ws("|", F.coalesce(T.first_value(p, "metadataFormat"), F.lit("")), F.coalesce(T.first_value(p, "modelKind"), F.lit("")), F.coalesce(label, F.lit("")))
+    rows = facts.where(label.isNotNull()).select("fact_id", F.when(safe, label).otherwise(F.concat(F.lit("hash:"), T.hash_prefix(label, 16))).alias("display_name"), T.hash_prefix(identity, 32).alias("model_key"), F.when(~safe, F.lit("unsafe-label")).alias("redaction"))
+    counts = rows.groupBy("model_key").agg(F.count(F.lit(1)).alias("n_same"))
+    return rows.join(counts, "model_key")

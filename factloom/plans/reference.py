@@ -111,7 +111,7 @@ _VALUE = "coalesce(nullif(trim(json_extract_string(properties_json, '$.packageNa
 
 
 @query(f"with {LF} select fact_type, count({_VALUE}) as n_named, count(distinct {_VALUE}) as n_names from lf group by 1")
-def p1_first_values(s, d):
+def pr1_first_values(s, d):
     v = T.first_value(T.properties(F.col("properties_json")), "packageName", "name", "key")
     return _facts(s, d, "fact_type", "properties_json").withColumn("v", v).groupBy("fact_type").agg(F.count("v").alias("n_named"), F.countDistinct("v").alias("n_names"))
 
@@ -120,20 +120,20 @@ _KIND = "case when fact_type = 'HttpCallDetected' then 'http-client' when fact_t
 
 
 @query(f"with {LF} select repo, {_KIND} as surface_kind, count(*) as n from lf where {_KIND} is not null group by all")
-def p2_surface_kinds(s, d):
+def pr2_surface_kinds(s, d):
     facts = E.with_properties(_facts(s, d, "repo", "fact_type", "properties_json"))
     return facts.withColumn("surface_kind", E.surface_kind(F.col("fact_type"), F.col("props"))).where(F.col("surface_kind").isNotNull()).groupBy("repo", "surface_kind").agg(_n())
 
 
 @query(f"""with {CF} select combined_fact_id, json_extract_string(properties_json, '$.packageName') as display_name, json_extract_string(properties_json, '$.version') as package_version
 from cf where fact_type = 'PackageReferenced'""")
-def p3_package_surfaces(s, d):
+def pr3_package_surfaces(s, d):
     facts = E.with_properties(_combined(s, d, "fact_type", "file_path", "properties_json").withColumn("fact_id", F.col("combined_fact_id")))
     return E.surfaces(facts.where(F.col("fact_type") == "PackageReferenced")).select("combined_fact_id", "display_name", "package_version")
 
 
 @query()
-def p3_surfaces(s, d):
+def pr3_surfaces(s, d):
     """Every surface of the combined index, wide."""
     facts = E.with_properties(_combined(s, d, "source_index_id", "fact_type", "rule_id", "evidence_tier", "file_path", "start_line", "properties_json").withColumn("fact_id", F.col("combined_fact_id")))
     return E.surfaces(facts).select("combined_fact_id", "source_index_id", "surface_kind", "display_name", "http_method", "path_key", "table_names", "shape_hash", "package_name", "package_version", "config_key", "evidence_tier", "safe_path", "start_line")
@@ -146,30 +146,30 @@ _DEST = "trim(coalesce(source_symbol, ''))"
 when regexp_matches({_DEST}, '\\$\\{{|\\$\\(|\\{{[^}}]*\\}}|%[^%]+%|\\+|\\(\\)|<[^>]*>') then 'dynamic'
 when regexp_matches({_DEST}, '://|@|(?i)password|secret|token|accountkey|sharedaccess|\\\\|;') or not regexp_matches({_DEST}, '^[A-Za-z0-9][A-Za-z0-9._:/-]{{0,199}}$') then 'hashed' else 'static' end status from lf)
 select status, count(*) as n from x group by 1""")
-def p5_destinations(s, d):
+def pr5_destinations(s, d):
     """How the names that facts hold could serve as message destinations."""
     return _facts(s, d, "source_symbol").groupBy(T.destination_identity(F.col("source_symbol"))["status"].alias("status")).agg(_n())
 
 
 @query("""select occurrence_kind, lower(replace(replace(trim(occurrence_kind), '_', '-'), ' ', '-')) as edge_kind, count(*) as n from symbol_occurrences group by all""")
-def p6_edge_kinds(s, d):
+def pr6_edge_kinds(s, d):
     return table(s, d, "symbol_occurrences").groupBy("occurrence_kind", T.edge_kind(F.col("occurrence_kind")).alias("edge_kind")).agg(_n())
 
 
 @query("select regexp_replace(rule_id, '\\.v\\d+$', '') as rule_family, count(*) as n, count(distinct rule_id) as n_rules from facts group by 1")
-def p7_rule_families(s, d):
+def pr7_rule_families(s, d):
     return table(s, d, "facts").groupBy(T.rule_family(F.col("rule_id")).alias("rule_family")).agg(_n(), F.countDistinct("rule_id").alias("n_rules"))
 
 
 @query("""with x as (select distinct target_symbol t from facts where target_symbol is not null) select t as name, lower(regexp_extract(t, '([^.]*)$', 1)) as member,
 nullif(lower(regexp_extract(t, '([^.]*)\\.[^.]*$', 1)), '') as type from x where regexp_matches(t, '^[^ ()]+$') and regexp_matches(regexp_extract(t, '([^.]*)$', 1), '^\\p{L}')""")
-def p8_symbol_aliases(s, d):
+def pr8_symbol_aliases(s, d):
     names = table(s, d, "facts").select(F.col("target_symbol").alias("name")).where(F.col("name").isNotNull()).distinct().withColumn("a", T.symbol_alias(F.col("name")))
     return names.where(F.col("a").isNotNull()).select("name", "a.member", "a.type")
 
 
 @query(f"with {CF} select combined_fact_id, upper(json_extract_string(properties_json, '$.httpMethod')) in ('GET', 'ANY') as fits from cf where fact_type = 'AspNetRouteDeclared'")
-def p10_method_compatibility(s, d):
+def pr10_method_compatibility(s, d):
     """Routes that a GET call could reach."""
     p = T.properties(F.col("properties_json"))
     got = R.methods(T.first_value(p, "httpMethod"))
@@ -177,18 +177,18 @@ def p10_method_compatibility(s, d):
 
 
 @query("select symbol_kind, count(*) as n from symbols where contains(lower(display_name), 'order') or contains(lower(display_name), 'ship') group by 1")
-def p11_contains_match(s, d):
+def pr11_contains_match(s, d):
     name = F.col("display_name")
     return table(s, d, "symbols").where(T.contains_ci(name, "order") | T.contains_ci(name, "ship")).groupBy("symbol_kind").agg(_n())
 
 
 @query(f"with {LF} select file_path, case when trim(coalesce(file_path, '')) = '' then 'n/a' else replace(file_path, '\\', '/') end as safe_path, count(*) as n from lf group by all")
-def p16_safe_paths(s, d):
+def pr16_safe_paths(s, d):
     return _facts(s, d, "file_path").groupBy("file_path", T.safe_path(F.col("file_path")).alias("safe_path")).agg(_n())
 
 
 @query(f"with {LF}, r as (select repo, max({TIER.format('evidence_tier')}) w, min({TIER.format('evidence_tier')}) b from lf group by 1) select repo, {TIER_NAME.format('w')} as weakest_tier, {TIER_NAME.format('b')} as strongest_tier from r")
-def p17_tiers(s, d):
+def pr17_tiers(s, d):
     return _facts(s, d, "repo", "evidence_tier").groupBy("repo").agg(A.weakest_tier(F.col("evidence_tier")).alias("weakest_tier"), A.strongest_tier(F.col("evidence_tier")).alias("strongest_tier"))
 
 
@@ -294,7 +294,7 @@ def j10_dispatch_candidates(s, d):
     return M.dispatch_candidates(rel, fan_out=2)[0].select("source_id", "from_symbol", "to_symbol")
 
 
-_CHANGES = [("c1", "AssayFactory.DraftHarvest"), ("c2", "MergeSiloById"), ("c3", "HarvestService"), ("c4", "LedgerStore.CloseBatch")]
+_CHANGES = [("c1", "Kind"), ("c2", "LoadCarrierById"), ("c3", "Flag"), ("c4", "ScheduleClinic"), ("c5", "LedgerStore.CloseBatch")]
 
 
 @query(f"""with {CF}, ch as (select * from (values {", ".join(repr(x) for x in _CHANGES)}) v(change_id, element)),
@@ -309,10 +309,10 @@ def j12_delta_matches(s, d):
     return M.delta_matches(s.createDataFrame(_CHANGES, "change_id string, element string"), facts).select("change_id", "fact_id", "strength")
 
 
-_PACKAGES = [("p1", "pellin.clinic", None, "1.0.0", "2.0.0"), ("p2", "VANTEL.Depot", None, "1.0.0", "2.0.0"), ("p3", "Helio.Kiln", None, "1.0.0", "2.0.0")]
+_PACKAGES = [("p1", "tamsin.address", None, "1.0.0", "2.0.0"), ("p2", "OSTREY.Loom", None, "1.0.0", "2.0.0"), ("p3", "Vantel.Quota", None, "1.0.0", "2.0.0")]
 
 
-@query(f"""with {LF}, c as (select * from (values ('p1', 'pellin.clinic'), ('p2', 'vantel.depot'), ('p3', 'helio.kiln')) v(change_id, name))
+@query(f"""with {LF}, c as (select * from (values ('p1', 'tamsin.address'), ('p2', 'ostrey.loom'), ('p3', 'vantel.quota')) v(change_id, name))
 select change_id, repo, count(*) as n from lf join c on lower(json_extract_string(properties_json, '$.packageName')) = c.name where fact_type = 'PackageReferenced' group by all""")
 def j13_package_impact(s, d):
     p = T.properties(F.col("properties_json"))
@@ -835,3 +835,99 @@ def c_baseline(s, d):
     from . import commands as C
 
     return C.baseline(_index(s, d))["counts"]
+
+
+# ---- further joins and classes on whole tables
+
+
+def _latest_sides(s, d, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Current facts of each series' first and last scan with the repository, the series' scans being joined by id."""
+    m = E.current_manifest(table(s, d, "scan_manifest"))
+    ends = m.groupBy("repo", "scan_root_relative_path").agg(F.min(F.struct("instant", "scan_id")).alias("b"), F.max(F.struct("instant", "scan_id")).alias("a"))
+    facts = _facts(s, d, *cols)
+    return tuple(facts.join(ends.select("repo", F.col(f"{x}.scan_id").alias("scan_id")), "scan_id") for x in ("b", "a"))
+
+
+@query(f"""with {LM}, e as (select repo, scan_root_relative_path root, arg_min(scan_id, {{'t': t, 's': scan_id}}) b, arg_max(scan_id, {{'t': t, 's': scan_id}}) a from lm group by all), {LF},
+x as (select e.repo, list_sort(list(distinct rule_id)) l from lf join e on lf.scan_id = e.b group by 1), y as (select e.repo, list_sort(list(distinct rule_id)) l from lf join e on lf.scan_id = e.a group by 1)
+select coalesce(x.repo, y.repo) as repo, x.l is not distinct from y.l as same from x full join y on x.repo = y.repo""")
+def a15_context_changes(s, d):
+    """Whether a repository's first and newest scans rest on the same rules."""
+    return M.context_changes(*_latest_sides(s, d, ["rule_id"]), "repo", "rule_id")
+
+
+@query(f"""with {CF}, l as (select source_index_id i, string_agg(original_fact_id, ';' order by combined_fact_id) ids from (select *, row_number() over (partition by source_index_id order by combined_fact_id) r from cf) where r <= 3 group by 1),
+e as (select i, trim(unnest(string_split(ids, ';'))) f from l), o as (select distinct on (fact_id) fact_id, fact_type from facts order by fact_id, ingested_at desc, scan_id desc)
+select e.i as source_index_id, e.f as fact_id, o.fact_type from e join o on e.f = o.fact_id where e.f <> ''""")
+def j20_enriched_lists(s, d):
+    """The facts that a list of ids in text names, for each source's first three."""
+    first = M.first_per_key(_combined(s, d, "source_index_id", "original_fact_id"), ["source_index_id"], [F.col("combined_fact_id")], 3)
+    lists = first.groupBy("source_index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "original_fact_id"))), lambda x: x["original_fact_id"]), ";").alias("ids"))
+    types = table(s, d, "facts").groupBy("fact_id").agg(F.max(F.struct("ingested_at", "scan_id", "fact_type")).alias("x")).select("fact_id", "x.fact_type")
+    return M.enrich(lists, types, "ids", "fact_id", ["fact_type"]).select("source_index_id", "fact_id", "fact_type")
+
+
+@query(f"""with {CS} select source_index_id as source_id, display_name, count(*) as n from cs group by all having count(*) > 1""")
+def g15_duplicate_nodes(s, d):
+    return G.duplicate_nodes(_symbols(s, d).withColumnRenamed("source_index_id", "source_id"))
+
+
+@query(f"""with recursive {_EDGES}, p as (select b s, a n, 1 depth from e union all select p.s, e.a, p.depth + 1 from p join e on p.n = e.b where p.depth < 5)
+select n as base, s as candidate, min(depth)::int as depth from p where n <> s group by all""")
+def g11_override_candidates(s, d):
+    """Members below a symbol, as candidates within five levels."""
+    edges, _, _ = _graph(s, d)
+    return G.override_candidates(edges.select(F.col("target").alias("from_symbol"), F.col("source").alias("to_symbol"), F.lit("overrides").alias("kind")))
+
+
+@query(f"""with recursive {_EDGES}, m as (select combined_symbol_id n from cs where symbol_kind = 'Method'),
+p as (select r s, r n, 0 depth, false f from roots union all select p.s, e.b, p.depth + 1, e.b in (select n from m) from p join e on p.n = e.a where not p.f and p.depth < 8)
+select r as start, 'NoPathFound' as gap from roots where r not in (select s from p where f)""")
+def g16_no_path_gaps(s, d):
+    """Root symbols with no method below them; no source counts as read in part."""
+    edges, roots, methods = _graph(s, d)
+    paths, _ = G.bounded_paths(roots, edges, methods, 8, ALL, ALL)
+    nodes = _symbols(s, d).select(F.col("combined_symbol_id").alias("node"), F.col("source_index_id").alias("source_id"))
+    return G.no_path_gaps(roots, paths, edges, nodes, nodes.select("source_id").limit(0))
+
+
+@query(f"""with recursive {_EDGES}, m as (select combined_symbol_id n from cs where symbol_kind = 'Method'), src as (select combined_symbol_id n, source_index_id i from cs),
+p as (select r s, r n, 0 depth, false f from roots union all select p.s, e.b, p.depth + 1, e.b in (select n from m) from p join e on p.n = e.a where not p.f and p.depth < 8),
+w as (select src.i, p.s, p.n, p.depth, row_number() over (partition by src.i order by p.depth, p.s, p.n) r from p join src on p.s = src.n where f)
+select i as source_id, count(*) as n_paths, min(depth) as shortest from w where r <= 5 group by 1""")
+def g6_lifted_paths(s, d):
+    """The first five ways of each source that they touch."""
+    edges, roots, methods = _graph(s, d)
+    paths, _ = G.bounded_paths(roots, edges, methods, 8, ALL, ALL)
+    nodes = _symbols(s, d).select(F.col("combined_symbol_id").alias("node"), F.col("source_index_id").alias("source_id"))
+    return G.lift_to_sources(paths, nodes).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_paths"), F.min("depth").alias("shortest"))
+
+
+@query()
+def j4_two_index_endpoints(s, d):
+    """Clients of all sources as one index against servers of all as the other."""
+    clients, servers = _endpoints(s, d)
+    one = lambda df: df.select("id", "path_key", F.get("methods", F.lit(0)).alias("method"), F.array().cast("array<string>").alias("parameters"), "file_path", "start_line")
+    return M.align_two_indexes(one(clients), one(servers)).groupBy("classification").agg(_n())
+
+
+@query()
+def o11_sql_schema_impact(s, d):
+    """SQL texts that name a table whose columns change."""
+    from . import commands as C
+
+    changes = s.createDataFrame([("t1", "tenant_log", None, None), ("t2", "loom", "status", None)], "change_id string, table_name string, column_name string, shape_hash string")
+    return C.sql_schema_impact(_index(s, d), changes)["findings"].groupBy("change_id", "evidence").agg(_n())
+
+
+@query()
+def d3_data_descriptors(s, d):
+    facts = E.with_properties(_combined(s, d, "fact_type", "properties_json").withColumn("fact_id", F.col("combined_fact_id")).where(F.col("fact_type").isin("TypeDeclared", "PropertyDeclared")))
+    return M.data_descriptors(facts).select("fact_id", "display_name", "model_key", "redaction", "n_same")
+
+
+@query(f"with {CF} select combined_fact_id as fact_id from cf where fact_type = 'SqlTextUsed' and contains(lower(json_extract_string(properties_json, '$.sql')), 'tenant_log')")
+def pr12_surface_names(s, d):
+    """SQL surfaces whose name or tables match a selector."""
+    facts = E.with_properties(_combined(s, d, "source_index_id", "fact_type", "rule_id", "evidence_tier", "file_path", "start_line", "properties_json").withColumn("fact_id", F.col("combined_fact_id")))
+    return M.select_surfaces(E.surfaces(facts.where(F.col("fact_type") == "SqlTextUsed")), "sql-query", "tenant_log")[0].select("fact_id")

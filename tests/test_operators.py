@@ -258,3 +258,45 @@ def test_surface_kinds(spark):
     df = spark.createDataFrame([("HttpCallDetected", "{}"), ("Other", '{"surfaceKind":"Package"}'), ("Other", '{"surfaceKind":" x "}'), ("Other", "bad"), ("MessagePublisherSurface", '{"surfaceKind":"odd"}'), ("PackageReferenced", None)], "fact_type string, properties_json string")
     got = [r.k for r in E.with_properties(df).select(E.surface_kind(F.col("fact_type"), F.col("props")).alias("k")).collect()]
     assert got == ["http-client", "package-config", "x", None, "message-unknown", "package-config"]
+
+
+# ---- further classes and joins
+
+
+def test_value_origin_reverse_legacy_and_missing_paths(spark):
+    e = edges(spark, [("a", "b"), ("b", "Order.id", "argument-passed", "Tier2Structural"), ("a", "c")])
+    paths, _ = G.bounded_paths(nodes(spark, "a"), e, nodes(spark, "Order.id", "c"), 4)
+    assert [r.value_class for r in G.value_origin(paths, e).collect()] == ["ProbableStaticPath"]
+    assert {(r.node, r.classification) for r in G.legacy_class(paths, e).collect()} == {("Order.id", "NeedsReviewPath"), ("c", "StrongStaticPath")}
+    t, f = F.lit(True), F.lit(False)
+    assert [r[0] for r in spark.range(1).select(G.reverse_class(F.lit(1), f, f, t)).collect()] == ["NeedsReviewPath"]
+    owners = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("z", "s3")], "node string, source_id string")
+    gaps = G.no_path_gaps(nodes(spark, "a", "b", "z"), paths, e, owners, spark.createDataFrame([("s2",)], "source_id string"))
+    assert {(r.start, r.gap) for r in gaps.collect()} == {("b", "UnknownAnalysisGap"), ("z", "NoPathFound")}
+    rel = spark.createDataFrame([(f"m{i + 1}", f"m{i}", "overrides") for i in range(8)] + [("m0", "m8", "overrides")], "from_symbol string, to_symbol string, kind string")
+    assert G.override_candidates(rel, 5).where("base = 'm0'").count() == 5
+    assert [r.display_name for r in G.duplicate_nodes(spark.createDataFrame([("s", "x"), ("s", "x"), ("t", "x")], "source_id string, display_name string")).collect()] == ["x"]
+
+
+def test_two_indexes_and_small_joins(spark):
+    ends = "id string, path_key string, method string, parameters array<string>, file_path string, start_line int"
+    c = spark.createDataFrame([("c1", "/a/{}", "GET", ["id"], "f", 1), ("c2", "/a/{}", "ANY", ["id"], "f", 1), ("c3", "/x", "GET", [], "f", 1)], ends)
+    s = spark.createDataFrame([("s1", "/a/{?}", "GET", ["key"], "f", 1), ("s2", "/b", "ANY", [], "f", 1)], ends)
+    got = {(r.classification, r.client_id, r.server_id, r.note) for r in M.align_two_indexes(c, s).collect()}
+    assert got == {("Matched", "c1", "s1", "parameter names differ"), ("ClientCallNoServerEndpoint", "c2", None, None), ("ClientCallNoServerEndpoint", "c3", None, None), ("ServerEndpointNoClientMatch", None, "s2", None)}
+    rows = spark.createDataFrame([("r", "1; 2;;9"), ("q", None)], "r string, ids string")
+    ev = spark.createDataFrame([("1", "a"), ("2", "b")], "fact_id string, v string")
+    assert {(r.r, r.v) for r in M.enrich(rows, ev, "ids", "fact_id", ["v"]).collect()} == {("r", "a"), ("r", "b")}
+    assert M.selected_only(ev, ev.where("v = 'a'"), ["fact_id"]).count() == 1
+    kv = "k string, v string"
+    ch = M.context_changes(spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1")], kv), spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], kv), "k", "v")
+    assert {(r.k, r.same) for r in ch.collect()} == {("a", True), ("b", False), ("c", False)}
+    v = spark.createDataFrame([("v1", "Name", "N.Order", "/o"), ("v2", "name", "Order", None), ("v3", "name", "Order", "/x")], "view_id string, property string, model_type string, path_key string")
+    m = spark.createDataFrame([("p1", "NAME", "Order", "/o")], "property_id string, property string, model_type string, path_key string")
+    assert {r.view_id for r in M.property_bridges(v, m).collect()} == {"v1", "v2"}
+
+
+def test_descriptors_hide_unsafe_labels(spark):
+    df = E.with_properties(spark.createDataFrame([("1", '{"entityName":"Order"}'), ("2", '{"entityName":"Order"}'), ("3", '{"name":"x://y"}'), ("4", "{}")], "fact_id string, properties_json string"))
+    got = {r.fact_id: (r.display_name[:5], r.n_same, r.redaction) for r in M.data_descriptors(df).collect()}
+    assert got == {"1": ("Order", 2, None), "2": ("Order", 2, None), "3": ("hash:", 1, "unsafe-label")}
