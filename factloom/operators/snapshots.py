@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import BROADCAST_ROWS, hot_keys, key_hash, latest, lookup, row_bound
+from ..tables import BROADCAST_ROWS, cut, hot_keys, key_hash, latest, lookup, row_bound
 
 BLOCK = 256
 
@@ -27,13 +27,18 @@ def instant(text: Column) -> Column:
 def numbered_scans(manifest: DataFrame, series: list[str], scan: str, at: str, order: str = "ingested_at") -> DataFrame:
     """(scan, series, idx, last): the scans of each series numbered from 0 by their instant, ties by name.
 
-    idx comes from a sort of the series' own scans; `last` is the number of its last scan.
+    Scans are numbered within each month, and a running sum over the series' months is added, so that a series with ever
+    so many scans is sorted by several tasks. `last` is the number of its last scan; scans without instant come first.
     """
     src = manifest.where(F.col(scan).isNotNull()).select(F.col(scan).alias("scan"), F.col(order).alias("o"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(series)], F.col(at).alias("at"))
     names = [f"s{i}" for i in range(len(series))]
     one = latest(src, ["scan"], "o", [*names, "at"]).select("scan", key_hash(*names).alias("series"), instant(F.col("at")).alias("at"))
-    w = Window.partitionBy("series").orderBy(F.col("at").asc_nulls_first(), "scan")
-    return one.select("scan", "series", (F.row_number().over(w) - 1).alias("idx"), (F.count(F.lit(1)).over(Window.partitionBy("series")) - 1).cast("int").alias("last"))
+    one = one.withColumn("month", F.coalesce(F.date_format("at", "yyyyMM").cast("int"), F.lit(0)))
+    months = one.groupBy("series", "month").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("series").orderBy("month")
+    months = months.select("series", "month", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.sum("n").over(Window.partitionBy("series")) - 1).cast("int").alias("last"))
+    within = F.row_number().over(Window.partitionBy("series", "month").orderBy(F.col("at").asc_nulls_first(), "scan")) - 1
+    return one.withColumn("r", within).join(months, ["series", "month"]).select("scan", "series", (F.col("before") + F.col("r")).cast("int").alias("idx"), "last")
 
 
 def map_text(json_text: Column) -> Column:
@@ -48,6 +53,7 @@ def state_hash(*parts: Column) -> Column:
 
 def changes(rows: DataFrame, scans: DataFrame, block: int = BLOCK) -> DataFrame:
     """(scan_id, key, change_kind) from rows (scan, key, at, state) and numbered scans: added, removed or changed."""
+    scans = cut(scans)  # looked up twice
     one = latest(rows.where(F.col("key").isNotNull() & F.col("scan").isNotNull()), ["scan", "key"], "at", ["state"])
     small = row_bound(scans, BROADCAST_ROWS)
     placed = lookup(one, scans, ["scan"], "inner", small=small, hot=None if small else hot_keys(rows, "scan"), hot_col="scan")
