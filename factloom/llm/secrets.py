@@ -19,7 +19,8 @@ import math
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,11 +44,11 @@ Q = r"(?:\\?[\"'`]|&quot;|&#34;|&apos;|&#39;)"
 IDENT = r"[A-Za-z_][\w.:\-]*"
 _CRED_WORD = r"(?:pass(?:word|wd|wort|phrase)?|pwd|pw|psw|kennwort|contrase[nñ]a|mot[_\- ]?de[_\- ]?passe|senha|secret|token|credential|login|auth|key|jwt|bearer|sig|\.DSN|_DSN)"
 
-#: Where a line may hold a secret; a text without any of these has none.
-CANDIDATE = r"(?i)pass|pwd|\bpw\b|_pw\b|kennwort|contrase|senha|parola|secret|(?<!cancellation)token|credential|login|auth(?!or)|[a-z_-]key\b|jwt|bearer|basic |sig=|://[^/\s\"']{1,80}:[^/\s\"']{1,80}@|thin:|PRIVATE KEY-----|\beyJ[A-Za-z0-9_-]{8}|\bAKIA[A-Z0-9]{12}|\bgh[a-z]_|\bxox[a-z]-|\bAIza|/hooks?/|identified"
-#: The same, or more, for the JVM: pieces of lower-case texts, and a pattern for the pieces that are common in code.
-PIECES = ("pass", "pwd", "kennwort", "contrase", "senha", "parola", "secret", "credential", "login", "jwt", "bearer", "basic ", "sig=", "thin:", "private key-----", "eyj", "akia", "xox", "aiza", "/hook", "identified", "gho_", "ghp_", "ghs_", "ghu_", "ghr_")
-COMMON = r"[a-z_-]key\b|auth(?!or)|\bpw\b|_pw\b|(?<!cancellation)token|://[^/\s\"']{1,80}:[^/\s\"']{1,80}@"
+# Names that are also found when a key spells them as several words.
+JOINED = ("motdepasse", "apikey", "accesskey", "accountkey", "signingkey", "subscriptionkey", "secretkey", "privatekey", "sharedkey", "contrasena")
+# The keys of two rules that don't ask key_strength.
+COUPLE = "login|credentials?|auth|account"
+INNER = "password|passwd|passphrase|pwd|pass|pw|secret|accountkey|sharedaccesskey|accesskey|apikey|api_key|token|access_token|client_secret|sig|signature"
 
 # What follows is one list of (name, pattern); group "v" is the value, "k" the key that gives the context.
 _PATTERNS = (
@@ -60,11 +61,11 @@ _PATTERNS = (
     # f("KEY", "value"), also as a default
     ("call", rf"(?:setdefault|getProperty|getenv|get|setProperty|set|put|add|env)\s*\(\s*(?P<q1>[\"'])(?P<k>{IDENT})(?P=q1)\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)\s*\)"),
     # login = ("user", "value"), Credential("user", "value")
-    ("couple", rf"(?P<k>login|credentials?|auth|account)\w*\W{{0,6}}\s*[({{\[]\s*(?P<q1>[\"'])[^\"'\n]*(?P=q1)\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)\s*[)}}\]]"),
+    ("couple", rf"(?P<k>{COUPLE})\w*\W{{0,6}}\s*[({{\[]\s*(?P<q1>[\"'])[^\"'\n]*(?P=q1)\s*,\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)\s*[)}}\]]"),
     # "pw=" + "value"
     ("joined", r"[\"'][^\"'\n]*\b(?P<k>pw|pwd|pass|password|secret|token)\s*=\s*[\"']\s*\+\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)"),
     # password=value inside a longer text; quoted values may hold separators
-    ("inner", r"(?<![\w$%{-])(?P<k>password|passwd|passphrase|pwd|pass|pw|secret|accountkey|sharedaccesskey|accesskey|apikey|api_key|token|access_token|client_secret|sig|signature)\s*=\s*(?:(?P<q>\\?'|\\?\"|&quot;|&apos;)(?P<v>(?:(?!(?P=q)|\n).)*)(?P=q)|(?P<u>[^\s;,&\"'`<>)\\]+))"),
+    ("inner", r"(?<![\w$%{-])(?P<k>" + INNER + r")\s*=\s*(?:(?P<q>\\?'|\\?\"|&quot;|&apos;)(?P<v>(?:(?!(?P=q)|\n).)*)(?P=q)|(?P<u>[^\s;,&\"'`<>)\\]+))"),
     # user:value@host and user/value@host
     ("userinfo", r"\b[a-z][a-z0-9+.\-]*://(?P<k>[^\s:/@\"'<>]*):(?P<v>[^\s/@\"'<>]+)@"),
     ("userinfo", r"\bjdbc:oracle:thin:(?P<k>[^\s/@\"']+)/(?P<v>[^\s@\"']+)@"),
@@ -89,9 +90,9 @@ _PATTERNS = (
 _NEEDS = {"pair": ("=", ":"), "attr": ("value", "connectionstring"), "call": ("(",), "couple": ("login", "credential", "auth", "account"), "joined": ("+",), "inner": ("=",), "userinfo": ("@",), "hook": ("hook",), "env": ("=",), "option": ("-",), "sql": ("password", "identified"), "told": ("login", "credential", "account", "pass", "set ", "pwd", "token", "secret", "key"), "basic": ("basic",), "bearer": ("bearer",), "header": ("x-", "api-key")}
 _RULES = [(n.split()[0], (n.split()[1],) if " " in n else _NEEDS[n], re.compile(p, re.M if n == "env" else re.I | re.M)) for n, p in _PATTERNS if n != "named"]
 _NAMED = [re.compile(p, re.I) for n, p in _PATTERNS if n == "named"]
-_LINE = re.compile(CANDIDATE)
-# Shapes of well-known tokens.
-_TOKENS = re.compile(r"(?<![\w+/=-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[\w-]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:proj-)?[A-Za-z0-9]{20,}|glpat-[\w-]{20}|npm_[A-Za-z0-9]{30,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![\w+/])")
+# Shapes of well-known tokens, as (beginning, rest).
+_SHAPES = ((r"AKIA", r"[A-Z0-9]{16}"), (r"gh[pousr]_", r"[A-Za-z0-9]{30,}"), (r"xox[abprs]-", r"[A-Za-z0-9-]{20,}"), (r"AIza", r"[\w-]{30,}"), (r"sk_(?:live|test)_", r"[A-Za-z0-9]{16,}"), (r"sk-(?:proj-)?", r"[A-Za-z0-9]{20,}"), (r"glpat-", r"[\w-]{20}"), (r"npm_", r"[A-Za-z0-9]{30,}"), (r"eyJ", r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"))
+_TOKENS = re.compile(rf"(?<![\w+/=-])(?:{'|'.join(a + b for a, b in _SHAPES)})(?![\w+/])")
 _PEM = re.compile(r"-----BEGIN (?P<t>[A-Z0-9 ]*PRIVATE KEY)-----(?P<b>(?:\\[nr]|&#xA;|&#10;|\s|[\"'+,]|[A-Za-z0-9+/=:,-])*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\Z)")
 _PEM_BODY = re.compile(r"(?<![\\&#])[A-Za-z0-9+/]{16,}={0,2}")
 
@@ -167,7 +168,7 @@ def key_strength(key: str) -> int:
     for i in range(len(words) - 1, -1, -1):
         w = words[i]
         joined = "".join(words[max(0, i - 2):i + 1])
-        if w in NAMES or any(joined.endswith(x) for x in ("motdepasse", "apikey", "accesskey", "accountkey", "signingkey", "subscriptionkey", "secretkey", "privatekey", "sharedkey", "contrasena")):
+        if w in NAMES or any(joined.endswith(x) for x in JOINED):
             return 0 if any(x in OTHER for x in words[i + 1:]) or (w == "login" and i < len(words) - 1) else 2
         if w == "key":
             if i and words[i - 1] in KEY_OF:
@@ -178,6 +179,44 @@ def key_strength(key: str) -> int:
     return 0
 
 
+def _gate() -> tuple[list[str], list[str], str, str]:
+    """What must be there for a rule to accept a value: sure pieces, possible pieces, a pattern for these, odd spellings.
+
+    A lower-case line with a sure piece may hold a secret; one with a possible piece or an odd spelling must also match
+    the pattern. They are derived from what the rules need: a key that key_strength accepts, the fixed keys of the rules
+    that don't ask it, and the beginnings of tokens; they match within a line. The JVM knows only ASCII spaces and word
+    characters, so all others count as both.
+    """
+    high = "\u0080-\U0010ffff"
+    space, gap, any_word = rf"[ \t\r\f\x0b\x1c-\x1f{high}]*", r"[^a-zA-Z0-9\"\n]", rf"[\w{high}]*"
+    # Long names stand for the longer ones that hold them; short ones must be words as key_strength cuts them.
+    names = {n for n in NAMES if not n.endswith("key")}
+    long = sorted(n for n in names if len(n) > 4 or n in ("pass", "pwd", "jwt"))
+    long = [n for n in long if not any(m != n and m in n for m in long)]
+    short = [n for n in sorted(names) if not any(m in n for m in long)] + ["key"]
+    word = {n: rf"(?:(?<![A-Za-z]){n}|{n.title()})(?![a-z])|(?<![A-Z]){n.upper()}(?![A-Za-z])" for n in short}
+    word["key"] = rf"[A-Za-z0-9çñé]{gap}*(?:{word['key']})"
+    # Names that key_strength puts together from several words, and rules that ask no more than their own keys.
+    parts = [*word.values(), *(rf"(?iu:{f'{gap}*'.join(n)})" for n in JOINED)]
+    parts += [rf"(?iu:(?<![A-Za-z0-9_$%{{-])(?:{INNER}){space}=)", rf"(?iu:(?:{COUPLE}){any_word}[^A-Za-z0-9_\n]{{0,6}}{space}[({{\[]{space}[\"'])"]
+    parts += [r"://[^\s:/@\"'<>]*:[^\s/@\"'<>]+@", r"(?iu:basic[^A-Za-z0-9_]|api-key)", *(rf"(?<![A-Za-z0-9_+/=-]){a}" for a, _ in _SHAPES)]
+    sure = [*long, "oracle:thin:", "/hook", "identified", "private key-----", "\u017f"]  # the last: a letter that equals s when case is ignored
+    maybe = [*short, "account", "://", "basic", "akia", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "xox", "aiza", "sk_live_", "sk_test_", "sk-", "glpat-", "npm_", "eyj"]
+    odd = [rf"k{gap}+e{gap}*y", rf"ke{gap}+y", *(f"{gap}*".join(n) for n in JOINED if not n.endswith("key"))]
+    return sure, maybe, "|".join(parts), rf"(?iu:{'|'.join(odd)})"
+
+
+#: Where a line may hold a secret; a text without such a line has none.
+SURE, MAYBE, CANDIDATE, ODD = _gate()
+_CANDIDATE, _ODD = re.compile(CANDIDATE), re.compile(ODD)
+
+
+def _passes(line: str, odd: bool) -> bool:
+    """The test of may_hold for one line; `odd`: whether its text has an odd spelling anywhere."""
+    low = line.lower()
+    return any(x in low for x in SURE) or bool((odd or any(x in low for x in MAYBE)) and _CANDIDATE.search(line))
+
+
 class Scanner:
     def __init__(self, words: Dictionary):
         self.words = words
@@ -234,17 +273,18 @@ class Scanner:
         matches = []
         if '"value"' in text:
             matches += [("named", m) for rule in _NAMED for m in rule.finditer(text)]
-        end = -1
-        for at in _LINE.finditer(text):
-            if at.start() < end:
-                continue  # its line has been seen
-            start = text.rfind("\n", 0, at.start()) + 1
-            end = (text.find("\n", at.end()) + 1 or len(text) + 1) - 1
-            low = text[start:end].lower()
+        odd, end = bool(_ODD.search(text)), -1
+        while end < len(text):
+            start = end + 1
+            end = (text.find("\n", start) + 1 or len(text) + 1) - 1
+            if not _passes(text[start:end], odd):
+                continue
             beyond = (text.find("\n", end + 1) + 1 or len(text) + 1) - 1
+            low, both = text[start:end].lower(), text[start:beyond].lower()
             for name, need, rule in _RULES:
-                if any(x in low for x in need):
-                    matches += [(name, m) for m in rule.finditer(text, start, beyond if name in ("attr", "pair") else end)]
+                two = name in ("attr", "pair")
+                if any(x in (both if two else low) for x in need):
+                    matches += [(name, m) for m in rule.finditer(text, start, beyond if two else end)]
         for name, m in matches:
             group = "v" if m["v"] is not None else "u"
             value, key = m[group], m["k"] or ""
@@ -317,11 +357,10 @@ def scanner(path: str) -> Scanner:
 
 def may_hold(text: Column | str) -> Column:
     """The JVM's cheap test that spares Python most rows."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    test = low.contains(PIECES[0])
-    for piece in PIECES[1:]:
-        test = test | low.contains(piece)
-    return F.coalesce(test | low.rlike(COMMON), F.lit(False))
+    raw = F.col(text) if isinstance(text, str) else text
+    low = F.lower(raw)
+    sure, maybe = (reduce(or_, [low.contains(x) for x in pieces]) for pieces in (SURE, MAYBE))
+    return F.coalesce(sure | ((maybe | raw.rlike(ODD)) & raw.rlike(CANDIDATE)), F.lit(False))
 
 
 def found_lines(df: DataFrame, text: str, keys: list[str], one_line: bool = False, words: str | None = None) -> DataFrame:
