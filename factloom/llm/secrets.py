@@ -18,6 +18,7 @@ import json
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import or_
@@ -29,10 +30,8 @@ from pyspark.sql import functions as F
 MASK = "REDACTED"
 #: Words a passphrase has at least, and unexplained characters that a text of words may have at most.
 PASSPHRASE_WORDS, RESIDUAL = 4, 2
-#: The longest literal that is segmented; longer ones are judged as unexplained.
-MAX_SEGMENT = 200
-#: Length and Shannon entropy (bits a character) above which a residual in no context at all is a token.
-FREE_LENGTH = 20
+#: Length, Shannon entropy (bits a character) and unexplained share from which an argument in no context at all is a token.
+FREE_LENGTH, FREE_ENTROPY, FREE_RESIDUAL = 20, 3.5, 0.4
 
 # Names of secrets in keys, in several languages.
 NAMES = set("password passwd passwort kennwort contrasena motdepasse senha parola wachtwoord pwd pass pw psw passphrase secret token apikey credential credentials auth authorization bearer jwt sig signature accesskey accountkey secretkey privatekey signingkey subscriptionkey sharedkey login".split())
@@ -93,6 +92,9 @@ _NAMED = [re.compile(p, re.I) for n, p in _PATTERNS if n == "named"]
 # Shapes of well-known tokens, as (beginning, rest).
 _SHAPES = ((r"AKIA", r"[A-Z0-9]{16}"), (r"gh[pousr]_", r"[A-Za-z0-9]{30,}"), (r"xox[abprs]-", r"[A-Za-z0-9-]{20,}"), (r"AIza", r"[\w-]{30,}"), (r"sk_(?:live|test)_", r"[A-Za-z0-9]{16,}"), (r"sk-(?:proj-)?", r"[A-Za-z0-9]{20,}"), (r"glpat-", r"[\w-]{20}"), (r"npm_", r"[A-Za-z0-9]{30,}"), (r"eyJ", r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"))
 _TOKENS = re.compile(rf"(?<![\w+/=-])(?:{'|'.join(a + b for a, b in _SHAPES)})(?![\w+/])")
+# A long literal without spaces that may be an argument, with or without its name; the JVM tests the same pattern.
+ARGUMENT = rf"(?:[(,]|[\w)]\s*[:=])\s*[@bruN$]?\\?[\"'`]([\w+/=.~:!#%&*?^-]{{{FREE_LENGTH},}})\\?[\"'`](?=\s*[,)])"
+_ARGUMENT = re.compile(ARGUMENT, re.A)
 _PEM = re.compile(r"-----BEGIN (?P<t>[A-Z0-9 ]*PRIVATE KEY)-----(?P<b>(?:\\[nr]|&#xA;|&#10;|\s|[\"'+,]|[A-Za-z0-9+/=:,-])*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\Z)")
 _PEM_BODY = re.compile(r"(?<![\\&#])[A-Za-z0-9+/]{16,}={0,2}")
 
@@ -217,12 +219,49 @@ def _passes(line: str, odd: bool) -> bool:
     return any(x in low for x in SURE) or bool((odd or any(x in low for x in MAYBE)) and _CANDIDATE.search(line))
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def is_argument(text: str, at: int, known: dict[int, bool]) -> bool:
+    """Whether what begins at `at` stands directly in the round brackets of a call or constructor.
+
+    `known` has the answers for places before; the way back ends at one on the same level, so it is walked once.
+    """
+    depth, i, got = 0, at - 1, False
+    while i >= 0:
+        c = text[i]
+        if not depth and i in known:
+            got = known[i]
+            break
+        if c in ")]}":
+            depth += 1
+        elif c in "([{":
+            if not depth:
+                j = i - 1
+                while j >= 0 and text[j].isspace():
+                    j -= 1
+                got = c == "(" and j >= 0 and (text[j].isalnum() or text[j] in "_>])")
+                break
+            depth -= 1
+        i -= 1
+    known[at] = got
+    return got
+
+
 class Scanner:
     def __init__(self, words: Dictionary):
         self.words = words
 
     def _explained(self, value: str) -> tuple[list[str], int]:
-        return self.words.segment(value) if len(value) <= MAX_SEGMENT else ([], len(value))
+        return self.words.segment(value)
+
+    def is_token(self, value: str) -> bool:
+        """Whether a literal in no context is a token: long, of high entropy and not explained by words."""
+        if len(value) < FREE_LENGTH or _NO_SECRET.match(value) or _CODE.match(value) or _HEX.match(value) or "://" in value:
+            return False
+        return entropy(value) >= FREE_ENTROPY and self._explained(value)[1] >= FREE_RESIDUAL * len(value)
 
     def is_secret(self, value: str, strength: int) -> bool:
         """Whether a value in a context of that strength is a secret."""
@@ -270,6 +309,8 @@ class Scanner:
                 found += body
                 starts[body[0]] = m.start()
         found += [m.span() for m in _TOKENS.finditer(text)]
+        known: dict[int, bool] = {}
+        found += [m.span(1) for m in _ARGUMENT.finditer(text) if self.is_token(m[1]) and is_argument(text, m.start(1), known)]
         matches = []
         if '"value"' in text:
             matches += [("named", m) for rule in _NAMED for m in rule.finditer(text)]
@@ -360,7 +401,7 @@ def may_hold(text: Column | str) -> Column:
     raw = F.col(text) if isinstance(text, str) else text
     low = F.lower(raw)
     sure, maybe = (reduce(or_, [low.contains(x) for x in pieces]) for pieces in (SURE, MAYBE))
-    return F.coalesce(sure | ((maybe | raw.rlike(ODD)) & raw.rlike(CANDIDATE)), F.lit(False))
+    return F.coalesce(sure | ((maybe | raw.rlike(ODD)) & raw.rlike(CANDIDATE)) | raw.rlike(ARGUMENT), F.lit(False))
 
 
 def found_lines(df: DataFrame, text: str, keys: list[str], one_line: bool = False, words: str | None = None) -> DataFrame:

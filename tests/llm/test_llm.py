@@ -194,6 +194,25 @@ def test_gates_let_through_what_the_rules_accept(spark, scanner, monkeypatch):
     assert spark.createDataFrame([(t,) for t in held], "t string").where(~secrets.may_hold("t")).collect() == []
 
 
+def test_literals_without_a_key(spark, scanner):
+    a, b, c = "hlx-l8Iqcu5XMaqvxC5R9zX8xCCfxeuppva5", "lH/GrZ8/hFi+thB/mEoSdX3CYsJs1Xz3dA1a+xYu", "TeD8VWuwxD4NleZxHVcHjeoreNTxfhtP"
+    for text in (f'{{"e":"new ApiClient(\\"{a}\\", retry: 3)"}}', f'f("x;y", "{a}","{b}" , [1], arg: \'{c}\')', f"g(h(1), [2],\n  '{a}')", f"new List<int> (@\"{b}\")"):
+        want = text
+        for v in (a, b, c):
+            want = want.replace(v, secrets.MASK)
+        assert scanner.redact(text) == want != text
+        assert spark.createDataFrame([(text,)], "t string").where(secrets.may_hold("t")).count() == 1
+    many = "[" + ", ".join(f'"{a}"' for _ in range(20_000)) + "]"
+    for text in (many, f'x = ["{a}"]', f'{{"id": "{a}", "n": 1}}', 'f("application/vnd.openxmlformats-document", "SomeVeryLongClassNameOfTheThing")', 'f("6ed8d16ab9935a77c5203684feb2adc119a4d234")', 'f("https://h.x/aB3dE5fG7hJ9kL1mN3pQ5")'):
+        assert scanner.spans(text) == []
+
+
+def test_long_sentences_are_read_like_short_ones(scanner):
+    sentence = "enter the name and the number that the office has given you when you began to work here " * 4
+    for n in (150, 199, 201, 350):
+        assert scanner.lines(f'"login": "{sentence[:n].strip()}"') == []
+
+
 # ---- files not written by hand
 
 DTO = "export interface IA {\n" + "".join(f"  f{i}?: string | undefined;\n" for i in range(14)) + "}\n"
