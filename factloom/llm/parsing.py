@@ -61,14 +61,14 @@ def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        for *key, lang, text in pdf[[*KEYS, "lang", "content"]].itertuples(index=False, name=None):
+        for id_, lang, text in pdf[["id", "lang", "content"]].itertuples(index=False, name=None):
             for i, c in enumerate(brackets.chunks(plain(text))):
-                yield pd.DataFrame([(*key, lang, i, c)], columns=[*KEYS, "lang", "i", "chunk"])
+                yield pd.DataFrame([(id_, lang, i, c)], columns=["id", "lang", "i", "chunk"])
 
 
 def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        out = pdf[[*KEYS, "lang", "i"]].copy()
+        out = pdf[["id", "i"]].copy()
         out["part"] = [pickle.dumps(brackets.state_map(c, x, i == 0)) for c, x, i in zip(pdf["chunk"], pdf["lang"], pdf["i"])]
         yield out
 
@@ -76,7 +76,7 @@ def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     maps = [pickle.loads(x) for x in pdf.sort_values("i")["part"]]
     done = brackets.balanced(reduce(brackets.combine, maps)["code"])
-    return pdf.head(1)[[*KEYS, "lang"]].assign(balanced=done)
+    return pdf.head(1)[["id"]].assign(balanced=done)
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,13 +91,16 @@ def judged(files: DataFrame, big: int = BIG) -> DataFrame:
     src = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(*KEYS, "content", extension("relative_path").alias("lang")).where(F.col("lang").isin(*LANGUAGES))
     keys = "scan_id string, repo string, relative_path string, lang string"
     small = src.where(F.length("content") <= big).mapInPandas(_judge, keys + ", ok boolean")
-    large = src.where((F.length("content") > big) & (F.col("lang") != "config"))
-    parts = large.mapInPandas(_cut_up, keys + ", i int, chunk string").repartition(*KEYS, "i").mapInPandas(_summarise, keys + ", i int, part binary")
+    # Rows of the same item and content are one file with one id; other versions of the item are files of their own.
+    apart = [F.coalesce(F.sha2(c, 256), F.lit("-")) for c in (*KEYS, "content")]
+    large = src.where((F.length("content") > big) & (F.col("lang") != "config")).withColumn("id", F.sha2(F.concat_ws(" ", *apart), 256))
+    cut_up = large.mapInPandas(_cut_up, "id string, lang string, i int, chunk string").repartition("id", "i").dropDuplicates(["id", "i"])
     # A file's summaries are far smaller than the file, which was one row itself.
-    shapes = parts.groupBy(*KEYS, "lang").applyInPandas(_reduce, keys + ", balanced boolean")
-    broken = shapes.where(~F.col("balanced")).select(*KEYS, "lang", F.lit(False).alias("ok"))
-    fine = shapes.where("balanced").select(*KEYS)
-    read = large.join(fine, KEYS, "left_semi").unionByName(src.where((F.length("content") > big) & (F.col("lang") == "config"))).mapInPandas(_read, keys + ", ok boolean")
+    shapes = cut_up.mapInPandas(_summarise, "id string, i int, part binary").groupBy("id").applyInPandas(_reduce, "id string, balanced boolean")
+    seen = large.join(shapes, "id")
+    broken = seen.where(~F.col("balanced")).select(*KEYS, "lang", F.lit(False).alias("ok"))
+    fine = seen.where("balanced").select(*KEYS, "content", "lang")
+    read = fine.unionByName(src.where((F.length("content") > big) & (F.col("lang") == "config"))).mapInPandas(_read, keys + ", ok boolean")
     every = small.unionByName(broken).unionByName(read)
     return every.groupBy(*KEYS, "lang").agg(F.min("ok").alias("ok"))
 

@@ -313,6 +313,17 @@ def test_judged_files_small_and_big(spark):
     assert parsing.judged(df.limit(0)).count() == 0
 
 
+def test_big_files_repeated_in_versions_and_without_a_repo(spark):
+    body = "class A {\n" + "".join(f"  /* a\n  b */ void F{i}(int[] x) {{\n    G(x[{i}]);\n  }}\n" for i in range(1800)) + "}\n"
+    rows = [("s", "r", "twice.cs", body), ("s", "r", "twice.cs", body), ("s", "r", "two.cs", body), ("s", "r", "two.cs", body[:-2]), ("s", "r", "both.cs", body), ("s", "r", "both.cs", body + "\nclass B { }\n"), ("s", None, "none.cs", body[:-2]), ("s", None, "fine.cs", body), (None, None, "none.cs", body)]
+    df = spark.createDataFrame(rows, "scan_id string, repo string, relative_path string, content string")
+    assert len(brackets.chunks(body)) > 2
+    whole = {(r.scan_id, r.repo, r.relative_path): r.ok for r in parsing.judged(df).collect()}
+    cut = [((r.scan_id, r.repo, r.relative_path), r.ok) for r in parsing.judged(df, big=100).collect()]
+    assert len(cut) == len(whole) == 6 and dict(cut) == whole
+    assert {k[2] for k, ok in whole.items() if not ok and k[0]} == {"two.cs", "none.cs"}
+
+
 def test_deeply_nested_text_is_no_error():
     assert parsing.parses("x = " + "(" * 50_000 + "1" + ")" * 50_000 + ";", "js") and parsing.parses("[" * 100_000 + "]" * 100_000, "json")
 
