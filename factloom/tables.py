@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from functools import reduce
 
@@ -20,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's checkpoint folder; only where none is configured (tests) use a local temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is configured a single-machine session gets one of its own; any other
+    one is refused, as its machines share no folder that we could choose."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), "factloom-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(conf or os.path.join(tempfile.gettempdir(), "factloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
