@@ -96,8 +96,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     docs = _documents(spark, d, "source")
-    net = abuse.train(*abuse.sample(docs, table(spark, d, "labels")))
-    return abuse.scored(docs, net, ["doc_id", *keep])
+    return abuse.scored(docs, abuse.fitted(docs, table(spark, d, "labels")), ["doc_id", *keep])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

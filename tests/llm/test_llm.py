@@ -333,7 +333,10 @@ def test_deeply_nested_text_is_no_error():
 
 def test_words_are_folded():
     assert abuse.words("You M0r0n, i d i o t! haaaalfwit fuсk") [:1] == ["you"] and "moron" in abuse.words("M0r0n") and "idiot" in abuse.words("an i d i o t!") and "fuck" in abuse.words("fuсk")
-    assert abuse.words("snake_case fooBar 12") == ["<name>", "<name>", "<number>"] and abuse.words(None) == [] and abuse.words("") == []
+    assert abuse.words("snake_case fooBar 12 2025-03-15T11:02:09Z") == ["snake", "case", "foo", "bar", *["<number>"] * 4]
+    assert abuse.words("YouStupidIdiot you_are_an_idiot sTuPiD iDiOt") == ["you", "stupid", "idiot", "you", "are", "an", "idiot", "stupid", "idiot"]
+    assert abuse.words("p\u200bi\u200bg p.i.g CRE\u0301TIN") == ["pig", "pig", "cretin"] and "".join(abuse.words("abcdefghij" * 9)) == "abcdefghij" * 9
+    assert abuse.words(None) == [] and abuse.words("") == []
 
 
 def test_windows_cover_every_word():
@@ -343,11 +346,15 @@ def test_windows_cover_every_word():
 
 
 def test_gradients():
-    net = abuse.Network(3)
+    net = abuse.Network({w: i for i, w in enumerate("abc", 1)}, {g: i for i, g in enumerate(["<a>", "<b>", "<d>"], 1)}, 3)
     r = np.random.default_rng(0)
-    net.p["E"][:] = r.normal(0, 0.3, net.p["E"].shape)
+    net.p["E"][1:] = r.normal(0, 0.3, net.p["E"][1:].shape)
     batch, y = [["a", "b", "c"], ["b", "d"]], np.array([1.0, 0.0], np.float32)
 
+    class Kept:
+        def random(self, n):
+            return np.ones(n)
+
     def loss():
         voc = {w: i for i, w in enumerate(dict.fromkeys(w for t in batch for w in t))}
         ids = np.array([[voc[w] for w in t] + [-1] * (abuse.WINDOW - len(t)) for t in batch])
@@ -356,10 +363,10 @@ def test_gradients():
 
     before = {k: v.copy() for k, v in net.p.items()}
     state: dict = {}
-    net.step(batch, y, np.ones(2, np.float32), state, 1)
+    net.step(batch, y, np.ones(2, np.float32), state, 1, Kept())
     grad = {k: m / 0.1 for k, (m, _) in state.items()}
     net.p = {k: v.copy() for k, v in before.items()}
-    for k in ("Wf", "Uf", "Ur", "a", "o", "cr", "E"):
+    for k in ("W", "U", "a", "o", "c", "E", "C"):
         flat = np.abs(grad[k]).argmax()
         at = np.unravel_index(flat, grad[k].shape)
         old = net.p[k][at]
@@ -389,27 +396,61 @@ def corpus(n, seed):
     return texts, labels
 
 
+def folded(n, seed):
+    texts, labels = corpus(n, seed)
+    return [abuse.words(t) for t in texts], labels
+
+
 def test_held_out_quality():
-    net = abuse.train(*corpus(500, 1))
+    net = abuse.train(*folded(500, 1))
     texts, _ = corpus(300, 2)
     truth = np.array([any(x in t for x in ("pathetic", "nobody likes", "worthless", "shut your")) for t in texts])
     hit = net.score([abuse.words(t) for t in texts]) > abuse.THRESHOLD
     assert (hit & truth).sum() / truth.sum() > 0.9 and (hit & truth).sum() / max(1, hit.sum()) > 0.9
-    again = abuse.train(*corpus(500, 1))
-    assert np.array_equal(net.p["o"], again.p["o"])
+    again = abuse._unpack(abuse._pack(abuse.train(*folded(500, 1))))
+    assert np.array_equal(net.p["o"], again.p["o"]) and np.array_equal(net.score([["moron", "x"]]), again.score([["moron", "x"]]))
+
+
+def test_company_does_not_make_a_word_abusive():
+    """A word that stands in abusive runs and in harmless ones is learnt with its company."""
+    texts, labels = folded(600, 1)
+    for i in range(0, len(texts), 9):
+        if not labels[i]:
+            texts[i] = texts[i] + abuse.words("the worthless cache was the cause")
+    net = abuse.train(texts, labels)
+    assert net.score([abuse.words("the build agent writes 3 lines. the worthless cache was the cause")])[0] < 0.5 < net.score([abuse.words("what a worthless moron wrote this mess")])[0]
+
+
+def test_runs_need_evidence():
+    assert abuse.train([["a", "b"]] * 40, [1] * 40) is None and abuse.train([], []) is None
+    few = [[f"w{i}", "x", f"v{i}"] for i in range(20)]
+    assert abuse.train(few, [1, 0] * 10) is None
 
 
 def test_scores_of_odd_texts(spark):
-    net = abuse.train(*corpus(60, 5))
+    net = abuse.train(*folded(300, 5))
     rows = [(1, None, "a", 0.5), (2, "", "a", 0.5), (3, "   ", "a", 0.5), (4, "fine words " * 20_000, "a", 0.5), (4, "fine words", "a", 0.5)]
-    got = abuse.scored(spark.createDataFrame(rows, "doc_id long, text string, source string, extra double"), net, ["doc_id", "source"]).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra double")
+    got = abuse.scored(df, net, ["doc_id", "source"]).collect()
     assert len(got) == 5 and all(r.score == 0 for r in got[:3]) and all(0 <= r.score <= 1 for r in got)
-    assert abuse.train([], []).score([["x"]]).shape == (1,)
+    assert [r.score for r in abuse.scored(df, None, ["doc_id"]).collect()] == [0] * 5
+
+
+def test_a_network_is_fitted_once(spark, monkeypatch, tmp_path):
+    texts, labels = corpus(200, 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    first = abuse.fitted(docs, marks, str(tmp_path))
+    monkeypatch.setattr(abuse, "train", lambda *a: 1 / 0)
+    again = abuse.fitted(docs, marks, str(tmp_path))
+    assert np.array_equal(first.p["o"], again.p["o"]) and first.known == again.known
+    with pytest.raises(ZeroDivisionError):
+        abuse.fitted(docs, marks.limit(50), str(tmp_path))
 
 
 def test_labels_majority_and_bounds(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "s") for i in range(6)] + [(7, None, "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (1, 0), (1, 1), (2, None), (3, 0), (4, 0), (7, 1), (9, 1)], "doc_id long, toxic int")
     texts, y = abuse.sample(docs, labels)
-    assert dict(zip(texts, y)) == {"text 0": 1, "text 3": 0, "text 4": 0}
+    assert sorted(zip(texts, y)) == [(["text", "<number>"], 0)] * 2 + [(["text", "<number>"], 1)]
     assert len(abuse.sample(docs, labels, 1, 1)[0]) == 2
