@@ -1,17 +1,24 @@
 """Files that nobody wrote by hand: generated, minified, vendored or data saved as code.
 
-Each file is judged by header rules (what tools write on top of their output) and layout rules (repeated line shapes,
-line lengths, literal mass), a map without shuffle. Vendored copies are found by Merkle hashes: a file's leaf hash covers
-its text without comments and spacing, a folder's hash combines its children's names and hashes, bottom-up by level.
-Subtrees shared by unrelated repositories (no common owner, the part before '/') are vendored, and so are all copies of a
-file that carries a third party's licence header, and files that begin like one under the same name.
+Generated, minified and data files are told by header rules (what tools write on top of their output) and layout rules
+(repeated line shapes, line lengths, literal mass), a map without shuffle. Vendored copies are found by Merkle hashes: a
+code file's normalised text is cut into blocks of statements at places that its own content chooses, the blocks' hashes
+give the file's, and a folder's hash combines its children's names and hashes, bottom-up level by level. Any other file is
+hashed by its bytes; files without content are neutral.
+
+* Subtrees (files or folders with at least MIN_SHARED characters of code) shared by unrelated repositories (no common
+  owner, the part before '/') are vendored, with all that lies in them.
+* A file is a damaged or edited copy if NEAR of its mass lies in blocks of vendored files. A block counts as theirs if of
+  the different texts that hold it at least THEIRS are vendored, so that customary lines prove nothing.
+* A licence header of a third party with its version or authors, unless it names the repository's owner, says so by itself.
 
 Folder hashes are sums and xors over their children, so a folder with ever so many children is combined before the
-shuffle. Known copies are joined by hash, after both sides are reduced to one row a hash.
+shuffle, as are the texts that hold a block. Known copies are joined by hash, one row a hash.
 
-Defined results: files without content (null or empty) or of a kind that isn't code (.env, .json, .config) are hand-written.
-Binary junk, patches, error pages and merely damaged files are none of these cases. Repeated rows of an item count once
-(the greatest content wins a tie). Extra columns are ignored.
+Defined results: files without content (null or empty) are hand-written, and so are those of a kind that isn't code (.env,
+.json, .config) outside shared folders. Binary junk, patches, error pages and merely damaged hand-written files are none of
+these cases. Repeated rows of an item count once (the greatest content wins a tie). Items without scan or path are dropped;
+one without repository belongs to no owner and shares nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +29,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, union
 
-#: Normalised characters below which equal content proves nothing, and those that name a file's beginning.
-MIN_SHARED, PREFIX = 80, 240
-#: Folder levels that are told apart; deeper ones count as part of the name.
-MAX_LEVELS = 32
+#: Normalised characters of code below which equal content proves nothing.
+MIN_SHARED = 80
+#: One of so many statements, chosen by its hash, ends a block.
+STATEMENTS = 4
+#: Share of a copy's mass in vendored blocks, and share of vendored ones among the texts that hold such a block.
+NEAR, THEIRS = 0.5, 0.2
 CODE = ("cs", "ts", "js", "py", "java", "sql")
-FACTS = "scan_id string, repo string, relative_path string, verdict string, leaf string, prefix string, size int"
+FACTS = "scan_id string, repo string, relative_path string, verdict string, leaf binary, size int, blocks array<struct<h: bigint, n: int>>"
 
 # What tools write on top of their output, as whole comment lines.
 _HEADER = re.compile(r"""^\W{0,6}(?:rem\s)?\s*(?:
@@ -50,6 +60,8 @@ _LICENCE = re.compile(r"(?i)SPDX-License-Identifier|licensed\s+under|released\s+
 _VERSION = re.compile(r"(?m)^\W{0,4}!?\s*[\w.\-]+(?:\.js)?\s+v?\d+\.\d+(?:\.\d+)?\b")
 _AUTHORS = re.compile(r"(?i)(?:\(c\)|©|copyright)\s.*\b(?:authors|contributors|foundation|inc|ltd|project)\b")
 _INHOUSE = re.compile(r"(?i)internal use only|proprietary|confidential")
+_LEAD = re.compile(r"\s*(?:/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|(?://|\#|--|;|'|\*|rem\b)[^\n]*(?:\n|\Z))", re.S | re.I)
+_HOLDER = re.compile(r"(?i)(?:\(c\)|©|copyright)[^\n]*")
 _JUNK = re.compile("[\x00-\x08\x0e-\x1f�]")
 _NOT_CODE = re.compile(r"\A﻿?\s*(?:<[!?\w]|diff --git|--- a/|Index: )", re.I)
 _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
@@ -64,16 +76,18 @@ def _shape(line: str) -> str:
     return re.sub(r"\d+", "0", line)
 
 
-def generated_header(text: str, kind: str) -> bool:
-    """Whether a comment line among the first ones is a tool's own header."""
-    for line in text.lstrip("﻿").splitlines()[:60]:
-        if not line.strip():
-            continue
-        if not _COMMENT.match(line):
-            return False
-        if _HEADER.match(line.strip().rstrip("*/ ")):
-            return True
-    return False
+def leading_comments(text: str) -> str:
+    """All comments before the first code, whatever their length, line and block comments alike."""
+    text = text.lstrip("\ufeff")
+    i = 0
+    while m := _LEAD.match(text, i):
+        i = m.end()
+    return text[:i]
+
+
+def generated_header(text: str) -> bool:
+    """Whether a line of the leading comments is a tool's own header."""
+    return any(_HEADER.match(x.strip().rstrip("*/ ")) for x in leading_comments(text).splitlines())
 
 
 def generated_layout(lines: list[str]) -> bool:
@@ -117,35 +131,53 @@ def data_blob(lines: list[str], text: str, kind: str) -> bool:
     return size > 600 and long_ > 0.8 * size
 
 
-def third_party_header(text: str) -> bool:
-    head = text[:1500]
-    return bool(_LICENCE.search(head) and not _INHOUSE.search(head) and (_VERSION.search(head) or _AUTHORS.search(head)))
+def third_party_header(text: str, owner: str | None) -> bool:
+    """Whether the leading comments hold a third party's licence; a copyright in the owner's name is in-house."""
+    head = leading_comments(text)
+    if not _LICENCE.search(head) or _INHOUSE.search(head) or not (_VERSION.search(head) or _AUTHORS.search(head)):
+        return False
+    return not (owner and any(re.search(rf"(?i)(?<!\w){re.escape(owner)}(?!\w)", x) for x in _HOLDER.findall(head)))
 
 
-def normalised(text: str, kind: str) -> str:
-    """The text without comments, byte-order mark and white space."""
-    t = text.lstrip("﻿")
+def statements(text: str, kind: str) -> list[str]:
+    """The statements of a text without comments, byte-order mark and white space, however lines are broken."""
+    t = text.lstrip("\ufeff")
     if kind == "py":
         t = re.sub(r"(?m)^\s*#.*$", "", t)
     elif kind == "sql":
         t = re.sub(r"(?m)^\s*--.*$", "", t)
     else:
         t = re.sub(r"(?s)/\*.*?\*/", "", re.sub(r"(?m)^\s*//.*$", "", t))
-    return re.sub(r"\s+", "", t)
+    return [x for x in (re.sub(r"\s+", "", u) for u in re.split(r"(?<=[;{}\n])", t)) if x]
+
+
+def blocks_of(parts: list[str]) -> list[tuple[int, int]]:
+    """(hash, size) of the blocks of statements; where one ends depends on its last statement alone."""
+    out, now = [], []
+    for x in parts:
+        raw = x.encode("utf-8", "surrogatepass")
+        now.append(raw)
+        if xxhash.xxh64_intdigest(raw, 1) % STATEMENTS == 0:
+            out.append(now)
+            now = []
+    return [(xxhash.xxh64_intdigest(b"\n".join(x)) - (1 << 63), sum(map(len, x))) for x in [*out, now] if x]
 
 
-def judge(path: str, text: str | None) -> tuple[str | None, str | None, str | None, int]:
-    """(verdict by rules or None, leaf hash, hash of the beginning, normalised size)."""
+def judge(path: str, text: str | None, owner: str | None = None) -> tuple[str | None, bytes | None, int, list[tuple[int, int]]]:
+    """(verdict by rules or None, leaf hash, normalised size of code, blocks)."""
     kind = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    if not text or kind not in CODE or len(_JUNK.findall(text[:4000])) > 2 or _NOT_CODE.match(text):
-        return None, None, None, 0
-    plain = normalised(text, kind)
-    leaf = hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()[:32] if len(plain) >= MIN_SHARED else None
-    prefix = hashlib.sha256(plain[:PREFIX].encode("utf-8", "surrogatepass")).hexdigest()[:32] if len(plain) >= PREFIX else None
-    lines = [x for x in text.lstrip("﻿").splitlines() if x.strip() and not _COMMENT.match(x) and x.strip() not in ("{", "}", "};", ");", ")", "(")]
-    if generated_header(text, kind):
+    if not text:
+        return None, None, 0, []
+    junk = len(_JUNK.findall(text))
+    if kind not in CODE or (junk > 2 and junk > len(text) / 2000) or _NOT_CODE.match(text):
+        plain = text.lstrip("\ufeff").replace("\r\n", "\n")
+        return None, hashlib.sha256(b"file\n" + plain.encode("utf-8", "surrogatepass")).digest()[:16], 0, []
+    blocks = blocks_of(statements(text, kind))
+    leaf = hashlib.sha256(b"code\n" + b"".join(h.to_bytes(8, "big", signed=True) for h, _ in blocks)).digest()[:16]
+    lines = [x for x in text.lstrip("\ufeff").splitlines() if x.strip() and not _COMMENT.match(x) and x.strip() not in ("{", "}", "};", ");", ")", "(")]
+    if generated_header(text):
         verdict = "generated"
-    elif third_party_header(text):
+    elif third_party_header(text, owner):
         verdict = "vendored"
     elif minified(text, kind):
         verdict = "minified"
@@ -155,74 +187,89 @@ def judge(path: str, text: str | None) -> tuple[str | None, str | None, str | No
         verdict = "generated"
     else:
         verdict = None
-    return verdict, leaf, prefix, len(plain)
+    return verdict, leaf, sum(n for _, n in blocks), blocks
+
+
+def _owner(repo: str | None) -> str | None:
+    return repo.split("/", 1)[0] if isinstance(repo, str) else None
 
 
 def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        out = [(s, r, p, *judge(p, c)) for s, r, p, c in pdf[["scan_id", "repo", "relative_path", "content"]].itertuples(index=False, name=None)]
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in FACTS.split(", ")])
+        out = []
+        for s, r, p, c in pdf[["scan_id", "repo", "relative_path", "content"]].itertuples(index=False, name=None):
+            *head, blocks = judge(p, c, _owner(r))
+            out.append((s, r, p, *head, [{"h": h, "n": n} for h, n in blocks]))
+        yield pd.DataFrame(out, columns=["scan_id", "repo", "relative_path", "verdict", "leaf", "size", "blocks"])
 
 
 def file_facts(files: DataFrame) -> DataFrame:
     """FACTS of each item of `files` (scan_id, repo, relative_path, content)."""
     src = files.where(F.col("scan_id").isNotNull() & F.col("relative_path").isNotNull())
     facts = src.select("scan_id", "repo", "relative_path", "content").mapInPandas(_judge, FACTS)
-    cols = ["repo", "verdict", "leaf", "prefix", "size"]
+    cols = ["repo", "verdict", "leaf", "size", "blocks"]
     one = facts.groupBy("scan_id", "relative_path").agg(F.max(F.struct(*cols)).alias("x"))
     return one.select("scan_id", "relative_path", *[F.col(f"x.{c}").alias(c) for c in cols])
 
 
 def subtrees(facts: DataFrame) -> DataFrame:
-    """(scan_id, repo, path, level, hash, n_files) of every file and folder, hashed bottom-up level by level.
+    """(scan_id, repo, path, level, hash, size) of every file and folder, hashed bottom-up, one round a level.
 
-    A folder's hash combines its children's names and hashes; files without a leaf hash leave it without one.
+    A folder's hash combines its children's names and hashes; files without a hash leave no trace in it.
     """
-    parts = F.split("relative_path", "/")
-    level = F.least(F.size(parts), F.lit(MAX_LEVELS))
-    path = F.when(F.size(parts) <= MAX_LEVELS, parts).otherwise(F.concat(F.slice(parts, 1, MAX_LEVELS - 1), F.array(F.array_join(F.expr(f"slice(split(relative_path, '/'), {MAX_LEVELS}, size(split(relative_path, '/')))"), "/"))))
-    nodes = cut(facts.select("scan_id", "repo", path.alias("path"), level.alias("level"), F.unhex("leaf").alias("hash"), F.lit(1).cast("long").alias("n_files"), F.col("size").cast("long").alias("size")))
+    nodes = cut(facts.select("scan_id", "repo", F.col("relative_path").alias("path"), F.size(F.split("relative_path", "/")).alias("level"), F.col("leaf").alias("hash"), F.col("size").cast("long").alias("size")))
     deepest = nodes.agg(F.max("level")).first()[0] or 0
     done, at = [nodes], nodes.where(F.col("level") == deepest)
-    for depth in range(deepest, 1, -1):
-        name, child = F.element_at("path", -1), F.col("hash")
-        up = at.groupBy("scan_id", F.slice("path", 1, depth - 1).alias("path")).agg(
-            F.max("repo").alias("repo"), F.sum("n_files").alias("n_files"), F.sum("size").alias("size"), F.count_if(child.isNull()).alias("open"), F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64(F.lit(1), name, child)).alias("x"), F.sum(F.xxhash64(F.lit(2), name, child).cast("decimal(38,0)")).alias("s"),
+    for level in range(deepest, 1, -1):
+        name, child = F.substring_index("path", "/", -1), F.col("hash")
+        mixed = lambda seed: F.when(child.isNotNull(), F.xxhash64(F.lit(seed), name, child))
+        up = at.groupBy("scan_id", F.substring_index("path", "/", level - 1).alias("path")).agg(
+            F.max("repo").alias("repo"), F.sum("size").alias("size"), F.count(child).alias("n"), F.bit_xor(mixed(1)).alias("x"), F.sum(mixed(2).cast("decimal(38,0)")).alias("s"),
         )
         digest = F.unhex(F.substring(F.sha2(F.concat_ws("|", "n", "x", "s"), 256), 1, 32))
-        folders = up.select("scan_id", "repo", "path", F.lit(depth - 1).alias("level"), F.when(F.col("open") == 0, digest).alias("hash"), "n_files", "size")
-        folders = cut(folders)
+        folders = cut(up.select("scan_id", "repo", "path", F.lit(level - 1).alias("level"), F.when(F.col("n") > 0, digest).alias("hash"), "size"))
         done.append(folders)
-        at = folders.unionByName(nodes.where(F.col("level") == depth - 1))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        at = folders.unionByName(nodes.where(F.col("level") == level - 1))
+    return union(done)
 
 
-def not_handwritten(files: DataFrame) -> DataFrame:
-    """(scan_id, relative_path, repo, verdict) of the items that nobody wrote by hand."""
-    facts = cut(file_facts(files))
+def in_shared(facts: DataFrame) -> DataFrame:
+    """(scan_id, relative_path) of the items in a subtree that repositories of different owners share."""
     tree = subtrees(facts).where(F.col("hash").isNotNull() & (F.col("size") >= MIN_SHARED))
     owner = F.split_part("repo", F.lit("/"), F.lit(1))
     shared = tree.groupBy("hash").agg(F.min(owner).alias("a"), F.max(owner).alias("b")).where(F.col("a") != F.col("b")).select("hash")
     covered = tree.join(shared, "hash", "left_semi").select("scan_id", "path").distinct()
-    # An item lies in a shared subtree if its own path or one of its folders is one.
+    # An item lies in a shared subtree if its own path or that of one of its folders is one.
     parts = F.split("relative_path", "/")
-    ways = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MAX_LEVELS))), lambda i: F.slice(parts, 1, i))
+    ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     under = facts.where("leaf is not null").select("scan_id", "relative_path", F.explode(ways).alias("path"))
-    in_shared = under.join(covered, ["scan_id", "path"], "left_semi").select("scan_id", "relative_path").distinct().withColumn("in_shared", F.lit(True))
-    marked = cut(facts.where("leaf is not null").join(in_shared, ["scan_id", "relative_path"], "left"))
-
-    own = F.col("verdict").isin("generated", "minified", "data")
-    known = marked.where((F.col("verdict") == "vendored") | (F.coalesce("in_shared", F.lit(False)) & ~F.coalesce(own, F.lit(False))))
-    leaves = known.select("leaf").distinct().withColumn("known_leaf", F.lit(True))
-    stem = F.regexp_extract("relative_path", r"([^/]+)$", 1)
-    starts = known.where("prefix is not null").select("prefix", stem.alias("stem")).distinct().withColumn("known_start", F.lit(True))
-    rest = marked.where(F.col("verdict").isNull()).withColumn("stem", stem)
-    copies = rest.join(leaves, "leaf", "left").join(starts, ["prefix", "stem"], "left")
-    copies = copies.where(F.coalesce("in_shared", F.lit(False)) | F.coalesce("known_leaf", F.lit(False)) | F.coalesce("known_start", F.lit(False)))
-    cols = ["scan_id", "relative_path", "repo"]
-    ruled = facts.where(F.col("verdict").isNotNull()).select(*cols, "verdict")
-    return ruled.unionByName(copies.select(*cols, F.lit("vendored").alias("verdict")))
+    return under.join(covered, ["scan_id", "path"], "left_semi").select("scan_id", "relative_path").distinct()
+
+
+def near_copies(marked: DataFrame) -> DataFrame:
+    """(scan_id, relative_path) of the items without a verdict whose mass lies in blocks of the vendored ones.
+
+    `marked` has scan_id, relative_path, leaf, blocks, known (vendored) and rest (no verdict).
+    """
+    texts = marked.groupBy("leaf").agg(F.max("known").alias("known"), F.first("blocks").alias("blocks"))
+    held = texts.select("known", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["h"]))).alias("h"))
+    counts = held.groupBy("h").agg(F.count_if("known").alias("yes"), F.count(F.lit(1)).alias("n"))
+    theirs = counts.where((F.col("yes") > 0) & (F.col("yes") >= THEIRS * F.col("n"))).select("h")
+    mass = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["n"])
+    rest = marked.where(F.col("rest") & (mass >= MIN_SHARED)).select("leaf", mass.alias("mass"), "blocks").dropDuplicates(["leaf"])
+    own = rest.select("leaf", "mass", F.explode("blocks").alias("b")).select("leaf", "mass", "b.h", "b.n")
+    near = own.join(theirs, "h", "left_semi").groupBy("leaf").agg(F.sum("n").alias("n"), F.first("mass").alias("mass")).where(F.col("n") >= NEAR * F.col("mass")).select("leaf")
+    return marked.where("rest").join(near, "leaf", "left_semi").select("scan_id", "relative_path")
+
+
+def not_handwritten(files: DataFrame) -> DataFrame:
+    """(scan_id, relative_path, repo, verdict) of the items that nobody wrote by hand."""
+    facts = cut(file_facts(files))
+    keys = ["scan_id", "relative_path"]
+    found = facts.join(in_shared(facts).withColumn("shared", F.lit(True)), keys, "left")
+    shared = F.coalesce("shared", F.lit(False)) & F.col("verdict").isNull()
+    known = (shared | (F.coalesce("verdict", F.lit("")) == "vendored")).alias("known")
+    marked = cut(found.select(*keys, "repo", "verdict", "leaf", "blocks", shared.alias("shared"), known, (F.col("verdict").isNull() & ~shared).alias("rest")))
+    ruled = marked.where(F.col("verdict").isNotNull() | F.col("shared")).select(*keys, "repo", F.coalesce("verdict", F.lit("vendored")).alias("verdict"))
+    copies = marked.where("rest").join(near_copies(marked), keys, "left_semi")
+    return ruled.unionByName(copies.select(*keys, "repo", F.lit("vendored").alias("verdict")))

@@ -231,11 +231,31 @@ def test_rules_of_single_files():
     assert j("a.ts", "// Copyright X platform team. Internal use only, see the licence.\nexport const a = 1;\n") is None
 
 
+def test_headers_are_read_whole_and_owners_are_known():
+    j = lambda t, o=None: handwritten.judge("a.cs", t, o)[0]
+    assert j("/*\n" + "  about this file\n" * 200 + "  Code generated by tool. DO NOT EDIT.\n*/\nclass A { }") == "generated"
+    assert j("// x\n\n/* y */ // z\n" + "// line\n" * 100 + "// <auto-generated>\nclass A { }") == "generated"
+    banner = "// " + "=" * 2_000 + "\n// left-pad v1.2.3\n// (c) The left-pad authors\n// Released under the MIT license\nclass A { }"
+    assert j(banner, "helio") == "vendored"
+    spdx = "// Copyright 2024 Helio Inc\n// SPDX-License-Identifier: MIT\nclass A { }"
+    assert j(spdx, "helio") is None and j(spdx, "brack") == "vendored"
+    assert j("class A { }\n// Code generated by tool. DO NOT EDIT.") is None
+    assert handwritten.judge("a.ts", DTO + "\x00" * 3 + " " * 9_000)[0] == "generated"
+
+
+def own_code(seed, n=40):
+    """Code like hand-written one, another for each seed."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghklmnoprstuvw") for _ in range(r.randrange(4, 11)))
+    forms = ["if ({a} > {n}) {{ return {b}; }}", "const {a} = this.{b}({n});", "for (const {a} of {b}) {{ {c}({a}); }}", "{a}.{b} = {c} ?? '{d}';", "while ({a}({b})) {{ {c} -= {n}; }}", "throw new Error('{a} {b} ' + {c});", "switch ({a}) {{ case {n}: {b}(); break; default: {c}(); }}"]
+    return "".join("  " + r.choice(forms).format(a=word(), b=word(), c=word(), d=word(), n=r.randrange(10**6)) + "\n" for _ in range(n))
+
+
 def test_shared_subtrees(spark):
     bare = "\n".join(LIB.split("\n")[3:])
     own = "export class Own {\n" + "".join(f"  m{i}(): number {{ return {i} * this.k{i}; }}\n" for i in range(9)) + "}\n"
     f = "scan_id string, repo string, relative_path string, content string, verdict string"
-    rows = [("s1", "a/x", "vendor/left-pad/pad.ts", LIB, "z"), ("s2", "a/y", "src/util/pad.ts", bare, "z"), ("s2", "a/y", "src/util/pad.ts", bare, "z"), ("s3", "b/x", "lib/own.ts", own, "z"), ("s4", "b/y", "lib/own.ts", own, "z"), ("s5", "c/x", "deep/p/one.ts", own.replace("Own", "Far"), "z"), ("s6", "d/x", "q/one.ts", own.replace("Own", "Far"), "z"), ("s7", "d/x", "empty.ts", "", "z"), ("s7", "d/x", "null.ts", None, "z"), ("s8", "d/z", "src/pad.ts", bare[: int(len(bare) * 0.97)], "z"), ("s9", None, "x.ts", own.replace("Own", "Solo"), "z")]
+    rows = [("s1", "a/x", "vendor/left-pad/pad.ts", LIB, "z"), ("s2", "a/y", "src/util/pad.ts", bare, "z"), ("s2", "a/y", "src/util/pad.ts", bare, "z"), ("s3", "b/x", "lib/own.ts", own_code(7), "z"), ("s4", "b/y", "lib/own.ts", own_code(7), "z"), ("s5", "c/x", "deep/p/one.ts", own.replace("Own", "Far"), "z"), ("s6", "d/x", "q/one.ts", own.replace("Own", "Far"), "z"), ("s7", "d/x", "empty.ts", "", "z"), ("s7", "d/x", "null.ts", None, "z"), ("s8", "d/z", "src/pad.ts", bare[: int(len(bare) * 0.97)], "z"), ("s9", None, "x.ts", own_code(8), "z")]
     got = {(r.scan_id, r.relative_path): r.verdict for r in handwritten.not_handwritten(spark.createDataFrame(rows, f)).collect()}
     assert got == {("s1", "vendor/left-pad/pad.ts"): "vendored", ("s2", "src/util/pad.ts"): "vendored", ("s5", "deep/p/one.ts"): "vendored", ("s6", "q/one.ts"): "vendored", ("s8", "src/pad.ts"): "vendored"}
     assert handwritten.not_handwritten(spark.createDataFrame([], f)).count() == 0
@@ -244,9 +264,27 @@ def test_shared_subtrees(spark):
 def test_folder_hashes_are_merkle(spark):
     f = "scan_id string, repo string, relative_path string, content string"
     c = lambda k: f"export const {k} = 1;\n" * 9
-    rows = [("s1", "a/x", "v/l/a.ts", c("p")), ("s1", "a/x", "v/l/b.ts", c("q")), ("s2", "b/x", "w/a.ts", c("p")), ("s2", "b/x", "w/b.ts", c("q")), ("s3", "c/x", "w/a.ts", c("q")), ("s3", "c/x", "w/b.ts", c("p"))]
-    tree = {(r.scan_id, "/".join(r.path)): bytes(r.hash) for r in handwritten.subtrees(handwritten.file_facts(spark.createDataFrame(rows, f))).collect()}
-    assert tree["s1", "v/l"] == tree["s2", "w"] != tree["s3", "w"] and tree["s1", "v"] != tree["s2", "w"]
+    rows = [("s1", "a/x", "v/l/a.ts", c("p")), ("s1", "a/x", "v/l/b.ts", c("q")), ("s2", "b/x", "w/a.ts", c("p")), ("s2", "b/x", "w/b.ts", c("q")), ("s3", "c/x", "w/a.ts", c("q")), ("s3", "c/x", "w/b.ts", c("p")), ("s4", "d/x", "w/a.ts", c("p")), ("s4", "d/x", "w/b.ts", c("q")), ("s4", "d/x", "w/none.ts", None)]
+    tree = {(r.scan_id, r.path): bytes(r.hash) for r in handwritten.subtrees(handwritten.file_facts(spark.createDataFrame(rows, f))).collect() if r.hash}
+    assert tree["s1", "v/l"] == tree["s2", "w"] == tree["s4", "w"] != tree["s3", "w"] and tree["s1", "v"] != tree["s2", "w"]
+    deep = [("s1", "a/x", "/".join(["d"] * 40) + "/a.ts", c("p")), ("s2", "b/x", "a.ts", c("p"))]
+    assert handwritten.not_handwritten(spark.createDataFrame(deep, f)).count() == 2
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """Copies without headers, folders with files that aren't code, short files and damaged copies come by the tree alone."""
+    f = "scan_id string, repo string, relative_path string, content string"
+    lib, other = own_code(1), own_code(2)
+    folder = lambda at: [(f"{at}/main.ts", lib), (f"{at}/index.ts", "export * from './main';"), (f"{at}/README.md", "# pad\n"), (f"{at}/package.json", '{"name": "pad"}'), (f"{at}/empty.ts", "")]
+    rows = [("s1", "a/x", p, t) for p, t in folder("vendor/pad")] + [("s2", "b/y", p, t) for p, t in folder("src/util/pad")]
+    rows += [("s3", "c/z", "src/main.ts", lib[: len(lib) * 9 // 10]), ("s3", "c/z", "src/edited.ts", lib.replace("const ", "let ", 3)), ("s3", "c/z", "src/own.ts", own_code(3) + lib[:600]), ("s3", "c/z", "src/index.ts", "export * from './main';")]
+    rows += [("s4", "d/z", "app/a.ts", other), ("s5", "d/w", "app/a.ts", other), ("s6", "e/z", "package.json", '{"name": "pad"}')]
+    df = spark.createDataFrame(rows, f)
+    got = {(r.scan_id, r.relative_path) for r in handwritten.not_handwritten(df).collect()}
+    copies = {("s1", p) for p, t in folder("vendor/pad") if t} | {("s2", p) for p, t in folder("src/util/pad") if t}
+    assert got == copies | {("s3", "src/main.ts"), ("s3", "src/edited.ts")}
+    monkeypatch.setattr(handwritten, "subtrees", lambda facts: facts.limit(0).select("scan_id", "repo", F.col("relative_path").alias("path"), F.lit(1).alias("level"), F.col("leaf").alias("hash"), F.col("size").cast("long").alias("size")))
+    assert handwritten.not_handwritten(df).count() == 0
 
 
 # ---- syntax
