@@ -1,8 +1,8 @@
 """Credentials in source code and settings: found by context and by what a dictionary can't explain, and redacted.
 
 Literals in assignment contexts (keys, parameters, connection strings, URLs, headers, comments) are segmented into
-dictionary words by Viterbi; a long residual that no words explain is a secret, a text that they explain is one only as
-a passphrase. Known formats of hashes, ids, placeholders and references are no secrets. Private keys are found by their
+dictionary words by Viterbi; a residual that no words explain makes a secret, and the context's name only sets how long it
+must be (NEED). A text that words explain is one only as a passphrase. Known formats of hashes, ids, placeholders and references are no secrets. Private keys are found by their
 armour, tokens of known shapes anywhere.
 
 Defined results: null and empty texts have no secrets. A secret counts on the line on which its value begins, several
@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 MASK = "REDACTED"
 #: Words a passphrase has at least, and unexplained characters that a text of words may have at most.
 PASSPHRASE_WORDS, RESIDUAL = 4, 2
+#: Unexplained characters and symbols that a secret has by its context's strength, and unexplained share of plain letters or a sentence.
+NEED, UNKNOWN = {1: 3, 2: 2}, 0.4
+#: Costs of an unexplained letter or digit (one of 36), and of a word's beginning.
+UNKNOWN_COST, BEGINS = math.log(36), 1.5
 #: Length, Shannon entropy (bits a character) and unexplained share from which an argument in no context at all is a token.
 FREE_LENGTH, FREE_ENTROPY, FREE_RESIDUAL = 20, 3.5, 0.4
 
@@ -74,8 +78,12 @@ _PATTERNS = (
     ("env", rf"^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<k>[A-Z][A-Z0-9_]*)=(?P<q>[\"']?)(?P<v>[^\n\"']*?)(?P=q)[ \t]*\r?$"),
     # --x-password value
     ("option", rf"(?<!\S)--?(?P<k>[\w\-]*(?:password|passwd|token|secret|key|pwd))(?:\s+|=)(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)"),
-    # SQL: password 'value', identified by 'value'
+    # -u user:value
+    ("user", r"(?<!\S)(?P<k>-u|--user|--proxy-user)(?:\s+|=)(?P<q>\\?[\"']?)[^\s:\"']+:(?P<v>[^\s\"'\\]+)(?P=q)"),
+    # SQL: password 'value', identified by 'value', "value" or value
     ("sql", r"\b(?P<k>password|identified\s+by)\s+N?(?P<q>')(?P<v>[^'\n]*)'"),
+    ("sql", r"\b(?P<k>identified\s+by)\s+(?P<q>\\?\")(?P<v>[^\"\\\n]*)(?P=q)"),
+    ("sql", r"\b(?P<k>identified\s+by)\s+(?P<v>(?!values\b|password\b|externally\b|globally\b)\w[^\s;,\"'\\]*)"),
     # comments: login is user / value, login kept for ...: user:value, set KEY to value
     ("told", r"\b(?P<k>login|credentials?|account|password)\b[^\n\"'=]{0,40}?(?:\bis\b|:)\s*(?P<n>[\w.\-@]+)\s*(?:\s/\s|:)\s*(?P<v>[^\s\"'<>]+)"),
     ("told", rf"\bset\s+(?P<k>{IDENT})\s+to\s+(?P<v>\S+)"),
@@ -86,7 +94,7 @@ _PATTERNS = (
     ("header", r"\b(?P<k>x-api-key|x-auth-token|x-access-token|api-key)\s*:\s*(?P<v>[^\s\"'<>\\]{6,})"),
 )
 # Texts of which a line must hold one (lower case) for a rule to be tried.
-_NEEDS = {"pair": ("=", ":"), "attr": ("value", "connectionstring"), "call": ("(",), "couple": ("login", "credential", "auth", "account"), "joined": ("+",), "inner": ("=",), "userinfo": ("@",), "hook": ("hook",), "env": ("=",), "option": ("-",), "sql": ("password", "identified"), "told": ("login", "credential", "account", "pass", "set ", "pwd", "token", "secret", "key"), "basic": ("basic",), "bearer": ("bearer",), "header": ("x-", "api-key")}
+_NEEDS = {"pair": ("=", ":"), "attr": ("value", "connectionstring"), "call": ("(",), "couple": ("login", "credential", "auth", "account"), "joined": ("+",), "inner": ("=",), "userinfo": ("@",), "hook": ("hook",), "env": ("=",), "option": ("-",), "user": ("-u", "--user", "--proxy-user"), "sql": ("password", "identified"), "told": ("login", "credential", "account", "pass", "set ", "pwd", "token", "secret", "key"), "basic": ("basic",), "bearer": ("bearer",), "header": ("x-", "api-key")}
 _RULES = [(n.split()[0], (n.split()[1],) if " " in n else _NEEDS[n], re.compile(p, re.M if n == "env" else re.I | re.M)) for n, p in _PATTERNS if n != "named"]
 _NAMED = [re.compile(p, re.I) for n, p in _PATTERNS if n == "named"]
 # Shapes of well-known tokens, as (beginning, rest).
@@ -104,7 +112,8 @@ _NO_SECRET = re.compile(
       \s* | (.)\1* | [*x•.\-#]+ | <.*> | &lt;.*(?:>|&gt;) | .*\$\{.*\}.* | .*\$\(.*\).* | %\w+% | \{\{.*\}\} | \#\{.*\} | .*\{\d*\}.* | \{\w+\} | __\w+__ | \$\w+ | [:@]\w+ | \?
       | env[:.]\S+ | vault[:.]\S+ | secret[:/]\S+ | kv[-:/]\S+ | ref\+\S+ | op://\S+ | arn:\S+ | @Microsoft\.KeyVault\(.*
       | (?:process\.env|os\.environ|System\.getenv|Environment\.|config\.|settings\.)\S*
-      | (?:your|my|the|some|insert|enter|replace|put|add|change|fill|todo|dummy|example|sample|fake|test)[-_ ]?.*(?:here|key|token|password|secret|me|in|this|value|pass).* | changeme | redacted | \[?redacted\]? | removed | none | null | nil | undefined | true | false | yes | no | n/a | default | required | optional
+      | (?:your|my|the|some|insert|enter|replace|put|add|change|fill|todo|dummy|example|sample|fake|test)[-_ ](?:.*[-_ ])?(?:here|key|token|password|secret|me|in|this|value|pass)(?:[-_ ].*)?
+      | (?:your|my|insert|enter|replace|change|dummy|example|sample|fake|test)(?:api|access|secret|db)?(?:here|key|token|password|secret|me|this|value|pass)(?:here)? | changeme | redacted | \[?redacted\]? | removed | none | null | nil | undefined | true | false | yes | no | n/a | default | required | optional
       | \d{1,6} | \d\d:\d\d(?::\d\d)? | \d+(?:\.\d+)+ | [\d\s.,:/-]+
       | [0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}
       | \$2[aby]\$\d\d\$.* | \$argon2.* | \$[156]\$.* | (?:sha\d+|md5|pbkdf2|scrypt|bcrypt|argon2\w*)[:$-].* | \{(?:sha|ssha|bcrypt)\}.*
@@ -113,6 +122,7 @@ _NO_SECRET = re.compile(
     )$""", re.X | re.I | re.S)
 _HEX = re.compile(r"^[0-9a-f]{24,128}$", re.I)
 _CODE = re.compile(r"^[A-Za-z_][\w.]*\s*[\(\[]")
+_SYMBOL = re.compile(r"[^\w\s.:/-]")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zçñé]+|\d+")
 
 
@@ -122,15 +132,22 @@ def default_words() -> str:
 
 
 class Dictionary:
-    """Words with costs; a text is cut into words and unexplained characters at the least cost (Viterbi)."""
+    """Words with costs; a text is cut into words and unexplained characters at the least cost (Viterbi).
 
-    def __init__(self, words: dict[str, float], unknown: float = 6.0):
+    A cost is the logarithm of how many things could have stood there: a word's rank and that a word begins, or UNKNOWN
+    for any letter or digit. So a short rare word explains no more than chance does. A word is read only in lower case,
+    with a capital or in capitals.
+    """
+
+    def __init__(self, words: dict[str, float], unknown: float = UNKNOWN_COST):
         self.words, self.unknown = words, unknown
         self.longest = max(map(len, words), default=0)
 
     def segment(self, text: str) -> tuple[list[str], int]:
         """The words found and the number of letters and digits that no word explains."""
         s = text.lower()
+        if len(s) != len(text):  # a letter whose lower case is longer
+            text = s
         n = len(s)
         cost = [0.0] * (n + 1)
         back: list[tuple[int, bool]] = [(0, False)] * (n + 1)
@@ -139,7 +156,7 @@ class Dictionary:
             cost[i], back[i] = cost[i - 1] + (0.0 if free else self.unknown), (i - 1, False)
             for j in range(max(0, i - self.longest), i - 2):
                 w = self.words.get(s[j:i])
-                if w is not None and cost[j] + w < cost[i]:
+                if w is not None and cost[j] + w < cost[i] and (text[j + 1:i].islower() or text[j:i].isupper()):
                     cost[i], back[i] = cost[j] + w, (j, True)
         found, rest, i = [], 0, n
         while i:
@@ -154,10 +171,10 @@ class Dictionary:
 
 @lru_cache(maxsize=2)
 def dictionary(path: str) -> Dictionary:
-    """Whole lower-case words of at least three letters in a byte-level BPE vocabulary; cost: logarithm of their rank."""
+    """Whole lower-case words of at least three letters in a byte-level BPE vocabulary; cost: logarithm of their rank, and BEGINS."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    words = {w[1:].lower(): math.log(2 + i) for w, i in sorted(vocab.items(), key=lambda x: -x[1]) if w[0] == "Ġ" and len(w) > 3 and w[1:].isascii() and w[1:].isalpha()}
+    words = {w[1:].lower(): math.log(2 + i) + BEGINS for w, i in sorted(vocab.items(), key=lambda x: -x[1]) if w[0] == "Ġ" and len(w) > 3 and w[1:].isascii() and w[1:].isalpha()}
     return Dictionary(words)
 
 
@@ -201,9 +218,9 @@ def _gate() -> tuple[list[str], list[str], str, str]:
     # Names that key_strength puts together from several words, and rules that ask no more than their own keys.
     parts = [*word.values(), *(rf"(?iu:{f'{gap}*'.join(n)})" for n in JOINED)]
     parts += [rf"(?iu:(?<![A-Za-z0-9_$%{{-])(?:{INNER}){space}=)", rf"(?iu:(?:{COUPLE}){any_word}[^A-Za-z0-9_\n]{{0,6}}{space}[({{\[]{space}[\"'])"]
-    parts += [r"://[^\s:/@\"'<>]*:[^\s/@\"'<>]+@", r"(?iu:basic[^A-Za-z0-9_]|api-key)", *(rf"(?<![A-Za-z0-9_+/=-]){a}" for a, _ in _SHAPES)]
+    parts += [rf"(?:-u|--user|--proxy-user)(?:[ \t\r\f\x0b\x1c-\x1f{high}]+|=)[^:\n]*:", r"://[^\s:/@\"'<>]*:[^\s/@\"'<>]+@", r"(?iu:basic[^A-Za-z0-9_]|api-key)", *(rf"(?<![A-Za-z0-9_+/=-]){a}" for a, _ in _SHAPES)]
     sure = [*long, "oracle:thin:", "/hook", "identified", "private key-----", "\u017f"]  # the last: a letter that equals s when case is ignored
-    maybe = [*short, "account", "://", "basic", "akia", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "xox", "aiza", "sk_live_", "sk_test_", "sk-", "glpat-", "npm_", "eyj"]
+    maybe = [*short, "account", "-u", "://", "basic", "akia", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "xox", "aiza", "sk_live_", "sk_test_", "sk-", "glpat-", "npm_", "eyj"]
     odd = [rf"k{gap}+e{gap}*y", rf"ke{gap}+y", *(f"{gap}*".join(n) for n in JOINED if not n.endswith("key"))]
     return sure, maybe, "|".join(parts), rf"(?iu:{'|'.join(odd)})"
 
@@ -272,30 +289,22 @@ class Scanner:
             return False  # other rules see to these
         if re.search(r"(?i)\b(?:password|pwd|accountkey|sharedaccesskey|pass)\s*(?:=|&quot;|\\?[\"']\s*:)", v) or re.search(r"://[^/\s]*:[^/\s]*@|://\S*[?&]|thin:\S+/\S+@", v):
             return False  # a longer text with a secret inside
-        mixed = bool(re.search(r"\d|[^\w\s.:/-]", v))
-        if mixed and strength == 2 and " " not in v and not re.fullmatch(r"[A-Z]\w*(?::[A-Z]\w*)+", v):
-            return True  # no text of words, whatever the dictionary explains
         found, rest = self._explained(v)
-        if rest <= RESIDUAL and not mixed:
-            if any(w in NAMES for w in found):
-                return False
-            parts = [p for p in re.split(r"[-_. ]", v) if p]
-            return len(parts) >= PASSPHRASE_WORDS and len(found) >= PASSPHRASE_WORDS and " " not in v and strength >= 1
+        symbols = len(_SYMBOL.findall(v))
+        parts = [p for p in re.split(r"[-_. ]", v) if p]
+        passphrase = strength >= 1 and " " not in v and min(len(parts), len(found)) >= PASSPHRASE_WORDS and not any(w in NAMES for w in found)
+        digits = any(c.isdigit() for c in v)
+        if passphrase or (not symbols and not digits and rest <= RESIDUAL):
+            return passphrase  # where words explain it all
         if " " in v:
             # A sentence isn't a secret, unless nothing explains it.
-            return strength == 2 and rest > 0.5 * len(v)
-        words = [p for p in re.split(r"[-_.]", v) if p]
-        if strength == 2 and len(words) >= PASSPHRASE_WORDS and all(p.isalpha() and p.islower() for p in words):
-            return not any(p in NAMES for p in words)
-        if any(p.lower() in NAMES for p in words) and all(p.isalpha() for p in words):
-            return False  # a name such as driver_token or X-Loom-Token
-        if re.fullmatch(r"[A-Z]\w*(?::[A-Z]\w*)+", v):
-            return False  # a settings path
-        if v.isalpha() and (v.islower() or v.istitle()) and len(v) < 16:
-            return False  # one unknown word
-        if strength == 2:
-            return True
-        return len(v) >= 8 and rest >= 3
+            return strength == 2 and rest > UNKNOWN * len(v)
+        if not symbols and not digits:
+            if any(w in NAMES for w in found):
+                return False  # a name such as Rider:Password or X-Loom-Token
+            if v.isalpha():
+                return strength == 2 and len(v) >= 8 and rest > UNKNOWN * len(v)  # else a word or two
+        return rest + symbols >= NEED[strength] and (strength == 2 or len(v) >= 8)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The disjoint character spans of the secrets of a text, in order."""
@@ -329,11 +338,11 @@ class Scanner:
         for name, m in matches:
             group = "v" if m["v"] is not None else "u"
             value, key = m[group], m["k"] or ""
-            if name in ("inner", "userinfo", "hook", "bearer", "header", "joined", "couple", "sql", "told"):
+            if name in ("inner", "userinfo", "user", "hook", "bearer", "header", "joined", "couple", "sql", "told"):
                 strength = 2
                 if name == "told" and key_strength(key) == 0:
                     continue
-                if name == "inner" and group == "u" and not re.search(r"[\d\W_]", value) and not text[m.end():m.end() + 1] in (";", "&", ","):
+                if name == "inner" and group == "u" and not re.search(r"[\d\W_]", value) and not text[m.end():m.end() + 1] in (";", "&", ",") and not self.is_secret(value, 2):
                     continue  # an unquoted plain name is code
                 if name == "inner" and (_CODE.match(text[m.start(group):m.end(group) + 1]) or re.match(r"(?i)get|self\.|this\.|request\.|args\.", value)):
                     continue

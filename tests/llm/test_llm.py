@@ -1,6 +1,7 @@
 """The text operators: exactness against libraries or brute force, defined results for odd inputs, and held-out quality."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -213,6 +214,41 @@ def test_long_sentences_are_read_like_short_ones(scanner):
         assert scanner.lines(f'"login": "{sentence[:n].strip()}"') == []
 
 
+def test_the_dictionary_decides(scanner):
+    """What words explain is no secret, whatever its context; without a dictionary it would be one, and passphrases would go."""
+    blank = secrets.Scanner(secrets.Dictionary({}))
+    for line in ('"Token": "Rider:Password"', 'password = "spring-release"', '"Secret": "message.publish"', "token: 'LoyaltyController'"):
+        assert scanner.spans(line) == [] != blank.spans(line), line
+    phrase = 'password = "badge-roster-vessel-batch"'
+    assert [phrase[a:b] for a, b in scanner.spans(phrase)] == ["badge-roster-vessel-batch"] and scanner.lines('password = "kqzvhtmwba"') == [1]
+    # Short words in a random text, or ones in odd case, explain nothing.
+    assert scanner.words.segment("KvbvbnuTZuPRshItpEt")[1] >= 14 and scanner.words.segment("refreshToken") == (["refresh", "token"], 0) and scanner.words.segment("İx") [1] >= 1
+
+
+def test_more_places_of_secrets(scanner):
+    for text, value in (
+        ("curl -u svc:lbMHKHye7IW https://x.y/z", "lbMHKHye7IW"), ('ALTER USER a IDENTIFIED BY "s4ssw0rd692";', "s4ssw0rd692"), ('{"sql":"ALTER USER a IDENTIFIED BY WxQOHw5ft7QE","n":1}', "WxQOHw5ft7QE"),
+        ('{"value":"{\\"user\\": \\"u\\", \\"password\\": \\"address-ticket-reading-library\\"}"}', "address-ticket-reading-library"), ("psql host=db user=u password=vFZuqlhAnn", "vFZuqlhAnn"),
+    ):
+        assert [text[a:b] for a, b in scanner.spans(text)] == [value], text
+    for text in ("create user x identified by values 'S:1'", "docker run --user 1000:1000 x", "password=getPassword()", "var token=refreshToken", 'apiKey = "YOUR_API_KEY_HERE"', 'password = "change-me"'):
+        assert scanner.spans(text) == [], text
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables")
+def test_redacted_tables_stay_valid(spark):
+    from factloom.llm import queries
+
+    rows = queries.p3_redacted(spark, "/root/testdata/sf0.001").collect()
+    before = {(r.scan_id, r.relative_path): r.content for r in spark.read.parquet("/root/testdata/sf0.001/file_inventory.parquet").collect()}
+    assert len(rows) > 20 and all(secrets.MASK in r.text for r in rows)
+    for r in rows:
+        if r.table_name == "facts":
+            json.loads(r.text)
+        elif (lang := r.item_key.rsplit(".", 1)[-1]) in parsing.LANGUAGES:
+            assert parsing.parses(r.text, lang) or not parsing.parses(before[r.scan_id, r.item_key], lang), r.item_key
+
+
 # ---- files not written by hand
 
 DTO = "export interface IA {\n" + "".join(f"  f{i}?: string | undefined;\n" for i in range(14)) + "}\n"
