@@ -18,11 +18,13 @@ import json
 import math
 import os
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from operator import or_
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,7 +204,7 @@ def _gate() -> tuple[list[str], list[str], str, str]:
     """What must be there for a rule to accept a value: sure pieces, possible pieces, a pattern for these, odd spellings.
 
     A lower-case line with a sure piece may hold a secret; one with a possible piece or an odd spelling must also match
-    the pattern. They are derived from what the rules need: a key that key_strength accepts, the fixed keys of the rules
+    the pattern or spell one of JOINED. They are derived from what the rules need: a key that key_strength accepts, the fixed keys of the rules
     that don't ask it, and the beginnings of tokens; they match within a line. The JVM knows only ASCII spaces and word
     characters, so all others count as both.
     """
@@ -215,8 +217,8 @@ def _gate() -> tuple[list[str], list[str], str, str]:
     short = [n for n in sorted(names) if not any(m in n for m in long)] + ["key"]
     word = {n: rf"(?:(?<![A-Za-z]){n}|{n.title()})(?![a-z])|(?<![A-Z]){n.upper()}(?![A-Za-z])" for n in short}
     word["key"] = rf"[A-Za-z0-9çñé]{gap}*(?:{word['key']})"
-    # Names that key_strength puts together from several words, and rules that ask no more than their own keys.
-    parts = [*word.values(), *(rf"(?iu:{f'{gap}*'.join(n)})" for n in JOINED)]
+    # Rules that ask no more than their own keys; names put together from several words are seen to in _passes.
+    parts = [*word.values()]
     parts += [rf"(?iu:(?<![A-Za-z0-9_$%{{-])(?:{INNER}){space}=)", rf"(?iu:(?:{COUPLE}){any_word}[^A-Za-z0-9_\n]{{0,6}}{space}[({{\[]{space}[\"'])"]
     parts += [rf"(?:-u|--user|--proxy-user)(?:[ \t\r\f\x0b\x1c-\x1f{high}]+|=)[^:\n]*:", r"://[^\s:/@\"'<>]*:[^\s/@\"'<>]+@", r"(?iu:basic[^A-Za-z0-9_]|api-key)", *(rf"(?<![A-Za-z0-9_+/=-]){a}" for a, _ in _SHAPES)]
     sure = [*long, "oracle:thin:", "/hook", "identified", "private key-----", "\u017f"]  # the last: a letter that equals s when case is ignored
@@ -228,12 +230,45 @@ def _gate() -> tuple[list[str], list[str], str, str]:
 #: Where a line may hold a secret; a text without such a line has none.
 SURE, MAYBE, CANDIDATE, ODD = _gate()
 _CANDIDATE, _ODD = re.compile(CANDIDATE), re.compile(ODD)
-
-
-def _passes(line: str, odd: bool) -> bool:
-    """The test of may_hold for one line; `odd`: whether its text has an odd spelling anywhere."""
-    low = line.lower()
-    return any(x in low for x in SURE) or bool((odd or any(x in low for x in MAYBE)) and _CANDIDATE.search(line))
+_GAP = re.compile(r"[^a-z0-9\"]+")
+
+
+@lru_cache(maxsize=1)
+def _pieces() -> ahocorasick.Automaton:
+    """Finds all sure (True) and possible (False) pieces of a lower-case text in one pass."""
+    found = ahocorasick.Automaton()
+    for pieces, sure in ((MAYBE, False), (SURE, True)):
+        for x in pieces:
+            found.add_word(x, sure)
+    found.make_automaton()
+    return found
+
+
+def _passes(line: str, sure: bool) -> bool:
+    """The test of a line with a piece, sure or possible, or of a text with an odd spelling."""
+    if sure:
+        return True
+    close = _GAP.sub("", line.lower())
+    return any(x in close for x in JOINED) or _CANDIDATE.search(line) is not None
+
+
+def candidate_lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the lines that may hold a secret."""
+    low = text.lower()
+    breaks = [i for i, c in enumerate(low) if c == "\n"] if "\n" in low else []
+    ends = breaks if len(low) == len(text) else [i for i, c in enumerate(text) if c == "\n"]
+    hit: dict[int, bool] = {}
+    for end, sure in _pieces().iter(low):
+        n = bisect_left(breaks, end)
+        hit[n] = hit.get(n, False) or sure
+    if _ODD.search(text):
+        hit = {n: hit.get(n, False) for n in range(len(ends) + 1)}
+    out = []
+    for n in sorted(hit):
+        start, end = (ends[n - 1] + 1 if n else 0), (ends[n] if n < len(ends) else len(text))
+        if _passes(text[start:end], hit[n]):
+            out.append((start, end))
+    return out
 
 
 def entropy(text: str) -> float:
@@ -323,12 +358,7 @@ class Scanner:
         matches = []
         if '"value"' in text:
             matches += [("named", m) for rule in _NAMED for m in rule.finditer(text)]
-        odd, end = bool(_ODD.search(text)), -1
-        while end < len(text):
-            start = end + 1
-            end = (text.find("\n", start) + 1 or len(text) + 1) - 1
-            if not _passes(text[start:end], odd):
-                continue
+        for start, end in candidate_lines(text):
             beyond = (text.find("\n", end + 1) + 1 or len(text) + 1) - 1
             low, both = text[start:end].lower(), text[start:beyond].lower()
             for name, need, rule in _RULES:
@@ -406,11 +436,12 @@ def scanner(path: str) -> Scanner:
 
 
 def may_hold(text: Column | str) -> Column:
-    """The JVM's cheap test that spares Python most rows."""
+    """The JVM's cheap test that spares Python most rows: whether any line has a sure or possible piece, an odd spelling or
+    a long argument. The pattern is left to Python, as few texts with a piece lack it."""
     raw = F.col(text) if isinstance(text, str) else text
     low = F.lower(raw)
     sure, maybe = (reduce(or_, [low.contains(x) for x in pieces]) for pieces in (SURE, MAYBE))
-    return F.coalesce(sure | ((maybe | raw.rlike(ODD)) & raw.rlike(CANDIDATE)) | raw.rlike(ARGUMENT), F.lit(False))
+    return F.coalesce(sure | maybe | raw.rlike(ODD) | raw.rlike(ARGUMENT), F.lit(False))
 
 
 def found_lines(df: DataFrame, text: str, keys: list[str], one_line: bool = False, words: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -180,14 +181,14 @@ def gate_texts():
     shapes = ['"{k}": "{v}"', "{k} = '{v}'", "{k} =\n  \"{v}\"", '{{"a":"{k} = \\"{v}\\""}}', '<add key="{k}" value="{v}" />', '<add value="{v}" name="{k}" />', '{{"name": "{k}", "value": "{v}"}}', '{{"value": "{v}", "key": "{k}"}}', 'put("{k}", "{v}")', '{k} = ("me", "{v}")', 'x = "a;{k}=" + "{v}"', "a;{k}={v};", "{k}={v}", "--{k} {v}", "alter {k} '{v}'", "// {k} is me / {v}", "set {k} to {v}", "{k} is {v}", "{k} {v}", "{k}: {v}", "account(\"me\", \"{v}\")", "myauthor: [\"me\", \"{v}\"]"]
     out = [s.format(k=k, v="kT9!xQ2mZ7pL4v") for s in shapes for k in sorted(keys)]
     out += [f"f({q}{t}{q})" for t in TOKENS for q in ('"', "'")]
-    return out + [f"a://{'u' * 200}:{'Pw9!' * 50}@h/x", "x://:Pw9!kk@h", "identified  by 'Pw9!kk'", "https://h/hook/a1/" + "aB3d" * 5, "basic\tYXBwOkhhcmJvcjEyMyE="]
+    return out + [f"a://{'u' * 200}:{'Pw9!' * 50}@h/x", "x://:Pw9!kk@h", "identified  by 'Pw9!kk'", 'IDENTIFIED BY "Pw9!kk"', "identified by Pw9!kk", "curl -u me:Pw9!kk", "x --proxy-user=me:Pw9!kk", "\u0130\n\u0130 pwd=Pw9!kk;\nx", "https://h/hook/a1/" + "aB3d" * 5, "basic\tYXBwOkhhcmJvcjEyMyE="]
 
 
 def test_gates_let_through_what_the_rules_accept(spark, scanner, monkeypatch):
     texts = gate_texts()
     gated = [scanner.spans(t) for t in texts]
     with monkeypatch.context() as m:
-        m.setattr(secrets, "_passes", lambda line, odd: True)
+        m.setattr(secrets, "candidate_lines", lambda text: [(x.start(), x.end()) for x in re.finditer(r"[^\n]*", text) if x.start() == x.end() or text[x.end():x.end() + 1] in ("", "\n")])
         open_ = [scanner.spans(t) for t in texts]
     assert [t for t, a, b in zip(texts, gated, open_) if a != b] == []
     held = [t for t, x in zip(texts, open_) if x]
