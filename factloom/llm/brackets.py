@@ -6,8 +6,9 @@ the closers it leaves unmatched and the openers it leaves open. Two neighbouring
 first one's end state in the second one's map and cancelling openers against closers, so chunks can be reduced in
 any grouping, over tasks and machines.
 
-A brace may close a hole of a template string opened chunks before; scanning alone takes it for a plain brace. Where
-the reduction meets such a hole, the map holds the other reading too (state "`", resumed after the brace).
+An unmatched brace may close a hole of a string that was opened chunks before, at any nesting; scanning alone takes it
+for a plain brace. So each unmatched brace carries the key of another reading, in which the string goes on after it; the
+reduction takes that one where the brace meets a hole. What is wrong in a reading counts only after its unmatched braces.
 """
 
 from __future__ import annotations
@@ -16,15 +17,20 @@ import re
 from typing import NamedTuple
 
 PAIRS = {")": "(", "]": "[", "}": "{"}
+#: Openers that are holes of strings, and the state that goes on after them.
+HOLES = {"${": "bt", "i{": "i"}
 #: Characters of a chunk; it ends with a line.
-CHUNK = 32_768
+CHUNK = 4_096
+#: A start state, or the reading after an unmatched brace: (chunk, place).
+Start = str | tuple[int, int]
 
 
 class Part(NamedTuple):
-    """What a chunk does from one start state. ends: the end state; closes, opens: unmatched brackets; bad: an error."""
+    """What a chunk does from one start. ends: the end state; closes, opens: unmatched brackets, braces with the key of
+    their other reading; bad: an error after the unmatched closers."""
 
     ends: str
-    closes: tuple[str, ...]
+    closes: tuple[tuple[str, tuple[int, int] | None], ...]
     opens: tuple[str, ...]
     bad: bool
 
@@ -46,18 +52,21 @@ _END = {
     "v": re.compile(r"\"\"|\""), "vi": re.compile(r"\"\"|\""), "i": re.compile(r"\"|\n|\\.|\{\{|\{|\Z"), "bt": re.compile(r"`|\\(?:.|\n)|\$\{", re.S),
     "tdq": re.compile(r"\\(?:.|\n)|\"\"\"", re.S), "tsq": re.compile(r"\\(?:.|\n)|'''", re.S), "ms": re.compile(r"''|\\'(?=\w)|'"), "md": re.compile(r"\"\"|\""), "mb": re.compile(r"`"),
 }
-#: States that may span lines, besides code, by language.
+#: States that may span lines, besides code, dollar tags and raw strings, by language.
 SPANNING = {"cs": ("block", "v", "vi"), "java": ("block", "tdq"), "ts": ("block", "bt"), "js": ("block", "bt"), "py": ("tdq", "tsq"), "sql": ("block", "ms", "md", "mb"), "json": ()}
+#: The state after a hole, by language.
+RESUMED = {"cs": "i", "ts": "bt", "js": "bt"}
 _BEFORE_REGEX = re.compile(r"(?:^|[=(,:;!&|?{}\[+\-*%<>~^]|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|await|yield))\s*$")
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_QUOTES = re.compile(r'"{3,}')
 
 
-def scan(text: str, lang: str, state: str = "code", stack: list[str] | None = None) -> Part:
-    """Scan a chunk from a state; `stack` holds brackets known to be open before it."""
+def scan(text: str, lang: str, state: str = "code", i: int = 0, chunk: int = 0) -> Part:
+    """Scan a chunk from a state and a place."""
     code, n = _CODE[lang], len(text)
-    opens = list(stack or ())
-    closes: list[str] = []
-    i = 0
+    opens: list[str] = []
+    closes: list[tuple[str, tuple[int, int] | None]] = []
+    part = lambda ends, bad: Part(ends, tuple(closes), tuple(opens), bad)
     while i < n:
         if state == "code":
             m = code.search(text, i)
@@ -65,41 +74,34 @@ def scan(text: str, lang: str, state: str = "code", stack: list[str] | None = No
                 break
             i, kind, got = m.end(), m.lastgroup, m[0]
             if kind == "b":
-                if got in PAIRS:
-                    if opens:
-                        top = opens.pop()
-                        if top in ("${", "i{") and got == "}":
-                            state = "bt" if top == "${" else "i"
-                        elif top != PAIRS[got]:
-                            return Part(state, (), (), True)
-                    else:
-                        closes.append(got)
-                else:
+                if got not in PAIRS:
                     opens.append(got)
+                elif not opens:
+                    closes.append((got, (chunk, i) if got == "}" and lang in RESUMED else None))
+                else:
+                    top = opens.pop()
+                    if top in HOLES and got == "}":
+                        state = HOLES[top]
+                    elif top != PAIRS[got]:
+                        return part(state, True)
             elif kind == "re":
                 line = text[max(0, text.rfind("\n", 0, m.start()) + 1):m.start()]
                 if _BEFORE_REGEX.search(line) and (r := _REGEX.match(text, m.start())):
                     i = r.end()
             elif kind == "raw":
-                end = text.find(got.lstrip("$"), i)
-                if end < 0:
-                    return Part("raw", (), (), True)
-                i = end + len(got.lstrip("$"))
+                state = "until " + got.lstrip("$")
             elif kind == "dollar":
-                end = text.find(got, i)
-                if end < 0:
-                    return Part(f"dollar {got}", tuple(closes), tuple(opens), False)
-                i = end + len(got)
+                state = "until " + got
             elif kind in ("pre", "bq"):
                 pass
             else:
                 state = kind
             continue
-        if state.startswith("dollar "):
-            end = text.find(state[7:], i)
+        if state.startswith("until "):
+            end = text.find(state[6:], i)
             if end < 0:
                 break
-            i, state = end + len(state) - 7, "code"
+            i, state = end + len(state) - 6, "code"
             continue
         m = _END[state].search(text, i)
         if not m:
@@ -110,7 +112,7 @@ def scan(text: str, lang: str, state: str = "code", stack: list[str] | None = No
             state = "code"
         elif state in ("dq", "sq", "i"):
             if got in ("\n", "") or got == "\\" and i >= n:
-                return Part(state, (), (), True)
+                return part(state, True)
             if got in ("\"", "'"):
                 state = "code"
             elif got == "{" and state == "i":
@@ -129,55 +131,69 @@ def scan(text: str, lang: str, state: str = "code", stack: list[str] | None = No
             state = "code"
     if state == "line":
         state = "code"
-    if state in ("dq", "sq", "i"):
-        return Part(state, (), (), True)
-    return Part(state, tuple(closes), tuple(opens), False)
-
-
-def state_map(text: str, lang: str, first: bool) -> dict[str, Part]:
-    """The chunk's part for each state in which it may begin; the first chunk of a file begins in code."""
-    starts = ("code",) if first else ("code", *SPANNING[lang], *(f"dollar {t}" for t in set(re.findall(r"\$\w*\$", text)) if lang == "sql"))
-    out = {s: scan(text, lang, s) for s in starts}
-    if not first and lang in ("ts", "js"):
-        # The other reading of the first unmatched brace: it ends a hole of a template string.
-        for s in ("code", "block"):
-            out["hole " + s] = scan(text, lang, s, ["${"])
+    return part(state, state in ("dq", "sq", "i"))
+
+
+def reached(parts: dict[Start, Part], starts: list[Start]) -> dict[Start, Part]:
+    """The parts of `starts` and of the other readings that these may need."""
+    out: dict[Start, Part] = {}
+    todo = list(starts)
+    while todo:
+        k = todo.pop()
+        if k not in out:
+            out[k] = parts[k]
+            todo += [key for _, key in parts[k].closes if key is not None]
+    return out
+
+
+def state_map(text: str, lang: str, number: int) -> dict[Start, Part]:
+    """The chunk's part for each state in which it may begin, and for each other reading; chunk 0 of a file begins in code."""
+    starts: list[str] = ["code"]
+    if number:
+        starts += SPANNING[lang]
+        if lang == "sql":
+            starts += [f"until {t}" for t in sorted(set(re.findall(r"\$\w*\$", text)))]
+        if lang == "cs":
+            starts += [f"until {'\"' * n}" for n in range(3, max(map(len, _QUOTES.findall(text)), default=2) + 1)]
+    out: dict[Start, Part] = {s: scan(text, lang, s, 0, number) for s in starts}
+    todo = list(out.values())
+    while todo:
+        for _, key in todo.pop().closes:
+            if key is not None and key not in out:
+                out[key] = scan(text, lang, RESUMED[lang], key[1], number)
+                todo.append(out[key])
     return out
 
 
-def join(a: Part, b: Part) -> Part:
-    """Two neighbouring parts as one; b begins in the state in which a ends."""
-    if a.bad or b.bad:
-        return Part(b.ends, (), (), True)
+def join(a: Part, b: Part, readings: dict[Start, Part]) -> Part:
+    """Two neighbouring parts as one; b begins in the state in which a ends. `readings`: the other ones of b's braces."""
+    if a.bad:
+        return a
     opens, closes = list(a.opens), list(a.closes)
-    for c in b.closes:
-        if opens:
-            if PAIRS[c] != opens.pop():
-                return Part(b.ends, (), (), True)
+    while True:
+        for c, key in b.closes:
+            if not opens:
+                closes.append((c, key))
+                continue
+            top = opens.pop()
+            if c == "}" and top in HOLES:
+                b = readings[key]
+                break
+            if PAIRS[c] != top:
+                return Part(b.ends, tuple(closes), tuple(opens), True)
         else:
-            closes.append(c)
-    return Part(b.ends, tuple(closes), (*opens, *b.opens), False)
+            return Part(b.ends, tuple(closes), (*opens, *b.opens), b.bad)
 
 
-def combine(a: dict[str, Part], b: dict[str, Part]) -> dict[str, Part]:
+def combine(a: dict[Start, Part], b: dict[Start, Part]) -> dict[Start, Part]:
     """The map of two neighbouring chunks."""
-    out = {}
+    out: dict[Start, Part] = {}
     for start, x in a.items():
-        if x.bad:
-            out[start] = x
-            continue
         y = b.get(x.ends)
-        if y is None:  # only a dollar tag that the second chunk doesn't mention: it goes on
-            out[start] = Part(x.ends, x.closes, x.opens, not x.ends.startswith("dollar "))
-            continue
-        if "${" in x.opens and "}" in y.closes:
-            depth = len(x.opens) - 1 - x.opens[::-1].index("${")
-            if len(x.opens) - depth <= len(y.closes) and "hole " + x.ends in b and len(x.opens) - depth == 1:
-                z = b["hole " + x.ends]
-                out[start] = join(Part(x.ends, x.closes, x.opens[:-1], False), z)
-                continue
-        out[start] = join(x, y)
-    return out
+        # Only a string's end that the second chunk doesn't mention is no start of it: the string goes on.
+        out[start] = join(x, y, b) if y is not None else x._replace(bad=x.bad or not x.ends.startswith("until "))
+    passed = [k for k in b if isinstance(k, str) and k.startswith("until ") and k not in a]  # such strings go through the first chunk
+    return reached({**b, **out}, [*a, *passed])
 
 
 def chunks(text: str, size: int = CHUNK) -> list[str]:

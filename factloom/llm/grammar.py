@@ -8,11 +8,14 @@ which words may follow each other. Python, JSON and XML use exact parsers.
 from __future__ import annotations
 
 import ast
+import io
 import json
 import re
 import sys
+import tokenize
 import warnings
 import xml.parsers.expat
+from functools import wraps
 
 # Operators by length, and words by role.
 _OPS = ">>>= === !== **= <<= >>= >>> &&= ||= ??= ... => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << -> :: ** .. + - * / % = < > ! ~ & | ^ ? : ; , . ( ) [ ] { } @".split()
@@ -41,8 +44,8 @@ _NO_OPERAND = {
 }
 
 
-#: Calls that may be open while a text is read; text nested beyond that counts as readable once its brackets match.
-DEPTH = 12_000
+#: Calls that one bracket may open.
+CALLS = 24
 
 
 class Bad(Exception):
@@ -125,10 +128,30 @@ def tokens(text: str, lang: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def once(rule):
+    """A rule whose result at a place is kept, so that brackets tried in several readings are read once, however deep."""
+    @wraps(rule)
+    def kept(self, i: int, *more) -> int:
+        key = (rule, i, more)
+        got = self.kept.get(key)
+        if got is None:
+            try:
+                got = rule(self, i, *more)
+            except Bad as e:
+                got = e
+            self.kept[key] = got
+        if isinstance(got, Bad):
+            raise got.with_traceback(None)
+        return got
+
+    return kept
+
+
 class Parser:
     """A permissive reading of one file's tokens; raises Bad where no reading exists."""
 
     def __init__(self, toks: list[tuple[str, str, bool]], lang: str):
+        self.kept: dict[tuple, int | Bad] = {}
         self.t, self.lang, self.n = toks, lang, len(toks)
         self.script = lang in ("js", "ts")
         self.typed = lang != "js"
@@ -150,6 +173,7 @@ class Parser:
 
     # ---- types
 
+    @once
     def type(self, i: int) -> int:
         """The end of a type; raises Bad if there is none."""
         i = self.type_atom(i)
@@ -221,6 +245,7 @@ class Parser:
             else:
                 return i
 
+    @once
     def type_args(self, i: int) -> int:
         """The end of <...>; closing >> and >>> are split."""
         i = self.need(i, "<")
@@ -266,6 +291,7 @@ class Parser:
 
     # ---- expressions
 
+    @once
     def group(self, i: int, declare: bool = True) -> int:
         """The end of a bracketed list that begins at i: of parameters, or without `declare` of arguments or elements."""
         close = {"(": ")", "[": "]"}[self.v(i)]
@@ -435,6 +461,7 @@ class Parser:
         """What may follow an equals sign."""
         return self.initializer(i) if self.op(i, "{") and not self.script else self.expr(i)
 
+    @once
     def object(self, i: int) -> int:
         i = self.need(i, "{")
         while not self.op(i, "}"):
@@ -562,6 +589,7 @@ class Parser:
                 continue
             return i
 
+    @once
     def pattern(self, i: int) -> int:
         """What follows is, as or instanceof."""
         while self.is_id(i) and self.v(i) in ("not", "final", "const"):
@@ -637,6 +665,7 @@ class Parser:
         i = self.need(i, "{")
         return self.members(i, "}") if where == "class" else self.block(i)
 
+    @once
     def block(self, i: int) -> int:
         while not self.op(i, "}"):
             if i >= self.n:
@@ -742,6 +771,7 @@ class Parser:
                 raise Bad("enum")
         return i + 1
 
+    @once
     def members(self, i: int, close: str) -> int:
         while not self.op(i, close):
             if i >= self.n:
@@ -1276,28 +1306,79 @@ def _sql_statement(s: list[tuple[str, str]]) -> bool:
 
 # ---- exact parsers
 
-def python_ok(text: str) -> bool:
+def _python_reads(text: str) -> bool | None:
+    """None: nested more deeply than the parser reads."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
         return True
     except (RecursionError, MemoryError):
-        return True  # nested too deeply to judge; its brackets match
+        return None
     except (SyntaxError, ValueError):
         return False
 
 
+def python_ok(text: str) -> bool:
+    """Whether a text is valid Python. Where it is nested too deeply for the parser its outer statements are read one by
+    one, and only one that is itself too deep counts as valid, once its brackets match."""
+    got = _python_reads(text)
+    if got is not None:
+        return got
+    lines, begins, fresh = text.splitlines(keepends=True), [], True
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if fresh and t.type not in (tokenize.NL, tokenize.COMMENT, tokenize.INDENT, tokenize.DEDENT) and t.start[1] == 0 and t.string not in ("else", "elif", "except", "finally"):
+                begins.append(t.start[0] - 1)
+            fresh = t.type in (tokenize.NEWLINE, tokenize.NL, tokenize.COMMENT, tokenize.DEDENT) and (t.type != tokenize.COMMENT or fresh)
+    except (tokenize.TokenError, SyntaxError):
+        return False
+    return all(_python_reads("".join(lines[a:b])) is not False for a, b in zip(begins, [*begins[1:], len(lines)]))
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
 
+_JSON = re.compile(r'[ \t\r\n]*(?:(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<v>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)|(?P<p>[\[\]{},:])|(?P<end>\Z))', re.A)
+
+
+def deep_json_ok(text: str) -> bool:
+    """Whether a text is strict JSON, however deep; what may come next is all the state besides the open brackets."""
+    stack: list[str] = []
+    want, i = "value", 0
+    while True:
+        m = _JSON.match(text, i)
+        if not m:
+            return False
+        i, kind, got = m.end(), m.lastgroup, m[m.lastgroup]
+        if kind == "end":
+            return want == "after" and not stack
+        if want in ("value", "value or ]") and (kind in "sv" or got in "[{"):
+            if kind == "p":
+                stack.append(got)
+                want = "value or ]" if got == "[" else "key or }"
+            else:
+                want = "after"
+        elif want in ("key", "key or }") and kind == "s":
+            want = ":"
+        elif want == ":" and got == ":":
+            want = "value"
+        elif want == "after" and got == "," and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif stack and (got == "]" and stack[-1] == "[" and want in ("after", "value or ]") or got == "}" and stack[-1] == "{" and want in ("after", "key or }")):
+            stack.pop()
+            want = "after"
+        else:
+            return False
+
+
 def json_ok(text: str) -> bool:
     try:
         json.loads(text, parse_constant=_no_constant)
         return True
     except RecursionError:
-        return True
+        return deep_json_ok(text)
     except ValueError:
         return False
 
@@ -1320,12 +1401,22 @@ def reads(text: str, lang: str) -> bool:
         return xml_ok(text)
     if lang == "sql":
         return not re.search(r"(?m)^(?:<<<<<<< |>>>>>>> )", text) and sql_ok(text)
-    if sys.getrecursionlimit() < DEPTH:
-        sys.setrecursionlimit(DEPTH)
     try:
-        Parser(tokens(text, lang), lang).file()
-        return True
-    except RecursionError:
+        toks = tokens(text, lang)
+    except (Bad, IndexError, KeyError):
+        return False
+    depth = most = 0
+    for kind, word, _ in toks:
+        if kind == "op":
+            depth += (word in "([{") - (word in ")]}")
+            most = max(most, depth)
+    # Calls of Python functions need no room on the machine's stack; prefixes and else-ifs nest without brackets.
+    old = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(old, CALLS * most + 4 * len(toks) + 1_000))
+    try:
+        Parser(toks, lang).file()
         return True
     except (Bad, IndexError, KeyError):
         return False
+    finally:
+        sys.setrecursionlimit(old)

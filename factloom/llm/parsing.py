@@ -1,16 +1,19 @@
 """Source files that don't parse in the language of their extension.
 
 Every file is first reduced to lexer states and brackets (see brackets): its chunks' maps are combined associatively.
-Files above BIG characters are cut up and their chunks summarised by other tasks, then combined a file. What ends in code
-with all brackets matched is read by the language's local grammar (see grammar).
-
-Defined results: null and empty contents and other extensions are no cases. A byte-order mark is ignored. A file nested
-too deeply to be read counts as valid if its brackets match. Repeated rows of an item count once, and as a case if any of
-them is one. Extra columns are ignored.
+Files above BIG characters are cut up where they are read and their chunks summarised by other tasks, then combined a
+file; the result is the same. What ends in code with all brackets matched is read by the language's local grammar (see
+grammar), at any depth. The table is scanned once; only keys, verdicts and chunks of files above BIG are written.
+
+Defined results: null and empty contents and other extensions are no cases. A byte-order mark is ignored. Only a Python
+statement that is by itself nested too deeply for the parser counts as valid once its brackets match. Repeated rows of an
+item count once, and as a case if any of them is one. Items without repository, scan or path are judged like others. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from functools import reduce
@@ -19,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut
 from . import brackets, grammar
 
 #: Characters above which a file's chunks are summarised by several tasks.
@@ -38,7 +42,7 @@ def plain(text: str) -> str:
 
 def whole(text: str, lang: str) -> brackets.Part:
     """The file's part, its chunks' maps combined."""
-    maps = [brackets.state_map(c, lang, i == 0) for i, c in enumerate(brackets.chunks(text))]
+    maps = [brackets.state_map(c, lang, i) for i, c in enumerate(brackets.chunks(text))]
     return reduce(brackets.combine, maps)["code"]
 
 
@@ -52,24 +56,34 @@ def parses(text: str | None, lang: str) -> bool:
     return grammar.reads(text, lang)
 
 
-def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        keys = pdf[[*KEYS, "lang"]].copy()
-        keys["ok"] = [parses(t, x) for t, x in zip(pdf["content"], pdf["lang"])]
-        yield keys
+STAGE = "scan_id string, repo string, relative_path string, lang string, ok boolean, id string, i int, chunk string"
 
 
-def _cut_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for id_, lang, text in pdf[["id", "lang", "content"]].itertuples(index=False, name=None):
-            for i, c in enumerate(brackets.chunks(plain(text))):
-                yield pd.DataFrame([(id_, lang, i, c)], columns=["id", "lang", "i", "chunk"])
+def _stage(big: int):
+    """Verdicts of the files up to `big` characters, and chunks of the others under their item's and content's id."""
+    columns = [x.split()[0] for x in STAGE.split(", ")]
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out: list[tuple] = []
+            for *keys, lang, text in pdf[[*KEYS, "lang", "content"]].itertuples(index=False, name=None):
+                if len(text) <= big:
+                    out.append((*keys, lang, parses(text, lang), None, None, None))
+                    continue
+                id_ = hashlib.sha256(repr((*keys, text)).encode("utf-8", "surrogatepass")).hexdigest()
+                pieces = [plain(text)] if lang == "config" else brackets.chunks(plain(text))
+                for i, c in enumerate(pieces):
+                    yield pd.DataFrame([(*keys, lang, None, id_, i, c)], columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+    return judge
 
 
 def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         out = pdf[["id", "i"]].copy()
-        out["part"] = [pickle.dumps(brackets.state_map(c, x, i == 0)) for c, x, i in zip(pdf["chunk"], pdf["lang"], pdf["i"])]
+        out["part"] = [pickle.dumps(brackets.state_map(c, x, i)) for c, x, i in zip(pdf["chunk"], pdf["lang"], pdf["i"])]
         yield out
 
 
@@ -79,29 +93,26 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.head(1)[["id"]].assign(balanced=done)
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        out = pdf[[*KEYS, "lang"]].copy()
-        out["ok"] = [grammar.reads(plain(t), x) for t, x in zip(pdf["content"], pdf["lang"])]
-        yield out
+def _read(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A file's chunks put together again and read; it was one row before."""
+    text = "".join(pdf.sort_values("i")["chunk"])
+    head = pdf.head(1)
+    return head[[*KEYS, "lang"]].assign(ok=grammar.reads(text, head["lang"].iloc[0]))
 
 
 def judged(files: DataFrame, big: int = BIG) -> DataFrame:
     """(scan_id, repo, relative_path, lang, ok), one row for each item with content of a known extension."""
     src = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(*KEYS, "content", extension("relative_path").alias("lang")).where(F.col("lang").isin(*LANGUAGES))
-    keys = "scan_id string, repo string, relative_path string, lang string"
-    small = src.where(F.length("content") <= big).mapInPandas(_judge, keys + ", ok boolean")
-    # Rows of the same item and content are one file with one id; other versions of the item are files of their own.
-    apart = [F.coalesce(F.sha2(c, 256), F.lit("-")) for c in (*KEYS, "content")]
-    large = src.where((F.length("content") > big) & (F.col("lang") != "config")).withColumn("id", F.sha2(F.concat_ws(" ", *apart), 256))
-    cut_up = large.mapInPandas(_cut_up, "id string, lang string, i int, chunk string").repartition("id", "i").dropDuplicates(["id", "i"])
-    # A file's summaries are far smaller than the file, which was one row itself.
-    shapes = cut_up.mapInPandas(_summarise, "id string, i int, part binary").groupBy("id").applyInPandas(_reduce, "id string, balanced boolean")
-    seen = large.join(shapes, "id")
-    broken = seen.where(~F.col("balanced")).select(*KEYS, "lang", F.lit(False).alias("ok"))
-    fine = seen.where("balanced").select(*KEYS, "content", "lang")
-    read = fine.unionByName(src.where((F.length("content") > big) & (F.col("lang") == "config"))).mapInPandas(_read, keys + ", ok boolean")
-    every = small.unionByName(broken).unionByName(read)
+    staged = cut(src.mapInPandas(_stage(big), STAGE))
+    every = staged.where("ok is not null").select(*KEYS, "lang", "ok")
+    pieces = staged.where("ok is null").dropDuplicates(["id", "i"])
+    if pieces.limit(1).count():
+        # A file's summaries are far smaller than the file, which was one row itself.
+        shapes = cut(pieces.where(F.col("lang") != "config").select("id", "i", "lang", "chunk").mapInPandas(_summarise, "id string, i int, part binary").groupBy("id").applyInPandas(_reduce, "id string, balanced boolean"))
+        broken = shapes.where(~F.col("balanced")).select("id")
+        every = every.unionByName(pieces.where("i = 0").join(broken, "id", "left_semi").select(*KEYS, "lang", F.lit(False).alias("ok")))
+        read = pieces.join(broken, "id", "left_anti").groupBy("id").applyInPandas(_read, "scan_id string, repo string, relative_path string, lang string, ok boolean")
+        every = every.unionByName(read)
     return every.groupBy(*KEYS, "lang").agg(F.min("ok").alias("ok"))
 
 

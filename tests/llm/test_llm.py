@@ -359,13 +359,14 @@ def test_invalid_sources(lang, text):
 @pytest.mark.parametrize("lang", ["cs", "ts", "js", "java", "py", "sql", "json"])
 def test_chunks_combine_like_one_scan(lang):
     pieces = GOOD[lang] + BAD[lang] + ["/* a\n { */\n", "`x\n${ {a:`y${1}`} }\n`\n", "'''\n(\n'''\n", "$q$\n(\n$q$;\n", "@\"\n{\"\n"]
+    pieces += {"cs": ['var s = """\n { " ( ""\n""";\n', 'var s = $""""\n """ {\n"""";\n', 'var s = $"a {\nf(new[] {\n1 })\n} b";\n', '"""\n'], "ts": ["`a ${ xs.map(x => {\n return `<${\nx}>`\n}).join(`\n'`)} it's`\n", "`${\n{\na: [`}`]\n}\n} '`\n", "}\n`it's ${\n"]}.get({"js": "ts"}.get(lang, lang), [])
     for _ in range(60):
         text = "\n".join(RND.choice(pieces) for _ in range(4))
         want = brackets.balanced(brackets.scan(text, lang))
         for size in (5, 40):
             parts = brackets.chunks(text, size)
             assert "".join(parts) == text
-            maps = [brackets.state_map(c, lang, i == 0) for i, c in enumerate(parts)]
+            maps = [brackets.state_map(c, lang, i) for i, c in enumerate(parts)]
             left = maps[0]
             for m in maps[1:]:
                 left = brackets.combine(left, m)
@@ -375,6 +376,10 @@ def test_chunks_combine_like_one_scan(lang):
                 for m in maps[-2:0:-1]:
                     right = brackets.combine(m, right)
                 assert brackets.balanced(brackets.combine(maps[0], right)["code"]) == want
+                while len(maps) > 1:  # neighbours in any order
+                    j = RND.randrange(len(maps) - 1)
+                    maps[j:j + 2] = [brackets.combine(maps[j], maps[j + 1])]
+                assert brackets.balanced(maps[0]["code"]) == want
 
 
 def test_judged_files_small_and_big(spark):
@@ -399,8 +404,27 @@ def test_big_files_repeated_in_versions_and_without_a_repo(spark):
     assert {k[2] for k, ok in whole.items() if not ok and k[0]} == {"two.cs", "none.cs"}
 
 
-def test_deeply_nested_text_is_no_error():
-    assert parsing.parses("x = " + "(" * 50_000 + "1" + ")" * 50_000 + ";", "js") and parsing.parses("[" * 100_000 + "]" * 100_000, "json")
+def test_the_reduction_decides(spark):
+    """Valid and invalid files above both bounds, with strings, comments and nesting that go over the borders of chunks."""
+    hole = "const t = `\n" + "".join(f"  <li>${{ xs{i}.map(x => {{\n    return `it's ${{\n x.a{i} }} }}`;\n  }}).join('') }}</li>\n" for i in range(900)) + "`;\n"
+    raw = "class A {\n" + "".join(f'  string F{i}() {{ return """\n   {{ ( " {i}\n   """; }}\n  /* (\n  {i} */\n' for i in range(900)) + "}\n"
+    rows = [("s", "r", "hole.ts", hole), ("s", "r", "hole2.ts", hole[:-3] + ";\n"), ("s", "r", "hole3.js", hole.replace("}).join('')", "]).join('')", 1)), ("s", "r", "raw.cs", raw), ("s", "r", "raw2.cs", raw.replace('"""; }', '""; }', 1)), ("s", "r", "raw3.cs", raw[:-2])]
+    assert all(len(t) > 10 * brackets.CHUNK for *_, t in rows)
+    df = spark.createDataFrame(rows, "scan_id string, repo string, relative_path string, content string")
+    want = {"hole.ts": True, "hole2.ts": False, "hole3.js": False, "raw.cs": True, "raw2.cs": False, "raw3.cs": False}
+    for bound in (1_000, parsing.BIG):
+        assert {r.relative_path: r.ok for r in parsing.judged(df, bound).collect()} == want
+
+
+def test_nesting_of_any_depth_is_read():
+    for n in (17, 3_000, 50_000):
+        for lang, head in (("js", "x = "), ("ts", "let x: any = "), ("java", "class A { int x = "), ("cs", "class A { int x = ")):
+            tail = "; }" if "class" in head else ";"
+            assert parsing.parses(head + "(" * n + "1" + ")" * n + tail, lang) and not parsing.parses(head + "(" * n + "1 1" + ")" * n + tail, lang)
+    n = 100_000
+    assert parsing.parses("[" * n + "]" * n, "json") and not parsing.parses("[" * n + "1 1" + "]" * n, "json") and parsing.parses('{"a":' * n + '"\\u0041"' + "}" * n, "json") and not parsing.parses('{"a":' * n + "1," + "}" * n, "json")
+    deep = "x = " + "+".join(["1"] * 200_000) + "\n"
+    assert parsing.parses(deep + "def f():\n    return 1\n", "py") and not parsing.parses(deep + "def f(:\n    return 1\n", "py") and not parsing.parses(deep + "y = 1 1\n", "py")
 
 
 # ---- abuse
