@@ -5,6 +5,11 @@ one diagonal. The items' q-grams are indexed once; for each document the shared
 of diagonals, regions that meet the bound are kept and verified by a banded alignment. With k = 0 an exact check
 then asks for MIN_WORDS whole words in a row.
 
+Shared q-grams aren't listed pair by pair: only those that begin a run on their diagonal are (the characters before
+them differ), and the run's length is found by bisection over prefix hashes. So texts that repeat themselves cost as many
+steps as they have runs, not as the product of their lengths, and a run tells at once how many q-grams it counts for.
+Runs are listed in slices of PAIRS, so memory is bounded however often a q-gram occurs.
+
 Texts are compared as their words (maximal runs of letters and digits, lower-cased) joined by single blanks.
 
 Defined results: null and empty texts leak nothing. Items with fewer than MIN_WORDS words can't be leaked. Repeated
@@ -29,31 +34,56 @@ Q = 12
 BAND = 16
 #: Characters of items in one block.
 BLOCK_CHARS = 4_000_000
-#: Characters of documents handled at once in a task.
-DOC_CHARS = 2_000_000
+#: Characters of documents handled at once in a task, and runs listed at once.
+DOC_CHARS, PAIRS = 2_000_000, 1_000_000
+#: What parts the items' texts, and the documents': two characters that no text holds and that never match.
+ITEM_END, DOC_END = "\n", "\v"
 WORD = re.compile(r"[^\W_]+")
 OUT = "doc_id long, item_id long, n_words int, item_words int, doc_words int"
 
 
+def joined(text: str | None) -> str:
+    """The words of a text in lower case, joined by blanks."""
+    return " ".join(WORD.findall(text)).lower() if text else ""
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)] if text else []
+    return joined(text).split()
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def qgram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
-    n = len(c) - q + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for i in range(q):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += c[i:i + n]
-        h ^= h >> np.uint64(29)
-    return h
+class Prefixes:
+    """Polynomial hashes of all prefixes, so that any substring's hash takes one step."""
+
+    BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, c: np.ndarray):
+        n = len(c) + 1
+        power, self.back = (np.cumprod(np.where(np.arange(n) > 0, x, np.uint64(1)), dtype=np.uint64) for x in (self.BASE, self.INVERSE))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
+
+    def of(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        h = (self.sums[at + length] - self.sums[at]) * self.back[at]
+        return h ^ (h >> np.uint64(31))
+
+    def qgrams(self, q: int) -> np.ndarray:
+        n = len(self.sums) - q
+        return self.of(np.arange(max(0, n)), q) * self.BASE
+
+
+def run_lengths(a: Prefixes, i: np.ndarray, b: Prefixes, j: np.ndarray) -> np.ndarray:
+    """How many characters are equal from i in one text and j in the other."""
+    low = np.zeros(len(i), np.int64)
+    high = np.minimum(len(a.sums) - 1 - i, len(b.sums) - 1 - j)
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_] + 1) // 2
+        same = a.of(i[open_], mid) == b.of(j[open_], mid)
+        low[open_] = np.where(same, mid, low[open_])
+        high[open_] = np.where(same, high[open_], mid - 1)
+    return low
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, k: int) -> int:
@@ -92,44 +122,87 @@ class ItemIndex:
         q = Q if k == 0 else max(3, min_chars // (k + 1))  # the bound needs shorter q-grams when edits are allowed
         self.k, self.q, self.min_chars = k, q, min_chars
         self.need = max(1, min_chars - q + 1 - k * q)
-        joined = [" ".join(words_of(t)) for t in texts]
-        self.n_words = [len(x.split()) for x in joined]
+        plain = [joined(t) for t in texts]
+        self.n_words = np.array([x.count(" ") + 1 if x else 0 for x in plain], np.int64)
         self.ids = ids
-        self.starts = np.cumsum([0, *[len(x) + 1 for x in joined]])[:-1].astype(np.int64)
-        self.text = codes("\n".join(joined))
-        h = qgram_hashes(self.text, q)
+        self.starts = np.cumsum([0, *[len(x) + 1 for x in plain]])[:-1].astype(np.int64)
+        self.text = codes(ITEM_END.join(plain))
+        self.prefixes = Prefixes(self.text)
+        h = self.prefixes.qgrams(q)
         inside = np.ones(len(h), bool)
-        for cut in np.flatnonzero(self.text == 10):  # no q-gram spans two items
+        for cut in np.flatnonzero(self.text == ord(ITEM_END)):  # no q-gram spans two items
             inside[max(0, cut - q + 1):cut + 1] = False
         at = np.flatnonzero(inside)
-        order = np.argsort(h[at], kind="stable")
-        self.hashes, self.at = h[at][order], at[order].astype(np.int64)
+        before = np.where(at > 0, self.text[at - 1], ord(ITEM_END)).astype(np.uint64)
+        order = np.lexsort((before, h[at]))
+        at, before = at[order], before[order]
+        self.hashes, group = np.unique(h[at], return_inverse=True)
+        self.first = np.searchsorted(group, np.arange(len(self.hashes) + 1))
+        #: Group and character before, in the order of `at`.
+        self.with_before = (group.astype(np.uint64) << np.uint64(21)) + before
+        self.at = at.astype(np.int64)
         self.seen = np.zeros(1 << 20, bool)
-        if len(self.hashes):
-            self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def item_of(self, pos: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, pos, side="right") - 1
 
-    def shared(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the documents' codes and in the items' of every pair of equal q-grams."""
-        h = qgram_hashes(c, self.q)
+    def runs(self, c: np.ndarray, own: Prefixes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begin in the documents, begin in the items, length) of all runs of equal characters with a q-gram, in slices."""
+        if not len(self.hashes) or len(c) < self.q:
+            return
+        h = own.qgrams(self.q)
         maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        lo = np.searchsorted(self.hashes, h[maybe], side="left")
-        hi = np.searchsorted(self.hashes, h[maybe], side="right")
-        many = hi - lo
-        keep = many > 0
-        maybe, lo, many = maybe[keep], lo[keep], many[keep]
-        doc = np.repeat(maybe, many).astype(np.int64)
-        first = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(many) else lo
-        return doc, self.at[first + np.arange(len(doc))]
+        group = np.searchsorted(self.hashes, h[maybe])
+        group = np.minimum(group, len(self.hashes) - 1)
+        same = self.hashes[group] == h[maybe]
+        doc, group = maybe[same], group[same]
+        # Of the places of an equal q-gram, those after the same character continue a run that began before.
+        before = np.where(doc > 0, c[doc - 1], ord(DOC_END)).astype(np.uint64)
+        key = (group.astype(np.uint64) << np.uint64(21)) + before
+        low, high = np.searchsorted(self.with_before, key, side="left"), np.searchsorted(self.with_before, key, side="right")
+        for a, b in ((self.first[group], low), (high, self.first[group + 1])):
+            many = b - a
+            keep = many > 0
+            part, a, many = doc[keep], a[keep], many[keep]
+            total = np.concatenate(([0], np.cumsum(many)))
+            for lo in range(0, int(total[-1]), PAIRS):
+                n = np.arange(lo, min(lo + PAIRS, int(total[-1])))
+                which = np.searchsorted(total, n, side="right") - 1
+                i, j = part[which], self.at[a[which] + n - total[which]]
+                yield i, j, run_lengths(own, i, self.prefixes, j)
+
+    def exact(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document place, item, words) of the regions that, without edits, hold MIN_WORDS whole words in a row."""
+        own = Prefixes(c)
+        t = self.text
+        blanks = np.concatenate(([0], np.cumsum(c == 32)))
+        edge = lambda x, at: (at < 0) | (at >= len(x)) | (x[np.clip(at, 0, len(x) - 1)] <= 32)
+        out: list[tuple[np.ndarray, ...]] = []
+        for i, j, n in self.runs(c, own):
+            # Without edits a band's count is met by a run of that many q-grams on one diagonal.
+            fits = n - self.q + 1 >= self.need
+            i, j, n = i[fits], j[fits], n[fits]
+            # Between two places that are edges of words in both texts lies one word.
+            words = blanks[i + n] - blanks[i] + (edge(c, i - 1) & edge(t, j - 1)) + (edge(c, i + n) & edge(t, j + n)) - 1
+            fits = words >= MIN_WORDS
+            i, j, n, words = i[fits], j[fits], n[fits], words[fits]
+            true = np.array([banded_distance(c[x:x + m], t[y:y + m], 0) == 0 for x, y, m in zip(i, j, n)], bool)
+            out.append((i[true], self.item_of(j[true]), words[true]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
     def regions(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, first and last shared position in `c`, diagonal) of the regions that meet the lemma's bound."""
-        doc, pos = self.shared(c)
-        if not len(doc):
+        """(item, first and last shared place in `c`, diagonal) of the regions that meet the lemma's bound with edits."""
+        found = []
+        for i, j, n in self.runs(c, Prefixes(c)):
+            # A run that meets the bound by itself is told by as many q-grams at its end and after each q characters.
+            for x, y, m in zip(i, j, n - self.q + 1):
+                steps = np.arange(m)
+                steps = steps[(steps % self.q < self.need) | (steps >= m - self.need)]
+                found.append((x + steps, np.full(len(steps), x - y), np.full(len(steps), self.item_of(y))))
+        if not found:
             return []
-        item, diagonal = self.item_of(pos), doc - pos
+        doc, diagonal, item = (np.concatenate(x) for x in zip(*found))
         band = diagonal // BAND
         twin = diagonal - band * BAND < self.k  # bands overlap by k diagonals
         doc, item, diagonal = (np.concatenate((x, x[twin])) for x in (doc, item, diagonal))
@@ -142,7 +215,7 @@ class ItemIndex:
             return []
         n = len(doc) - last
         fits = (item[:n] == item[last:]) & (band[:n] == band[last:]) & (doc[last:] - doc[:n] <= self.min_chars - self.q + self.k)
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         for i in np.flatnonzero(fits):
             j = i + last
             if out and out[-1][0] == item[i] and out[-1][4] == band[i] and doc[i] <= out[-1][2] + self.q:
@@ -151,74 +224,28 @@ class ItemIndex:
                 out.append((int(item[i]), int(doc[i]), int(doc[j]), int(diagonal[i]), band[i]))
         return [x[:4] for x in out]
 
-    def parts(self, c: np.ndarray, first: int, last: int, diagonal: int, low: int, high: int) -> list[tuple[int, int, int]]:
-        """(start, end, diagonal) in `c` of what a banded alignment verifies of a region within the document [low, high).
-
-        With k = 0 the band's diagonals are aligned one by one: a part is a run of q-grams shared on one diagonal.
-        With k > 0 the region counts if it has at most k edits a passage length.
-        """
+    def near_words(self, c: np.ndarray, first: int, last: int, diagonal: int, low: int, high: int) -> int:
+        """The words of a region within the document [low, high) if it has at most k edits a passage length, else 0."""
         a, b = max(low, first), min(high, last + self.q)
         if b - a < self.q:
-            return []
-        if self.k:
-            budget = self.k * max(1, (b - a) // self.min_chars)
-            x, y = max(0, a - diagonal), max(0, b - diagonal)
-            return [(a, b, diagonal)] if banded_distance(c[a:b], self.text[x:y], budget) <= budget else []
-        doc, pos = self.shared(c[a:b])
-        doc = doc + a
-        near = (doc - pos) // BAND == diagonal // BAND
-        doc, diag = doc[near], (doc - pos)[near]
-        order = np.lexsort((doc, diag))
-        doc, diag = doc[order], diag[order]
-        starts = np.flatnonzero(np.concatenate(([True], (diag[1:] != diag[:-1]) | (doc[1:] != doc[:-1] + 1))) if len(doc) else np.empty(0, bool))
-        ends = np.concatenate((starts[1:] - 1, [len(doc) - 1])) if len(starts) else starts
-        spans = [(int(doc[i]), int(doc[j]) + self.q, int(diag[i])) for i, j in zip(starts, ends)]
-        return [(x, y, g) for x, y, g in spans if banded_distance(c[x:y], self.text[x - g:y - g], 0) == 0]
-
-    def words(self, c: np.ndarray, a: int, b: int, diagonal: int) -> int:
-        """The words of a verified part: with k = 0 the most whole words in a row that both sides share there."""
-        return self.exact_words(c, a, b, diagonal) if self.k == 0 else int((c[a:b] == 32).sum()) + 1
-
-    def exact_words(self, c: np.ndarray, a: int, b: int, diagonal: int) -> int:
-        """The most whole words in a row that both sides share on the diagonal around the span, extended both ways."""
-        t = self.text
-        while a > 0 and a - diagonal > 0 and c[a - 1] == t[a - 1 - diagonal] and c[a - 1] != 10:
-            a -= 1
-        while b < len(c) and b - diagonal < len(t) and c[b] == t[b - diagonal] and c[b] != 10:
-            b += 1
-        best = run = 0
-        start = a if self._edge(c, a - 1) and self._edge(t, a - 1 - diagonal) else None
-        for i in range(a, b + 1):
-            same = i < b and c[i] == t[i - diagonal]
-            edge = self._edge(c, i) and self._edge(t, i - diagonal)
-            if edge:
-                if start is not None and i > start:
-                    run += 1
-                    best = max(best, run)
-                start = i + 1
-            elif not same:
-                start = None
-            if not same and i < b:
-                run = 0
-        return best
-
-    @staticmethod
-    def _edge(c: np.ndarray, i: int) -> bool:
-        return i < 0 or i >= len(c) or c[i] == 32 or c[i] == 10
-
-
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[list[str]]]]:
+            return 0
+        budget = self.k * max(1, (b - a) // self.min_chars)
+        x, y = max(0, a - diagonal), max(0, b - diagonal)
+        return int((c[a:b] == 32).sum()) + 1 if banded_distance(c[a:b], self.text[x:y], budget) <= budget else 0
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str]]]:
     ids: list[int] = []
-    texts: list[list[str]] = []
+    texts: list[str] = []
     size = 0
     for pdf in frames:
         for doc, text in zip(pdf["doc_id"], pdf["text"]):
-            words = words_of(text)
-            if len(words) < MIN_WORDS:
+            plain = joined(text)
+            if plain.count(" ") + 1 < MIN_WORDS:
                 continue
             ids.append(doc)
-            texts.append(words)
-            size += len(text)
+            texts.append(plain)
+            size += len(plain)
             if size > DOC_CHARS:
                 yield ids, texts
                 ids, texts, size = [], [], 0
@@ -230,18 +257,21 @@ def _finder(index):
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix: ItemIndex = index.value
         for ids, texts in _batches(frames):
-            joined = [" ".join(w) for w in texts]
-            starts = np.cumsum([0, *[len(x) + 1 for x in joined]]).astype(np.int64)
-            c = codes("\n".join(joined))
-            best: dict[tuple[int, int], int] = {}
-            for item, first, last, diagonal in ix.regions(c):
-                d = int(np.searchsorted(starts, first, side="right")) - 1
-                low, high = int(starts[d]), int(starts[d + 1]) - 1
-                n = max((ix.words(c, a, b, g) for a, b, g in ix.parts(c, first, last, diagonal, low, high)), default=0)
-                if n >= MIN_WORDS:
-                    best[d, item] = max(best.get((d, item), 0), n)
-            if best:
-                yield pd.DataFrame([(ids[d], ix.ids[i], n, ix.n_words[i], len(texts[d])) for (d, i), n in best.items()], columns=[x.split()[0] for x in OUT.split(", ")])
+            starts = np.cumsum([0, *[len(x) + 1 for x in texts]]).astype(np.int64)
+            c = codes(DOC_END.join(texts))
+            if ix.k == 0:
+                place, item, n = ix.exact(c)
+            else:
+                place, item, n = [], [], []
+                for it, first, last, diagonal in ix.regions(c):
+                    d = int(np.searchsorted(starts, first, side="right")) - 1
+                    place.append(first)
+                    item.append(it)
+                    n.append(ix.near_words(c, first, last, diagonal, int(starts[d]), int(starts[d + 1]) - 1))
+            out = pd.DataFrame({"d": np.searchsorted(starts, np.asarray(place, np.int64), side="right") - 1, "item": np.asarray(item, np.int64), "n_words": np.asarray(n, np.int64)})
+            out = out[out["n_words"] >= MIN_WORDS].groupby(["d", "item"], as_index=False)["n_words"].max()
+            if len(out):
+                yield pd.DataFrame({"doc_id": [ids[d] for d in out["d"]], "item_id": [ix.ids[i] for i in out["item"]], "n_words": out["n_words"], "item_words": ix.n_words[out["item"]], "doc_words": [texts[d].count(" ") + 1 for d in out["d"]]})
 
     return find
 

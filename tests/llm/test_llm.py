@@ -79,6 +79,31 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_texts_that_repeat_themselves(spark, monkeypatch):
+    """As many steps as there are runs: texts of one word over and over, and q-grams shared by very many places."""
+    same, two = "spam " * 20_000, "aaaa aaab " * 10_000
+    index = leakage.ItemIndex([1, 2, 3], [same, two, "eggs " * 50])
+    c = leakage.codes(leakage.joined(same) + leakage.DOC_END + leakage.joined(two))
+    assert sum(len(i) for i, _, _ in index.runs(c, leakage.Prefixes(c))) < 20 * len(c)
+    hot = "the one and only phrase "
+    docs = [(1, same), (2, two), (3, hot * 40 + "end"), (4, " ".join(f"{hot}{i}" for i in range(300))), (5, "eggs " * 11), (6, "eggs " * 12)]
+    items = [(1, same), (2, two), (3, "eggs " * 50), (4, " ".join(f"{hot}{i}" for i in range(100, 600))), (5, hot * 3)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(leakage, "PAIRS", 1000)
+    got = {(r.doc_id, r.item_id): r.n_words for r in leakage.leaks(df, it).collect()}
+    assert set(got) == brute(docs, items) and got[1, 1] == 20_000 and got[6, 3] == 12 and got[3, 5] == 15
+
+
+def test_run_lengths_against_comparing():
+    for _ in range(200):
+        a, b = ("".join(RND.choice("ab") for _ in range(RND.randrange(1, 40))) for _ in range(2))
+        i, j = np.array([RND.randrange(len(a))]), np.array([RND.randrange(len(b))])
+        n = 0
+        while i[0] + n < len(a) and j[0] + n < len(b) and a[i[0] + n] == b[j[0] + n]:
+            n += 1
+        assert leakage.run_lengths(leakage.Prefixes(leakage.codes(a)), i, leakage.Prefixes(leakage.codes(b)), j)[0] == n
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(8)], "item_id long, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), "text")
