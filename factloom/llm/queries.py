@@ -38,6 +38,11 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(whole).cast("long").alias("n_whole"), F.max("n_words").alias("longest_run"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items of which they hold a passage with at most one edit in each passage length."""
+    return leakage.leaks(_documents(spark, d), table(spark, d, "benchmark"), k=1).select("doc_id", "item_id", "n_words")
+
+
 def _fact_texts(spark: SparkSession, d: str) -> DataFrame:
     """(scan_id, fact_id, properties_json) of each fact's latest delivery; texts that can't hold a secret are null, so
     that the shuffle by key doesn't carry them."""
@@ -114,7 +119,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_flagged"), F.round(F.avg(hit), 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items, p8_near, p9_found, p9_scores, p9_rates)}
 
 _P8 = """
 with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),

@@ -119,6 +119,24 @@ def test_edits_within_the_budget(spark):
     assert {r.doc_id for r in leakage.leaks(docs, items, k=1).collect()} == {1}
 
 
+def test_every_planted_passage_with_an_edit_is_found(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(20)]
+    docs, want = [], set()
+    for d in range(120):
+        i, text = items[d % 20]
+        w = text.split()[4:24]
+        at = r.randrange(len(w))
+        w[at] = r.choice([w[at][1:] or "q", w[at] + "q", "q" + w[at][1:]]) if d < 100 else w[at]
+        docs.append((d, " ".join([*(word() for _ in range(9)), *w, *(word() for _ in range(9))])))
+        want.add((d, i))
+    docs += [(d, " ".join(word() for _ in range(40))) for d in range(200, 260)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leakage.leaks(df, it, k=1).collect()}
+    assert got == want and {(x.doc_id, x.item_id) for x in leakage.leaks(df, it).collect()} <= got
+
+
 def test_banded_distance_against_the_full_table():
     def full(a, b):
         row = list(range(len(b) + 1))
