@@ -52,7 +52,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     tree = H.hierarchy(_symbols(spark, d))
-    return tree.select("table_name", "scope_id", "node_id", "root_id", "depth", F.array_join("path", " > ").alias("path"), "back_edge")
+    path = F.when(F.col("depth") >= 0, F.array_join("path", " > ")).otherwise("")
+    return tree.select("table_name", "scope_id", "node_id", "root_id", "depth", path.alias("path"), "back_edge")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -140,8 +141,14 @@ ORACLES = {
     "p2_found": _P2 + """select l.table_name, l.scope_id, l.node_id, coalesce(r.root_id, '') as root_id, coalesce(r.depth, -1)::int as depth,
         coalesce(c.n, 0)::int as n_descendants from l left join r using (table_name, scope_id, node_id)
         left join cnt c on c.table_name = l.table_name and c.scope_id = l.scope_id and c.anc = l.node_id""",
-    "p2_descendants": _P2 + """select a.table_name, a.scope_id, a.anc as node_id, a.node_id as descendant_id, a.distance::int as distance
-        from anc a join r using (table_name, scope_id, node_id)""",
+    "p2_descendants": _P2 + """select table_name, scope_id, anc as node_id, node_id as descendant_id, min(distance)::int as distance
+        from anc where anc <> node_id group by all""",
+    "p2_paths": _P2 + """, ring as (select table_name, scope_id, node_id from anc where anc = node_id group by all),
+        least as (select g.table_name, g.scope_id, g.node_id from ring g
+            where not exists (select 1 from anc a join ring h on a.table_name = h.table_name and a.scope_id = h.scope_id and a.anc = h.node_id
+                where a.table_name = g.table_name and a.scope_id = g.scope_id and a.node_id = g.node_id and a.anc < g.node_id))
+        select l.table_name, l.scope_id, l.node_id, coalesce(r.root_id, '') as root_id, coalesce(r.depth, -1)::int as depth, coalesce(r.path, '') as path,
+        b.node_id is not null as back_edge from l left join r using (table_name, scope_id, node_id) left join least b using (table_name, scope_id, node_id)""",
     "p5_found": _P5 + "select scan_id, fact_id, change_kind from found",
     "p5_report": _P5 + "select scan_id, change_kind, count(*) as n_facts from found group by all",
 }

@@ -113,8 +113,20 @@ def test_hierarchy_against_brute_force(spark, bound):
     df = spark.createDataFrame(links, LINKS)
     tree = H.hierarchy(df, max_colocated=bound)
     assert tree_rows(tree) == brute_tree(links)
-    for r in tree.collect():
-        assert (r.path == []) if r.depth < 0 else (r.path[0] == r.root_id and r.path[-1] == r.node_id and len(r.path) == r.depth + 1)
+    rows = tree.collect()
+    for r in rows:
+        assert len(r.path) == r.steps if r.depth < 0 else (r.path[0] == r.root_id and r.path[-1] == r.node_id and len(r.path) == r.depth + 1)
+    up = {(s, n): p for _, s, n, p in links}
+    want = set()
+    for s, n in up:
+        x, steps = up[s, n], 1
+        seen = {n}
+        while (s, x) in up and x not in seen:
+            want.add((s, x, n, steps))
+            seen.add(x)
+            x, steps = up[s, x], steps + 1
+    pairs = [(r.scope_id, r.node_id, r.descendant_id, r.distance) for r in H.descendants(tree).collect()]
+    assert set(pairs) == want and len(pairs) == len(want) == sum(r.n_descendants for r in rows)
     assert tree_rows(H.hierarchy(df, with_paths=False, max_colocated=bound)) == brute_tree(links)
 
 
