@@ -1,6 +1,7 @@
 """References to records that do not exist, or that arrived only after the record that refers to them.
 
-A Bloom filter over all parent keys is broadcast; a reference whose key it denies is a proven orphan. Only the
+A Bloom filter over all parent keys is broadcast (several, by the keys' hash, where one would grow beyond its bound); a
+reference whose key it denies is a proven orphan. Only the
 references that pass are joined to the parents' first deliveries. Orphans may then be looked up in other scopes, where
 a second filter over the orphans' keys keeps the parents that matter.
 
@@ -51,8 +52,7 @@ def orphans(refs: DataFrame, parent_rows: DataFrame, elsewhere_tables: list[str]
     `raw_keys` (see reference_keys) saves looking for hot keys in the references themselves.
     """
     id_cols = ["parent", "scope", "key"]
-    words = bloom.words_for(parent_rows.count())
-    asked = bloom.probe(refs, id_cols, bloom.build(parent_rows, id_cols, words), words, "maybe")
+    asked = bloom.sharded(refs, id_cols, parent_rows, parent_rows.count(), "maybe")
     asked = asked.withColumn("h", F.xxhash64(*id_cols))
     definite = asked.where(~F.col("maybe"))
     positive = asked.where(F.col("maybe"))
@@ -65,8 +65,7 @@ def orphans(refs: DataFrame, parent_rows: DataFrame, elsewhere_tables: list[str]
     bad = cut(bad)
 
     strays = bad.where((F.col("status") == "missing") & F.col("table_name").isin(elsewhere_tables))
-    stray_words = bloom.words_for(strays.count())
-    near = bloom.probe(parent_rows, ["parent", "key"], bloom.build(strays, ["parent", "key"], stray_words), stray_words, "maybe")
+    near = bloom.sharded(parent_rows, ["parent", "key"], strays, strays.count(), "maybe")
     known = near.where(F.col("maybe")).select("parent", "key").distinct().withColumns({"known": F.lit(True), "h": F.xxhash64("parent", "key")})
     keyed = strays.withColumn("h", F.xxhash64("parent", "key"))
     told = lookup(keyed, known, ["parent", "key", "h"], "left", small=False, hot=hot_keys(keyed, "h", share), hot_col="h")

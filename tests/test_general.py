@@ -66,16 +66,25 @@ def test_report_counts_by_month(spark):
 
 def test_bloom_never_denies(spark):
     keys = spark.range(5000).select(F.col("id").cast("string").alias("k"))
-    words = bloom.build(keys, ["k"], 1 << 10)
-    assert words.count() <= 1 << 10
-    assert bloom.probe(keys, ["k"], words, 1 << 10, "hit").where(~F.col("hit")).count() == 0
+    lines = bloom.build(keys, ["k"], 1 << 12)
+    assert lines.count() <= (1 << 12) // bloom.LINE
+    assert bloom.probe(keys, ["k"], lines, 1 << 12, "hit").where(~F.col("hit")).count() == 0
     others = spark.range(5000, 10_000).select(F.col("id").cast("string").alias("k"))
-    w = bloom.words_for(5000)
-    assert bloom.probe(others, ["k"], bloom.build(keys, ["k"], w), w, "hit").where("hit").count() < 500
-
-
-def test_words_are_bounded():
-    assert bloom.words_for(0) == bloom.MIN_WORDS and bloom.words_for(10**12) == bloom.MAX_WORDS
+    assert bloom.sharded(others, ["k"], keys, 5000, "hit").where("hit").count() < 500
+
+
+def test_filters_are_bounded_and_grow_in_number(spark, monkeypatch):
+    assert bloom.words_for(0) == (bloom.MIN_WORDS, 1) and bloom.words_for(10**12)[0] == bloom.MAX_WORDS and bloom.words_for(10**12)[1] > 10_000
+    monkeypatch.setattr(bloom, "MAX_WORDS", 1 << 10)
+    keys = spark.range(30_000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("string").alias("n"))
+    others = spark.range(30_000, 60_000).select(F.col("id").cast("string").alias("k"), F.lit(None).cast("string").alias("n"))
+    assert bloom.words_for(30_000) == (1 << 10, 8)
+    got = bloom.sharded(keys.unionByName(others), ["k", "n"], keys, 30_000, "hit").groupBy((F.col("k").cast("int") < 30_000).alias("own"), "hit").count().collect()
+    assert {(r.own, r.hit): r["count"] for r in got}[True, True] == 30_000 and sum(r["count"] for r in got) == 60_000 and sum(r["count"] for r in got if r.hit) < 33_000
+    refs = [(f"o{i}", "s", f"f{i % 700}", 5) for i in range(900)]
+    monkeypatch.setattr(bloom, "MIN_WORDS", 1)
+    monkeypatch.setattr(bloom, "BITS_A_KEY", 1 << 9)
+    assert run_orphans(spark, refs, [("s", f"f{i}", 1) for i in range(600)]) == {(f"o{i}", "fact_id", "missing") for i in range(900) if i % 700 >= 600}
 
 
 # ---- hierarchies
