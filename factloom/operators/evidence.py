@@ -74,12 +74,17 @@ def symbol_roles(facts: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 # ---- surfaces
 
+# Fact types by the surface they show, and property keys of the fact contract.
 SQL_FACTS = ("QueryPatternDetected", "SqlTextUsed", "DapperCallDetected", "SqlCommandDetected", "SqlFileDeclared")
 MESSAGE_FACTS = ("MessagePublisherSurface", "MessageConsumerSurface", "MessageBindingDeclared")
 CONFIG_FACTS = ("ConfigBinding", "ConfigKeyDeclared", "ConnectionStringDeclared")
 REMOTING = {"RemotingEndpointDeclared": "remoting-endpoint", "RemotingRegistrationDetected": "remoting-registration", "RemotingChannelDeclared": "remoting-channel", "RemotingObjectDeclared": "remoting-object", "RemotingApiUsed": "remoting-api"}
 
 
+#: Kinds that a surface may have; a fact may declare others of its own.
+SURFACE_KINDS = ("http-client", "http-route", "sql-persistence", "sql-query", *S.MESSAGE_KINDS, "wcf-operation", *REMOTING.values(), "package-config")
+
+
 def surface_kind(fact_type: Column, props: Column) -> Column:
     """The kind of dependency surface a fact shows, null for none; the first rule that holds decides."""
     declared = T.first_value(props, "surfaceKind")
@@ -106,10 +111,10 @@ def surfaces(facts: DataFrame) -> DataFrame:
     sql = F.col("surface_kind") == "sql-query"
     version, version_hash, reason = T.safe_version(T.first_value(p, "version", "packageVersion"))
     rows = rows.withColumns({
-        "path_key": F.when(http, route["key"]),
+        "path_key": F.when(http, F.coalesce(T.first_value(p, "normalizedPathKey"), route["key"])),
         "http_method": F.when(http, F.coalesce(F.upper(T.first_value(p, "httpMethod", "httpMethods", "methodName")), F.lit("ANY"))),
         "sql_shape": F.when(sql & T.first_value(p, "sql").isNotNull(), sqltext.shape(T.first_value(p, "sql"))),
-        "package_name": T.first_value(p, "packageName", "package", "dependencyName", "moduleName"), "package_version": version, "version_hash": version_hash, "redaction_reason": reason,
+        "package_name": F.coalesce(T.first_value(p, "packageName", "package", "dependencyName", "moduleName"), F.when(F.col("fact_type") == "PackageReferenced", T.first_value(p, "name"))), "package_version": version, "version_hash": version_hash, "redaction_reason": reason,
         "config_key": T.first_value(p, "keyPath", "configKey", "key", "connectionStringName", "connectionName", "sectionName", "configurationKey", "environmentVariableName"),
         "ecosystem": T.first_value(p, "ecosystem", "packageEcosystem", "packageManager"), "safe_path": T.safe_path(F.col("file_path")),
     })
@@ -117,6 +122,10 @@ def surfaces(facts: DataFrame) -> DataFrame:
     name = (
         F.when(http, F.coalesce("path_key", F.concat("http_method", F.lit(" unknown"))))
         .when(sql, F.concat_ws(" ", F.col("sql_shape.operation"), F.when(tables != "", tables)))
+        .when(F.col("surface_kind").startswith("message-"), F.coalesce(T.first_value(p, "destination", "topic", "queue", "exchange", "subscription", "channel", "eventName"), F.concat(F.lit("unknown-"), "surface_kind", F.lit(":"), "fact_id")))
+        .when(F.col("surface_kind") == "wcf-operation", F.coalesce(F.concat_ws(".", T.first_value(p, "contract", "contractName", "serviceContract"), T.first_value(p, "operation", "operationName")), F.lit("")))
+        .when(F.col("surface_kind").startswith("remoting-"), F.coalesce(T.first_value(p, "objectUri", "uri", "typeName", "channel", "api"), F.concat(F.lit("unknown-"), "surface_kind", F.lit(":"), "fact_id")))
+        .when(F.col("surface_kind") == "sql-persistence", F.concat_ws(".", T.first_value(p, "tableName", "table", "entityName"), T.first_value(p, "columnName", "column")))
         .otherwise(F.coalesce("package_name", "config_key", F.concat(F.lit("unknown-"), "surface_kind", F.lit(":"), "fact_id")))
     )
     return rows.withColumns({"display_name": name, "table_names": F.when(sql, tables), "shape_hash": F.coalesce(T.first_value(p, "queryShapeHash", "patternHash"), F.col("sql_shape.shape_hash"))}).drop("sql_shape")
@@ -124,28 +133,37 @@ def surfaces(facts: DataFrame) -> DataFrame:
 
 # ---- combining indexes
 
-def combine(sources: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Single indexes by label as one combined index: rows keep their ids and get the source's; keys are prefixed by it.
+#: Tables of a single index with their key, and the columns that join it in the combined one.
+COMBINED_KEYS = {"facts": ("fact_id", []), "symbols": ("symbol_id", ["scan_id"]), "symbol_occurrences": ("occurrence_id", [])}
 
-    Tables or columns that a source lacks are taken as empty. Two sources may not share an id.
+
+def combine_stacked(tables: dict[str, DataFrame], label: str) -> dict[str, DataFrame]:
+    """Single indexes stacked in one table each, told apart by the column `label`, as one combined index.
+
+    Rows keep their ids and get the source's; keys are prefixed by it. One plan, however many sources there are.
     """
-    out: dict[str, list[DataFrame]] = {}
+    out = {}
+    for name, df in tables.items():
+        source = F.concat(F.lit("src-"), T.hash_prefix(F.col(label), 20))
+        row = df.withColumns({"source_index_id": source, "source_label": F.col(label)})
+        key, parts = COMBINED_KEYS.get(name, (None, []))
+        out[f"combined_{name}"] = row.withColumn(f"combined_{key}", F.concat_ws(":", source, *parts, key)) if key else row
+    return out
+
+
+def combine(sources: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Single indexes by label as one combined index (see combine_stacked). Tables or columns that a source lacks are empty."""
+    stacked: dict[str, DataFrame] = {}
     for label, tables in sources.items():
-        source = F.concat(F.lit("src-"), T.hash_prefix(F.lit(label), 20))
         for name, df in tables.items():
-            key = {"facts": "fact_id", "symbols": "symbol_id", "symbol_occurrences": "occurrence_id"}.get(name)
-            row = df.withColumns({"source_index_id": source, "source_label": F.lit(label)})
-            if key:
-                parts = [source, *([F.col("scan_id")] if name == "symbols" else []), F.col(key)]
-                row = row.withColumn(f"combined_{key}", F.concat_ws(":", *parts))
-            out.setdefault(f"combined_{name}", []).append(row)
-    merged = {}
-    for name, frames in out.items():
-        whole = frames[0]
-        for f in frames[1:]:
-            whole = whole.unionByName(f, allowMissingColumns=True)
-        merged[name] = whole
-    return merged
+            row = df.withColumn("__label", F.lit(label))
+            stacked[name] = stacked[name].unionByName(row, allowMissingColumns=True) if name in stacked else row
+    return {name: df.drop("__label") for name, df in combine_stacked(stacked, "__label").items()}
+
+
+def shared_labels(sources: DataFrame, label: str, source: str) -> DataFrame:
+    """(label, n_sources) of labels that several sources claim: such a combination is refused before any row is written."""
+    return sources.groupBy(F.col(label).alias("label")).agg(F.countDistinct(source).alias("n_sources")).where(F.col("n_sources") > 1)
 
 
 def edge_view(facts: DataFrame, relationships: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,12 @@ the kind `other`; names keep their case.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ast
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as Q
@@ -115,3 +120,157 @@ def gap_facts(facts: DataFrame) -> DataFrame:
 
 def coverage_column(level: Column) -> Column:
     return F.when(level == "Level1SemanticAnalysis", F.lit("full")).when(level.isNull(), F.lit("unknown")).otherwise(F.lit("reduced"))
+
+
+# ---- syntax trees, views and call sites
+
+
+PYTHON = "scan_id string, relative_path string, line_no int, end_line int, kind string, name string, owner string, argument string, gap string"
+
+
+def _python_rows(text: str) -> list[tuple]:
+    """(line, end, kind, name, owner, first text argument) of declarations, imports and calls of a Python text."""
+    out: list[tuple] = []
+    todo: list[tuple[ast.AST, str]] = [(ast.parse(text), "")]
+    while todo:
+        node, owner = todo.pop()
+        below = owner
+        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            kind = "class" if isinstance(node, ast.ClassDef) else "method" if owner and owner[-1] == "*" else "function"
+            out.append((node.lineno, node.end_lineno, kind, node.name, owner.rstrip("*") or None, None))
+            below = ".".join(x for x in (owner.rstrip("*"), node.name) if x) + ("*" if kind == "class" else "")
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            base = "." * getattr(node, "level", 0) + (getattr(node, "module", None) or "")
+            for x in node.names:
+                out.append((node.lineno, node.end_lineno, "import", f"{base}.{x.name}" if base.strip(".") else base + x.name, owner.rstrip("*") or None, None))
+        elif isinstance(node, ast.Call):
+            parts, at = [], node.func
+            while isinstance(at, ast.Attribute):
+                parts.append(at.attr)
+                at = at.value
+            parts.append(at.id if isinstance(at, ast.Name) else "?")
+            first = node.args[0].value if node.args and isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else None
+            out.append((node.lineno, node.end_lineno, "call", ".".join(parts[::-1]), owner.rstrip("*") or None, first))
+        todo += [(x, below) for x in ast.iter_child_nodes(node)]
+    return sorted(out, key=lambda r: (r[0], r[2], r[3]))
+
+
+def python_syntax(files: DataFrame) -> DataFrame:
+    """PYTHON rows of the .py items by their syntax trees; a text that doesn't parse gives one row with a gap."""
+    columns = [x.split()[0] for x in PYTHON.split(", ")]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows: list[tuple] = []
+            for scan, path, text in pdf[["scan_id", "relative_path", "content"]].itertuples(index=False, name=None):
+                try:
+                    with warnings.catch_warnings():
+                        warnings.simplefilter("ignore")
+                        rows += [(scan, path, *r, None) for r in _python_rows(text.lstrip("﻿"))]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    rows.append((scan, path, *[None] * 6, "not-parsed"))
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype({"line_no": "Int32", "end_line": "Int32"})
+
+    src = files.where(F.lower("relative_path").endswith(".py") & F.col("content").isNotNull() & (F.col("content") != ""))
+    return src.select("scan_id", "relative_path", "content").mapInPandas(read, PYTHON)
+
+
+def _matches(files: DataFrame, extensions: str, patterns: dict[str, str]) -> DataFrame:
+    """(scan_id, relative_path, line_no, kind, name) of what each pattern's first group finds in lines."""
+    rows = lines(files.where(F.lower("relative_path").rlike(rf"\.(?:{extensions})$")))
+    found = F.array(*[F.transform(F.regexp_extract_all("line", F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k, p in patterns.items()])
+    told = rows.select("scan_id", "relative_path", "line_no", F.explode(F.flatten(found)).alias("m"))
+    return told.select("scan_id", "relative_path", "line_no", "m.kind", "m.name").where(F.col("name") != "")
+
+
+#: Calls and attributes of C# and Java that name a boundary; group 1 is the name, without its quotes.
+INTEGRATION = {
+    "http-client": r"\b(?:Get|Post|Put|Delete|Patch|Send)(?:StringAsync|AsJsonAsync|Async)\s*\(\s*\$?@?\"([^\"\n]+)\"",
+    "http-route": r"(?:\[Http(?:Get|Post|Put|Delete|Patch)|\[Route|@(?:Get|Post|Put|Delete|Patch|Request)Mapping|\bMap(?:Get|Post|Put|Delete|Patch))\s*\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"\n]*)\"",
+    "sql-text": r"\b(?:new\s+\w*Command|(?:Query|Execute)\w*|FromSqlRaw|prepareStatement|createNativeQuery)\s*(?:<[^>\n]*>)?\s*\(\s*@?\"([^\"\n]+)\"",
+    "message-publish": r"\b(?:Publish|SendMessage|BasicPublish|convertAndSend)(?:Async)?\s*(?:<[^>\n]*>)?\s*\(\s*\"([^\"\n]+)\"",
+    "message-consume": r"(?:\b(?:Subscribe|BasicConsume|Consume)(?:Async)?\s*(?:<[^>\n]*>)?\s*\(\s*|@(?:RabbitListener|KafkaListener|JmsListener)\s*\(\s*\w+\s*=\s*)\"([^\"\n]+)\"",
+}
+
+
+def integration_calls(files: DataFrame) -> DataFrame:
+    """(scan_id, relative_path, line_no, kind, name): clients, routes, SQL texts and messages named in C# and Java lines."""
+    return _matches(files, "cs|java", INTEGRATION)
+
+
+#: How views bind to models and where their forms lead.
+VIEWS = {
+    "model": r"^\s*@model\s+([A-Za-z_][\w.<>?, ]*)",
+    "bound": r"\basp-for\s*=\s*[\"'](?:Model\.)?([A-Za-z_][\w.]*)[\"']",
+    "helper": r"\bHtml\.\w+For\s*\(\s*\w+\s*=>\s*\w+\.([A-Za-z_][\w.]*)",
+    "action": r"\basp-action\s*=\s*[\"']([^\"']+)[\"']",
+    "controller": r"\basp-controller\s*=\s*[\"']([^\"']+)[\"']",
+    "page": r"\basp-page\s*=\s*[\"']([^\"']+)[\"']",
+    "untyped": r"\b(ViewBag\.\w+|ViewData\[\s*\"\w+\"\s*\])",
+}
+
+
+def view_bindings(files: DataFrame) -> DataFrame:
+    """(scan_id, relative_path, line_no, kind, name, model_type): what .cshtml and .razor views show, with their model's type."""
+    rows = _matches(files, "cshtml|razor", VIEWS)
+    model = rows.where(F.col("kind") == "model").groupBy("scan_id", "relative_path").agg(F.min_by(F.trim("name"), "line_no").alias("model_type"))
+    return rows.where(F.col("kind") != "model").join(model, ["scan_id", "relative_path"], "left")
+
+
+#: Declarations and boundaries of Swift lines.
+SWIFT = {
+    "type": r"^\s*(?:(?:public|private|internal|fileprivate|open|final|indirect)\s+)*(?:class|struct|enum|protocol|actor|extension)\s+([A-Za-z_]\w*)",
+    "function": r"^\s*(?:(?:public|private|internal|fileprivate|open|static|class|override|mutating|final)\s+)*func\s+([A-Za-z_]\w*)",
+    "import": r"^\s*import\s+(?:\w+\s+)?([A-Za-z_][\w.]*)",
+    "http-client": r"\bURL\s*\(\s*string:\s*\"([^\"\n]+)\"",
+    "storage": r"\b(UserDefaults|FileManager|NSPersistentContainer|ModelContainer|Keychain\w*|SecItem\w+)\b",
+    "unsupported": r"(#selector|@objc|NSClassFromString|Mirror\s*\(|@dynamicMemberLookup|#if\b)",
+}
+
+
+def swift_syntax(files: DataFrame) -> DataFrame:
+    """(scan_id, relative_path, line_no, kind, name): declarations, clients, storage and what isn't followed in Swift lines."""
+    return _matches(files, "swift", SWIFT)
+
+
+#: The fields of a statement's execution context.
+CONTEXT_FIELDS = {"engineFamily": "unknown", "serverRole": "unknown", "databaseRole": "unknown", "schemaRole": "unspecified", "executionMode": "unknown", "stepKind": "unknown-sql-step"}
+_CONTEXT_WORD = r"^[a-z][a-z0-9-]{0,63}$"
+
+
+def sql_directives(files: DataFrame, marker: str = r"[\w-]*sql-context") -> DataFrame:
+    """(scan_id, relative_path, line_no, fields, gap): contexts that comment lines `-- <marker>: name=value; ...` declare.
+
+    `fields` holds all of CONTEXT_FIELDS; an unknown name, a repeated one or a value that is no plain word gives a gap.
+    """
+    body = F.regexp_extract("line", rf"^\s*--\s*{marker}:\s*(.*?)\s*$", 1)
+    rows = lines(files.where(F.lower("relative_path").endswith(".sql"))).where(F.col("line").rlike(rf"^\s*--\s*{marker}:"))
+    pairs = F.filter(F.transform(F.split(body, r"[;\s]+"), F.trim), lambda x: x != "")
+    names, values = F.transform(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(1))), F.transform(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(2)))
+    known = F.array(*[F.lit(k) for k in CONTEXT_FIELDS])
+    bad = (F.size(pairs) == 0) | F.exists(pairs, lambda x: ~x.rlike(r"^[A-Za-z]+=[^=]+$")) | (F.size(F.array_except(names, known)) > 0) | (F.size(F.array_distinct(names)) < F.size(names)) | F.exists(values, lambda v: ~v.rlike(_CONTEXT_WORD))
+    defaults = F.create_map(*[F.lit(x) for pair in CONTEXT_FIELDS.items() for x in pair])
+    given = F.map_from_arrays(F.array_distinct(names), F.slice(values, 1, F.size(F.array_distinct(names))))
+    fields = F.map_from_arrays(known, F.transform(known, lambda k: F.coalesce(F.element_at(given, k), F.element_at(defaults, k))))
+    return rows.select("scan_id", "relative_path", "line_no", F.when(~bad, fields).alias("fields"), F.when(bad, F.lit("invalid-context-directive")).alias("gap"))
+
+
+def sql_sidecars(files: DataFrame, suffix: str = ".context.json") -> DataFrame:
+    """(scan_id, relative_path, ordinal, fields, gap): contexts that a JSON file beside an SQL file declares by statement.
+
+    `relative_path` is the SQL file's. A file that is no such JSON gives one gap, a step without a positive ordinal, with a
+    repeated one or with a value that is no plain word a gap of its own.
+    """
+    step = ", ".join(f"{k} string" for k in CONTEXT_FIELDS)
+    src = files.where(F.lower("relative_path").endswith(".sql" + suffix) & F.col("content").isNotNull())
+    read = F.from_json("content", f"schemaVersion string, steps array<struct<statementOrdinal int, {step}>>", {"mode": "PERMISSIVE"})
+    rows = src.select("scan_id", F.expr(f"left(relative_path, length(relative_path) - {len(suffix)})").alias("relative_path"), read.alias("r"))
+    broken = rows.where(F.col("r").isNull() | F.col("r.steps").isNull() | F.col("r.schemaVersion").isNull())
+    steps = rows.join(broken.select("scan_id", "relative_path"), ["scan_id", "relative_path"], "left_anti").select("scan_id", "relative_path", F.explode("r.steps").alias("s"))
+    fields = F.create_map(*[x for k, v in CONTEXT_FIELDS.items() for x in (F.lit(k), F.coalesce(F.col(f"s.{k}"), F.lit(v)))])
+    n = F.count(F.lit(1)).over(Window.partitionBy("scan_id", "relative_path", F.col("s.statementOrdinal")))
+    told = steps.select("scan_id", "relative_path", F.col("s.statementOrdinal").alias("ordinal"), fields.alias("fields"), n.alias("n"))
+    bad = F.coalesce(F.col("ordinal") <= 0, F.lit(True)) | (F.col("n") > 1) | F.exists(F.map_values("fields"), lambda v: ~v.rlike(_CONTEXT_WORD))
+    told = told.select("scan_id", "relative_path", "ordinal", F.when(~bad, F.col("fields")).alias("fields"), F.when(bad, F.lit("invalid-context-sidecar-step")).alias("gap"))
+    return told.unionByName(broken.select("scan_id", "relative_path", F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("map<string,string>").alias("fields"), F.lit("invalid-context-sidecar").alias("gap")))

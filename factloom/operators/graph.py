@@ -1,7 +1,8 @@
 """Bounded traversals of evidence graphs, level by level.
 
-A queue's order is the order of (depth, rank of the start, ranks of the edges taken), so paths carry their ranks and a
-level is one join; caps cut in that order. Each level is written to the checkpoint folder and read again.
+A queue's order is the order of (depth, start, ranks of the edges taken), so paths carry their ranks and a level is one
+join; caps cut in that order, and where a cap is None nothing is sorted. Each level is written to the checkpoint folder
+and read again.
 
 Defined results: edges with a null end are ignored; parallel edges are different ways; a path holds at least one edge;
 depth, path and frontier caps leave gap rows, cycles only where asked. Empty inputs give no rows.
@@ -37,18 +38,18 @@ def path_class(tier: Column, review: Column, unknown: Column) -> Column:
     return F.when(unknown, F.lit("UnknownAnalysisGap")).when(review | (tier == 3), F.lit("NeedsReviewPath")).when(tier == 2, F.lit("ProbableStaticPath")).otherwise(F.lit("StrongStaticPath"))
 
 
-def bounded_paths(starts: DataFrame, edges: DataFrame, terminals: DataFrame | None, max_depth: int = 8, max_paths: int = 100, max_frontier: int = 10_000, reverse: bool = False, on_cycle: str = "gap", guard: bool = True, per_start: int | None = None) -> tuple[DataFrame, DataFrame]:
+def bounded_paths(starts: DataFrame, edges: DataFrame, terminals: DataFrame | None, max_depth: int = 8, max_paths: int | None = 100, max_frontier: int | None = 10_000, reverse: bool = False, on_cycle: str = "gap", guard: bool = True, per_start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Node-simple paths from `starts` (node) to `terminals` (node), breadth first, and the gaps.
 
     A path ends at the first terminal that it reaches; without terminals, where nothing leads on. With `guard` no path mixes
-    implements or overrides with candidate edges. `per_start` caps the paths of each start before the total cap.
+    implements or overrides with candidate edges. `per_start` caps the paths of each root (in reverse a path's end) before
+    the total cap. A cap of None keeps everything.
     """
     spark = starts.sparkSession
     e = cut(ordered_edges(edges, reverse))
     ends = terminals.select("node").distinct().withColumn("is_end", F.lit(True)) if terminals is not None else None
     first = starts.select("node").where(F.col("node").isNotNull()).distinct()
-    rank = F.row_number().over(Window.orderBy("node"))
-    frontier = cut(first.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array(rank).alias("order"), F.lit(1).alias("tier"), F.lit(False).alias("review"), F.lit(False).alias("unknown"), F.lit(False).alias("hop"), F.lit(False).alias("cand")))
+    frontier = cut(first.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<int>").alias("order"), F.lit(1).alias("tier"), F.lit(False).alias("review"), F.lit(False).alias("unknown"), F.lit(False).alias("hop"), F.lit(False).alias("cand")))
     found, gaps = [], []
     gap = lambda df, kind: df.select("start", "node", "depth", F.lit(kind).alias("gap"))
     for depth in range(max_depth + 1):
@@ -75,9 +76,9 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, terminals: DataFrame | No
             found.append(state.where(F.size("edges") > 0).join(e.select("from_node").distinct(), F.col("node") == F.col("from_node"), "left_anti").select(*PATH))
         moved = cut(moved)
         n = moved.count()
-        if n > max_frontier:
+        if max_frontier is not None and n > max_frontier:
             gaps.append(spark.createDataFrame([(None, None, depth + 1, "FrontierLimit")], "start string, node string, depth int, gap string"))
-            moved = cut(moved.orderBy("order").limit(max_frontier))
+            moved = cut(moved.orderBy("start", "order").limit(max_frontier))
         if not n:
             break
         frontier = moved
@@ -85,18 +86,22 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, terminals: DataFrame | No
     for f in found[1:]:
         paths = paths.unionByName(f)
     if per_start:
-        paths = paths.withColumn("__r", F.row_number().over(Window.partitionBy("start").orderBy("depth", "order"))).where(F.col("__r") <= per_start).drop("__r")
+        # A reverse path's root is its end.
+        root = "node" if reverse else "start"
+        paths = cut(paths.withColumn("__r", F.row_number().over(Window.partitionBy(root).orderBy("depth", "start", "order"))))
+        gaps.append(paths.where(F.col("__r") == per_start + 1).select("start", "node", "depth", F.lit("RootPathLimit").alias("gap")))
+        paths = paths.where(F.col("__r") <= per_start).drop("__r")
     total = cut(paths)
-    if total.count() > max_paths:
+    if max_paths is not None and total.count() > max_paths:
         gaps.append(spark.createDataFrame([(None, None, None, "PathLimit")], "start string, node string, depth int, gap string"))
     all_gaps = gaps[0] if gaps else spark.createDataFrame([], "start string, node string, depth int, gap string")
     for g in gaps[1:]:
         all_gaps = all_gaps.unionByName(g)
-    kept = total.orderBy("depth", "order").limit(max_paths)
+    kept = total if max_paths is None else total.orderBy("depth", "start", "order").limit(max_paths)
     return kept.withColumn("classification", path_class(F.col("tier"), F.col("review"), F.col("unknown"))), all_gaps
 
 
-def edge_simple_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 5, max_paths: int = 50, direction: str = "outgoing", maximal: bool = True) -> DataFrame:
+def edge_simple_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 5, max_paths: int | None = 50, direction: str = "outgoing", maximal: bool = True) -> DataFrame:
     """Depth-first paths that use no edge twice, in depth-first order: (start, node, depth, nodes, edges).
 
     `direction` is outgoing, incoming or both; paths are the maximal ones, cut at max_depth.
@@ -107,7 +112,7 @@ def edge_simple_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 5, m
         e = e.unionByName(ordered_edges(edges, r))
     e = cut(e.withColumn("rank", F.row_number().over(Window.partitionBy("from_node").orderBy("rank", "to_node", "edge_id"))))
     first = starts.select("node").where(F.col("node").isNotNull()).distinct()
-    frontier = cut(first.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array(F.row_number().over(Window.orderBy("node"))).alias("order")))
+    frontier = cut(first.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"), F.array().cast("array<int>").alias("order")))
     found = []
     for _ in range(max_depth):
         step = frontier.join(e, (F.col("node") == F.col("from_node")) & ~F.expr("array_contains(edges, edge_id)"), "left")
@@ -121,7 +126,8 @@ def edge_simple_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 5, m
     out = frontier
     for f in found:
         out = out.unionByName(f)
-    return out.dropDuplicates(["start", "order"]).orderBy("order").limit(max_paths)
+    out = out.dropDuplicates(["start", "order"])
+    return out if max_paths is None else out.orderBy("start", "order").limit(max_paths)
 
 
 def drop_suffixes(paths: DataFrame) -> DataFrame:
@@ -151,6 +157,17 @@ def reachable(starts: DataFrame, edges: DataFrame, max_depth: int | None = None,
     return union(levels)
 
 
+def reaching(targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """node: everything from which a target (node) can be reached, targets included; one row a node, whatever the starts."""
+    e = cut(edges.select(F.col("target").alias("node"), F.col("source").alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct())
+    frontier = cut(targets.select("node").where(F.col("node").isNotNull()).distinct())
+    seen = frontier
+    while frontier.limit(1).count():
+        frontier = cut(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = cut(seen.unionByName(frontier).coalesce(64))
+    return seen
+
+
 def bfs_tree(starts: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(start, node, distance, parent, edge_id): one way to each node of a start, the first in breadth-first order."""
     e = cut(ordered_edges(edges))
@@ -169,7 +186,7 @@ def bfs_tree(starts: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFr
 def lift_to_sources(paths: DataFrame, sources: DataFrame, per_source: int = 5) -> DataFrame:
     """Paths under each source that they touch, at most `per_source`; `sources` has node, source_id."""
     touched = paths.select("start", "order", "depth", F.explode("nodes").alias("node")).join(sources, "node").select("start", "order", "depth", "source_id").distinct()
-    w = Window.partitionBy("source_id").orderBy("depth", "order")
+    w = Window.partitionBy("source_id").orderBy("depth", "start", "order")
     return touched.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_source)
 
 
@@ -212,7 +229,8 @@ def no_path_gaps(starts: DataFrame, paths: DataFrame, edges: DataFrame, nodes: D
     `nodes` has node, source_id; `reduced` source_id.
     """
     alone = starts.select(F.col("node").alias("start")).distinct().join(paths.select("start").distinct(), "start", "left_anti")
-    met = reachable(alone.select(F.col("start").alias("node")), edges).join(nodes.select("node", "source_id"), "node").join(reduced.select("source_id").distinct(), "source_id", "left_semi").select("start").distinct().withColumn("hit", F.lit(True))
+    read_in_part = nodes.join(reduced.select("source_id").distinct(), "source_id", "left_semi").select("node")
+    met = reaching(read_in_part, edges).select(F.col("node").alias("start"), F.lit(True).alias("hit"))
     return alone.join(met, "start", "left").select("start", F.when(F.col("hit"), F.lit("UnknownAnalysisGap")).otherwise(F.lit("NoPathFound")).alias("gap"))
 
 

@@ -137,9 +137,18 @@ def reconcile(symbols: DataFrame) -> DataFrame:
     return equal.unionByName(unsigned).unionByName(bare)
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key in a total order, with their rank `rn`."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rn") <= n)
+def first_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int | None = 1) -> DataFrame:
+    """The first n rows of each key in a total order (all for None), with their rank `rn`."""
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if n is None else ranked.where(F.col("rn") <= n)
+
+
+def remoting_calls(configures: DataFrame, sites: DataFrame) -> DataFrame:
+    """(configure_id, site_id, type_name): code that configures a remote type with the calls made on it, by the type's last
+    name without case. `configures` has id, type_name, source_id; `sites` id, target_symbol (Type.Member), source_id."""
+    a = configures.select(F.col("id").alias("configure_id"), "source_id", F.lower(T.member_name(F.col("type_name"))).alias("name"), "type_name").where(F.col("name").isNotNull())
+    b = sites.select(F.col("id").alias("site_id"), "source_id", F.lower(T.member_name(T.containing_type(F.col("target_symbol")))).alias("name")).where(F.col("name").isNotNull())
+    return a.join(b, ["source_id", "name"]).select("configure_id", "site_id", "type_name").distinct()
 
 
 def dispatch_candidates(relationships: DataFrame, fan_out: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -82,6 +82,27 @@ def graph(index: Index) -> tuple[DataFrame, DataFrame]:
     return union([x.select(*cols) for x in (calls, hung, served, match)]), s.select(node.alias("node"), "source_id", "surface_kind", "display_name", "fact_id")
 
 
+def coverage(index: Index) -> DataFrame:
+    """(source_id, full, commit_sha, scanner_version, identity): what each source's manifest says; of a single index each
+    scan is a source. Below the full analysis level, or if its build failed, a source is read in part. Without any manifest
+    nothing is known of gaps, and none are claimed."""
+    if "index_sources" in index:
+        m = index["index_sources"].withColumn("source_id", F.col("source_index_id"))
+        identity = [F.col("repo_name"), F.col("scan_root_path_hash")]
+    elif "scan_manifest" in index:
+        m = E.current_manifest(index["scan_manifest"]).withColumn("source_id", F.col("scan_id"))
+        identity = [F.col("repo"), F.col("scan_root_relative_path")]
+    else:
+        return _facts(index).select("source_id", F.lit(True).alias("full"), *[F.lit(None).cast("string").alias(c) for c in ("commit_sha", "scanner_version", "identity")]).distinct()
+    full = F.coalesce((F.col("analysis_level") == "Level1SemanticAnalysis") & (F.col("build_status") == "Succeeded"), F.lit(False))
+    return m.select("source_id", full.alias("full"), "commit_sha", "scanner_version", F.concat_ws("|", *identity).alias("identity")).dropDuplicates(["source_id"])
+
+
+def reduced_sources(index: Index) -> DataFrame:
+    """source_id of the sources that were read in part."""
+    return coverage(index).where(~F.col("full")).select("source_id")
+
+
 def _select(nodes: DataFrame, kind: str | None, name: str | None) -> DataFrame:
     out = nodes if kind is None else nodes.where(F.col("surface_kind") == kind)
     return out if name is None else out.where(T.contains_ci(F.col("display_name"), name))
@@ -101,12 +122,18 @@ def paths(index: Index, from_symbol: str | None = None, to_kind: str | None = No
     return {"paths": found, "gaps": gaps, "classes": A.count_by(found, "classification")}
 
 
-def reverse(index: Index, kind: str, name: str | None = None, max_depth: int = 8, max_roots: int = 100, per_root: int = 5) -> Index:
-    """Ways from surfaces back to the symbols where they begin, and each root's best class."""
+def reverse(index: Index, kind: str, name: str | None = None, max_depth: int = 8, max_roots: int | None = 100, per_root: int | None = 5, max_frontier: int | None = 10_000) -> Index:
+    """Ways from surfaces back to the symbols where they begin, at most `per_root` of each, and each root's best class.
+
+    A way over a source that was read in part is for review, whatever its edges say.
+    """
     edges, nodes = graph(index)
     starts = _select(nodes, kind, name).select("node")
     roots = edges.select(F.col("source").alias("node")).distinct().join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
-    found, gaps = G.bounded_paths(starts, edges, roots, max_depth, max_roots * per_root, reverse=True, on_cycle="silent", guard=False)
+    total = max_roots * per_root if max_roots and per_root else None
+    found, gaps = G.bounded_paths(starts, edges, roots, max_depth, total, max_frontier, reverse=True, on_cycle="silent", guard=False, per_start=per_root)
+    partial = nodes.join(reduced_sources(index), "source_id").select(F.col("node").alias("start"), F.lit(True).alias("__part"))
+    found = found.join(partial, "start", "left").withColumn("classification", G.reverse_class(F.col("tier"), F.col("review"), F.col("unknown"), F.coalesce("__part", F.lit(False)))).drop("__part")
     best = found.groupBy(F.col("node").alias("root")).agg(A.precedence(F.col("classification"), A.PATHS, "UnknownAnalysisGap").alias("classification"), F.count(F.lit(1)).alias("n_paths"))
     return {"paths": found, "roots": best, "gaps": gaps}
 
@@ -150,55 +177,117 @@ def records(index: Index) -> DataFrame:
     f = _facts(index)
     s = surfaces(index)
     name = F.coalesce("package_name", "display_name")
-    surf = s.select(F.concat_ws("|", F.lit("surface"), "source_id", "surface_kind", name).alias("key"), F.lit("surface").alias("record_kind"), F.concat_ws("|", F.coalesce("package_version", "version_hash", F.lit("-")), F.coalesce("http_method", F.lit("-")), F.coalesce("shape_hash", F.lit("-"))).alias("metadata"), "rule_id", "evidence_tier", "file_path", "start_line", "end_line")
-    edge = E.typed_edges(f).select(F.concat_ws("|", F.lit("edge"), "source_id", "edge_kind", F.coalesce("source_symbol", F.lit("-")), F.coalesce("target_symbol", F.lit("-"))).alias("key"), F.lit("edge").alias("record_kind"), F.lit("").alias("metadata"), "rule_id", "evidence_tier", "file_path", "start_line", "end_line")
+    surf = s.select(F.concat_ws("|", F.lit("surface"), "source_id", "surface_kind", name).alias("key"), F.lit("surface").alias("record_kind"), F.concat_ws("|", F.coalesce("package_version", "version_hash", F.lit("-")), F.coalesce("http_method", F.lit("-")), F.coalesce("shape_hash", F.lit("-"))).alias("metadata"), "rule_id", "evidence_tier", "file_path", "start_line", "end_line", "source_id")
+    edge = E.typed_edges(f).select(F.concat_ws("|", F.lit("edge"), "source_id", "edge_kind", F.coalesce("source_symbol", F.lit("-")), F.coalesce("target_symbol", F.lit("-"))).alias("key"), F.lit("edge").alias("record_kind"), F.lit("").alias("metadata"), "rule_id", "evidence_tier", "file_path", "start_line", "end_line", "source_id")
     rows = surf.unionByName(edge)
     return rows.withColumns({"evidence": T.hash_prefix(F.concat_ws("|", "rule_id", "evidence_tier", "file_path", "start_line", "end_line"), 32), "metadata": T.hash_prefix(F.col("metadata"), 32), "review": tier_rank(F.col("evidence_tier")) >= 3})
 
 
+def _flags(rows: DataFrame, before: Index, after: Index) -> DataFrame:
+    """Rows (with before_source_id, after_source_id) and what their source's manifests say of either side: before_reduced,
+    after_reduced, and whether the source isn't the same one (identity_blocked) or its commit isn't known (sha_unknown)."""
+    one = lambda index, n: coverage(index).select("source_id", (~F.col("full")).alias(f"{n}_reduced"), F.col("identity").alias(f"{n}_identity"), F.col("commit_sha").alias(f"{n}_sha"), F.lit(True).alias(f"{n}_there"))
+    both = one(before, "before").join(one(after, "after"), "source_id", "full_outer")
+    met = F.coalesce(F.col("before_there") & F.col("after_there"), F.lit(False))
+    unknown = lambda c: F.col(c).isNull() | F.lower(c).isin("", "unknown")
+    differs = F.coalesce(met & (F.col("before_identity") != F.col("after_identity")), F.lit(False))
+    told = both.select("source_id", F.coalesce("before_reduced", F.lit(False)).alias("before_reduced"), F.coalesce("after_reduced", F.lit(False)).alias("after_reduced"), differs.alias("identity_blocked"), (unknown("before_sha") | unknown("after_sha")).alias("sha_unknown"), F.coalesce(met & (F.col("before_sha") == F.col("after_sha")), F.lit(False)).alias("same_sha"))
+    rows = rows.withColumn("source_id", F.coalesce("after_source_id", "before_source_id")).join(told, "source_id", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("before_reduced", "after_reduced", "identity_blocked", "sha_unknown", "same_sha")})
+
+
+def _diff_rows(before: Index, after: Index) -> DataFrame:
+    rows = D.keyed_diff(records(before), records(after), "key", "metadata", "evidence", review="review", keep=["record_kind", "evidence_tier", "source_id"])
+    rows = _flags(rows, before, after)
+    return rows.withColumn("classification", D.classify_combined(F.col("change"), F.col("duplicate"), F.col("needs_review"), F.col("identity_blocked"), F.col("sha_unknown"), F.col("before_reduced"), F.col("after_reduced")))
+
+
 def diff(before: Index, after: Index, max_rows: int = 1000) -> Index:
-    rows = D.keyed_diff(records(before), records(after), "key", "metadata", "evidence", review="review", keep=["record_kind", "evidence_tier"])
-    no = F.lit(False)
-    rows = rows.withColumn("classification", D.classify_combined(F.col("change"), F.col("duplicate"), F.col("needs_review"), no, no, no, no))
+    """What changed between two indexes: rows with their class, and gaps where a side was read in part or isn't the same source."""
+    rows = _diff_rows(before, after)
     kept, gap = A.capped(rows, [F.col("key")], max_rows, "DiffRowLimit")
     return {"rows": kept, "gaps": gap, "classes": A.count_by(rows, "classification")}
 
 
-def snapshot_diff(before: Index, after: Index, same_sha: bool = False) -> Index:
-    rows = D.keyed_diff(records(before), records(after), "key", "metadata", "evidence", review="review")
-    no = F.lit(False)
-    return {"rows": rows.withColumn("classification", D.classify_single(F.col("change"), F.col("needs_review"), F.lit(same_sha), no, no))}
+def path_diff(before: Index, after: Index, from_symbol: str | None = None, to_kind: str | None = None, to_name: str | None = None, max_depth: int = 8, max_paths: int | None = 100, max_frontier: int | None = 10_000) -> Index:
+    """Ways that one side has and the other lacks: the key is where a way begins, its edges' kinds and what it ends in, so
+    that ids of facts don't count; a way changes with its class or length. Three times `max_paths` rows are kept."""
+    def side(index: Index) -> DataFrame:
+        found = paths(index, from_symbol, to_kind, to_name, max_depth, max_paths, max_frontier)["paths"]
+        edges, nodes = graph(index)
+        kinds = found.select("start", "order", F.posexplode("edges").alias("i", "edge_id")).join(edges.select("edge_id", "kind", "target"), "edge_id").groupBy("start", "order").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "kind"))), lambda x: x["kind"]), ">").alias("kinds"))
+        ends = nodes.select("node", F.concat_ws(":", "surface_kind", "display_name").alias("end"), "source_id")
+        whole = found.join(kinds, ["start", "order"]).join(ends, "node", "left")
+        return whole.select(F.concat_ws("|", "start", "kinds", F.coalesce("end", "node")).alias("key"), T.hash_prefix(F.concat_ws("|", "classification", F.size("edges").cast("string")), 32).alias("metadata"), (F.col("classification") != "StrongStaticPath").alias("review"), "source_id")
+
+    rows = _flags(D.keyed_diff(side(before), side(after), "key", "metadata", review="review", keep=["source_id"]), before, after)
+    rows = rows.withColumn("classification", D.classify_combined(F.col("change"), F.lit(False), F.col("needs_review"), F.col("identity_blocked"), F.col("sha_unknown"), F.col("before_reduced"), F.col("after_reduced")))
+    if max_paths is None:
+        return {"rows": rows, "gaps": rows.limit(0).select("key")}
+    kept, gap = A.capped(rows, [F.col("key")], 3 * max_paths, "PathDiffRowLimit")
+    return {"rows": kept, "gaps": gap}
+
+
+def snapshot_diff(before: Index, after: Index, same_sha: bool | None = None) -> Index:
+    """Two scans of one source; where they are of the same commit nothing can have come or gone. `same_sha` overrides the manifests."""
+    rows = _flags(D.keyed_diff(records(before), records(after), "key", "metadata", "evidence", review="review", keep=["source_id"]), before, after)
+    same = F.col("same_sha") if same_sha is None else F.lit(same_sha)
+    return {"rows": rows.withColumn("classification", D.classify_single(F.col("change"), F.col("needs_review"), same, F.col("before_reduced"), F.col("after_reduced")))}
 
 
 def contract_diff(before: Index, after: Index) -> Index:
     """Declarations by metadata alone."""
     def side(index: Index) -> DataFrame:
         f = E.with_properties(_facts(index)).where(F.col("fact_type").isin("TypeDeclared", "MethodDeclared", "PropertyDeclared", "AspNetRouteDeclared"))
-        return f.select(F.concat_ws("|", "source_id", "fact_type", F.coalesce(T.first_value(F.col("props"), "name", "routes"), F.col("fact_id"))).alias("key"), T.metadata_hash(F.col("props")).alias("metadata"))
+        return f.select(F.concat_ws("|", "source_id", "fact_type", F.coalesce(T.first_value(F.col("props"), "name", "routes"), F.col("fact_id"))).alias("key"), T.metadata_hash(F.col("props")).alias("metadata"), "source_id")
 
-    rows = D.keyed_diff(side(before), side(after), "key", "metadata", multiplicity=False)
-    rows = rows.withColumn("classification", D.classify_contract(F.col("change"), F.col("duplicate") | F.col("needs_review"), F.lit(False), F.lit(True)))
+    rows = _flags(D.keyed_diff(side(before), side(after), "key", "metadata", multiplicity=False, keep=["source_id"]), before, after)
+    opposite = F.when(F.col("change") == "added", ~F.col("before_reduced")).otherwise(~F.col("after_reduced"))
+    rows = rows.withColumn("classification", D.classify_contract(F.col("change"), F.col("duplicate") | F.col("needs_review"), F.col("identity_blocked"), opposite))
     return {"rows": rows, "rollup": rows.agg(A.precedence(F.col("classification"), A.CONTRACT, "NoDiff").alias("classification"))}
 
 
 def impact(before: Index, after: Index) -> Index:
-    rows = D.keyed_diff(records(before), records(after), "key", "metadata", "evidence", review="review", keep=["record_kind", "evidence_tier"])
-    no = F.lit(False)
-    cls = D.classify_combined(F.col("change"), F.col("duplicate"), F.col("needs_review"), no, no, no, no)
-    rows = rows.withColumn("impact", D.impact_of(cls, F.coalesce("after_evidence_tier", "before_evidence_tier")))
-    # What to search paths for: an edge's source symbol, or a surface's kind and name.
+    """Each change with its impact and what to search ways for: an edge's source symbol, or a surface's kind and name."""
+    rows = _diff_rows(before, after)
+    rows = rows.withColumn("impact", D.impact_of(F.col("classification"), F.coalesce("after_evidence_tier", "before_evidence_tier")))
     parts = F.split("key", r"\|")
     selector = F.when(F.col("key").startswith("edge|"), F.get(parts, F.lit(3))).otherwise(F.concat_ws(" ", F.get(parts, F.lit(2)), F.get(parts, F.lit(3))))
     return {"items": rows.withColumn("selector", selector)}
 
 
+def impact_context(before: Index, after: Index, max_depth: int = 8, per_item: int = 5) -> Index:
+    """For each changed edge or surface the ways of the after side (of the before side if it is gone) that pass its symbol,
+    at most `per_item`, and a gap for each item without one."""
+    items = impact(before, after)["items"].select("key", "change", F.when(F.col("key").startswith("edge|"), F.col("selector")).alias("symbol"), F.regexp_extract("key", r"^surface\|[^|]*\|(.*)$", 1).alias("name"))
+    out = []
+    for index, gone in ((after, False), (before, True)):
+        found = paths(index, max_depth=max_depth, max_paths=None, max_frontier=None)["paths"]
+        _, nodes = graph(index)
+        mine = items.where((F.col("change") == "removed") if gone else (F.col("change") != "removed"))
+        named = nodes.select("node", F.concat_ws("|", "surface_kind", "display_name").alias("name"))
+        touched = mine.where(F.col("symbol").isNotNull()).select("key", F.col("symbol").alias("node")).unionByName(mine.where(F.col("symbol").isNull()).join(named, "name").select("key", "node"))
+        held = found.select("start", "order", "depth", "classification", F.explode(F.array_distinct("nodes")).alias("node")).join(touched, "node").drop("node").dropDuplicates(["key", "start", "order"])
+        out.append(M.first_per_key(held, ["key"], [F.col("depth"), F.col("start"), F.col("order")], per_item).select("key", "start", "depth", "classification", "rn"))
+    ways = out[0].unionByName(out[1])
+    return {"paths": ways, "gaps": items.join(ways.select("key").distinct(), "key", "left_anti").select("key", F.lit("NoPathContext").alias("gap"))}
+
+
+def _with_routes(facts: DataFrame) -> DataFrame:
+    """Facts with the path key and methods of those that are endpoints."""
+    p = F.col("props")
+    route = T.first_value(p, "normalizedPathTemplate", "routeTemplate", "routePattern", "routeTemplates", "path", "urlPath", "url", "routes")
+    http = F.col("fact_type").isin("HttpCallDetected", "HttpRouteBinding", "AspNetRouteDeclared")
+    return E.with_properties(facts).withColumns({"path_key": F.when(http & ~T.blank(route), R.normalize(F.split(route, ",")[0])["key"]), "methods": F.when(http, R.methods(T.first_value(p, "httpMethod", "httpMethods", "methodName"))).otherwise(F.array().cast("array<string>"))})
+
+
 def reduce(index: Index, changes: DataFrame, full: bool, budget: int = 10_000) -> Index:
     """Contract changes against an index: matches in the order of their strength, within a total budget, and a class each."""
     combined = "combined_facts" in index
-    f = _facts(index).withColumns({"path_key": F.lit(None).cast("string"), "methods": F.array().cast("array<string>")})
+    f = _with_routes(_facts(index))
     m = M.delta_matches(changes.select("change_id", "element"), f).join(f.select("fact_id", "fact_type", "evidence_tier", "file_path"), "fact_id")
     numbers = A.with_budget(m.groupBy("change_id").agg(F.count(F.lit(1)).cast("long").alias("wanted")), ["change_id"], "wanted", budget)
-    ranked = M.first_per_key(m, ["change_id"], [F.col("rank").desc(), F.col("file_path"), F.col("fact_id")], 2**31 - 1)
+    ranked = M.first_per_key(m, ["change_id"], [F.col("rank").desc(), F.col("file_path"), F.col("fact_id")], None)
     kept = ranked.join(numbers, "change_id").where(F.col("rn") <= F.col("granted"))
     one = F.col("evidence_tier") == TIERS[0]
     cls = A.reduction_class(F.bool_or((F.col("fact_type") == "AnalysisGap") | (F.col("evidence_tier") == TIERS[3])), F.bool_or(F.col("strength").isin("Type", "Textual")), F.bool_or(one & F.col("fact_type").isin("PropertyAccessed", "MethodInvoked", "TypeDeclared")), F.bool_or(one & F.col("fact_type").isin("MethodDeclared", "PropertyDeclared", "FieldDeclared", "ParameterDeclared", "DbContextDeclared")), F.bool_or(F.col("evidence_tier") == TIERS[1]), F.bool_or(F.col("evidence_tier") == TIERS[2]), combined)
@@ -224,42 +313,90 @@ def sql_schema_impact(index: Index, changes: DataFrame) -> Index:
 
 def portfolio(indexes: dict[str, Index]) -> Index:
     """Surfaces that several inputs share, and each input's class."""
-    s = union([surfaces(i).select(F.lit(label).alias("label"), "fact_id", "surface_kind", "display_name", "evidence_tier") for label, i in indexes.items()])
+    return portfolio_of(union([surfaces(i).select(F.lit(label).alias("label"), "fact_id", "surface_kind", "display_name", "evidence_tier") for label, i in indexes.items()]))
+
+
+def portfolio_of(s: DataFrame) -> Index:
+    """The same for surfaces stacked in one table with their input's label: one plan for ever so many inputs."""
     keyed = s.withColumn("key", F.concat_ws("|", "surface_kind", F.lower("display_name")))
     shared = A.shared_groups(keyed, "key", "label", "evidence_tier", "fact_id").where(F.col("n_sources") > 1)
     cls = F.when(tier_rank(F.col("evidence_tier")) <= 2, F.lit("Actionable")).when(F.col("evidence_tier") == TIERS[2], F.lit("NeedsReview")).otherwise(F.lit("UnknownAnalysisGap"))
-    return {"shared": shared, "inputs": s.groupBy("label").agg(F.count(F.lit(1)).alias("n_surfaces"), A.precedence(cls, A.PORTFOLIO, "None").alias("classification"))}
+    told = s.withColumn("class", cls).groupBy("label", "surface_kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class") != "Actionable").alias("n_review"))
+    status = F.when(F.col("n_review") == 0, F.lit("available")).when(F.col("n_review") < F.col("n"), F.lit("partial")).otherwise(F.lit("review"))
+    return {"shared": shared, "inputs": s.groupBy("label").agg(F.count(F.lit(1)).alias("n_surfaces"), A.precedence(cls, A.PORTFOLIO, "None").alias("classification")), "sections": told.withColumn("status", status)}
 
 
 def portfolio_diff(before: dict[str, Index], after: dict[str, Index]) -> Index:
-    sides = [union([records(i).withColumn("key", F.concat_ws("|", F.lit(label), "key")) for label, i in x.items()]) for x in (before, after)]
-    rows = D.keyed_diff(*sides, "key", "metadata", "evidence", review="review")
-    no = F.lit(False)
-    return {"rows": rows.withColumn("classification", D.classify_portfolio(no, no, F.col("duplicate"), F.col("needs_review")))}
-
-
-def release_review(before: Index, after: Index, changes: DataFrame | None = None, packages: DataFrame | None = None, max_rows: int = 100) -> Index:
-    """Sections of a release, each capped, with their status, the findings' severity and an overall class."""
+    """Inputs by label against their earlier state; another repository or a source read in part limits what a row says."""
+    def side(x: dict[str, Index]) -> tuple[DataFrame, DataFrame]:
+        rows = union([records(i).withColumn("key", F.concat_ws("|", F.lit(label), "key")).withColumn("label", F.lit(label)) for label, i in x.items()])
+        told = union([coverage(i).select(F.lit(label).alias("label"), "full", "identity") for label, i in x.items()]).groupBy("label").agg(F.bool_and("full").alias("full"), F.array_sort(F.collect_set("identity")).alias("identity"))
+        return rows, told
+
+    (b, b_told), (a, a_told) = side(before), side(after)
+    rows = D.keyed_diff(b, a, "key", "metadata", "evidence", review="review", keep=["label"]).withColumn("label", F.coalesce("after_label", "before_label"))
+    told = b_told.select("label", F.col("full").alias("bf"), F.col("identity").alias("bi")).join(a_told.select("label", F.col("full").alias("af"), F.col("identity").alias("ai")), "label", "full_outer")
+    rows = rows.join(told, "label", "left")
+    differs = F.coalesce((F.size("bi") > 0) & (F.size("ai") > 0) & (F.col("bi") != F.col("ai")), F.lit(False))
+    part = ~(F.coalesce("bf", F.lit(True)) & F.coalesce("af", F.lit(True)))
+    return {"rows": rows.withColumn("classification", D.classify_portfolio(differs, part, F.col("duplicate"), F.col("needs_review"))).drop("bf", "bi", "af", "ai")}
+
+
+# Sections of a release review in their order, and what its checklist asks of each.
+SECTIONS = {
+    "changed_surfaces": "Review the surfaces that changed.", "changed_edges": "Review the calls that changed.", "path_context": "Follow the ways that pass a change.",
+    "reverse": "Check who reaches the changed data.", "sql_evidence": "Check the SQL whose shape changed.", "contract": "Check the contract changes asked about.",
+    "packages": "Check the package changes asked about.", "sql_schema": "Check the schema changes asked about.", "gaps": "Rescan the sources that were read in part.",
+}
+
+
+def release_review(before: Index, after: Index, changes: DataFrame | None = None, packages: DataFrame | None = None, max_rows: int = 100, schema: DataFrame | None = None, context: bool = False) -> Index:
+    """Sections of a release, each capped, with their status, the findings' severity, a summary, a checklist and an overall
+    class. The ways that pass a change are searched with `context`."""
     items = impact(before, after)["items"]
-    parts = {"changed_surfaces": items.where(F.col("key").startswith("surface|")), "changed_edges": items.where(F.col("key").startswith("edge|"))}
-    out, status = {}, []
-    for name, rows in parts.items():
-        rows = rows.withColumns({"severity": A.severity(F.col("impact"), F.coalesce("after_evidence_tier", "before_evidence_tier"))}).withColumn("attention", A.attention(F.col("severity")))
-        out[name], gap = A.capped(rows, [F.col("severity"), F.col("key")], max_rows, name)
-        status.append(gap.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("section"), F.when(F.col("n") > 0, F.lit("truncated")).otherwise(F.lit("available")).alias("status")))
-    spark = items.sparkSession
-    for name, given in (("contract", changes), ("packages", packages)):
-        if given is None:
-            status.append(spark.createDataFrame([(name, "not_requested")], "section string, status string"))
-        else:
-            out[name] = reduce(after, given, True)["findings"] if name == "contract" else package_impact(after, given)["findings"]
-            status.append(spark.createDataFrame([(name, "available")], "section string, status string"))
-    out["sections"] = union(status)
+    items = items.withColumn("severity", A.severity(F.col("impact"), F.coalesce("after_evidence_tier", "before_evidence_tier"))).withColumn("attention", A.attention(F.col("severity")))
+    surface = F.col("key").startswith("surface|")
+    parts: dict[str, DataFrame | None] = {"changed_surfaces": items.where(surface), "changed_edges": items.where(~surface), "sql_evidence": items.where(surface & F.col("key").contains("|sql-query|"))}
+    seen = impact_context(before, after) if context else None
+    parts["path_context"] = seen["paths"] if seen else None
+    parts["reverse"] = reverse(after, "sql-query", max_roots=None, per_root=None, max_frontier=None)["roots"].withColumn("key", F.col("root")) if context else None
+    parts["contract"] = None if changes is None else reduce(after, changes, True)["findings"].withColumn("key", F.col("change_id"))
+    parts["packages"] = None if packages is None else package_impact(after, packages)["findings"].withColumn("key", F.col("change_id"))
+    parts["sql_schema"] = None if schema is None else sql_schema_impact(after, schema)["findings"].withColumn("key", F.concat_ws("|", "change_id", "fact_id"))
+    limited = coverage(before).where(~F.col("full")).select(F.concat(F.lit("before:"), "source_id").alias("key")).unionByName(coverage(after).where(~F.col("full")).select(F.concat(F.lit("after:"), "source_id").alias("key")))
+    parts["gaps"] = limited
+    out: Index = {}
+    status, spark = [], items.sparkSession
+    for at, name in enumerate(SECTIONS):
+        rows = parts.get(name)
+        if rows is None:
+            status.append(spark.createDataFrame([(at, name, "not_requested", 0)], "at int, section string, status string, n_rows long"))
+            continue
+        order = [F.col("severity"), F.col("key")] if "severity" in rows.columns else [F.col("key")]
+        out[name], gap = A.capped(rows, order, max_rows, name)
+        n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+        status.append(n.crossJoin(gap.agg(F.count(F.lit(1)).alias("n"))).select(F.lit(at).alias("at"), F.lit(name).alias("section"), F.when(F.col("n") > 0, F.lit("truncated")).when((F.col("n_rows") == 0), F.lit("empty")).otherwise(F.lit("available")).alias("status"), "n_rows"))
+    sections = union(status)
+    asks = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])[F.col("section")]
+    out["sections"] = sections.select("section", F.when(F.col("status") == "empty", F.lit("available")).otherwise(F.col("status")).alias("status"))
+    out["summary"] = sections.select("section", "status", "n_rows")
+    out["checklist"] = sections.where((F.col("n_rows") > 0) & (F.col("status") != "not_requested")).select("at", "section", asks.alias("ask"), "n_rows")
     cls = F.when(F.col("impact") == "UnknownAnalysisGap", F.lit("UnknownAnalysisGap")).when(F.col("impact") == "ProbableStaticImpact", F.lit("ActionableEvidence")).otherwise(F.lit("NeedsReview"))
     out["rollup"] = items.agg(A.precedence(cls, A.RELEASE, "NoActionableEvidence").alias("classification"), F.count(F.lit(1)).alias("n_items"))
     return out
 
 
+def select(index: Index, sources: list[str] | None = None, kinds: list[str] | None = None, tiers: list[str] | None = None) -> DataFrame:
+    """Surfaces of the sources, kinds and tiers asked for; a word that isn't of the vocabulary is an error, not an empty result."""
+    for given, known in ((kinds, E.SURFACE_KINDS), (tiers, TIERS)):
+        if wrong := sorted(set(given or []) - set(known)):
+            raise ValueError(f"unknown: {', '.join(wrong)}; known: {', '.join(known)}")
+    s = surfaces(index)
+    for column, given in (("source_id", sources), ("surface_kind", kinds), ("evidence_tier", tiers)):
+        s = s if given is None else s.where(F.col(column).isin(given))
+    return s
+
+
 def export(index: Index) -> Index:
     """Counts by source and type, and the edge relation."""
     f = _facts(index)

@@ -80,16 +80,19 @@ def j1_facts_with_sources(s, d):
     return _combined(s, d, "source_index_id", "fact_type").join(sources, "source_index_id").groupBy("label", "fact_type").agg(_n())
 
 
-@query("""with f as (select distinct on (scan_id, fact_id) scan_id, fact_id, repo, fact_type from facts where repo in ('brack/etl', 'helio/etl', 'helio/sdk') order by scan_id, fact_id, ingested_at desc)
+@query("""with f as (select distinct on (scan_id, fact_id) scan_id, fact_id, repo, fact_type from facts order by scan_id, fact_id, ingested_at desc)
 select 'src-' || left(sha256(repo), 20) as source_index_id, fact_type, count(*) as n, min('src-' || left(sha256(repo), 20) || ':' || fact_id) as first_id from f group by repo, fact_type""")
 def u2_combined_index(s, d):
-    """Three repositories' facts as sources of one combined index, with ids prefixed by the source's."""
-    facts = _facts(s, d, "repo", "fact_type")
-    labels = ["brack/etl", "helio/etl", "helio/sdk"]
-    whole = E.combine({x: {"facts": facts.where(F.col("repo") == x)} for x in labels})["combined_facts"]
+    """Every repository's facts as sources of one combined index, with ids prefixed by the source's."""
+    whole = E.combine_stacked({"facts": _facts(s, d, "repo", "fact_type")}, "repo")["combined_facts"]
     return whole.groupBy("source_index_id", "fact_type").agg(_n(), F.min("combined_fact_id").alias("first_id"))
 
 
+@query("with c as (select label, count(distinct source_index_id) n from index_sources group by 1) select label, n as n_sources from c where n > 1")
+def u7_shared_labels(s, d):
+    return E.shared_labels(table(s, d, "index_sources"), "label", "source_index_id")
+
+
 # ---- projections
 
 
@@ -506,7 +509,7 @@ def _graph(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, roots, methods
 
 
-ALL = 2**31 - 1
+ALL = None  # no cap
 
 
 @query(f"""with recursive {_EDGES}, m as (select combined_symbol_id n from cs where symbol_kind = 'Method'),
@@ -643,12 +646,13 @@ def f7_sql_shapes(s, d):
 
 
 @query(f"""with u as (select distinct json_extract_string(properties_json, '$.url') r from facts where fact_type = 'HttpCallDetected'), v as (select distinct unnest(string_split(json_extract_string(properties_json, '$.routes'), ',')) r from facts where fact_type = 'AspNetRouteDeclared'),
-w as (select r from u union select r from v) select r as route, {_KEY.format('r')} as path_key from w where r is not null and not regexp_matches(r, '[?#@]')""")
+w as (select r, regexp_replace(regexp_replace(r, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') c from u union select r, regexp_replace(regexp_replace(r, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1') from v)
+select r as route, {_KEY.format('c')} as path_key from w where r is not null""")
 def f8_routes(s, d):
     p = T.properties(F.col("properties_json"))
     f = table(s, d, "facts").where(F.col("fact_type").isin("HttpCallDetected", "AspNetRouteDeclared"))
     texts = f.select(F.explode(F.when(F.col("fact_type") == "HttpCallDetected", F.array(T.first_value(p, "url"))).otherwise(F.split(T.first_value(p, "routes"), ","))).alias("route"))
-    return texts.where(F.col("route").isNotNull() & ~F.col("route").rlike("[?#@]")).distinct().select("route", R.normalize(F.col("route"))["key"].alias("path_key"))
+    return texts.where(F.col("route").isNotNull()).distinct().select("route", R.normalize(F.col("route"))["key"].alias("path_key"))
 
 
 @query(f"""with {LF}, v as (select json_extract_string(properties_json, '$.version') v from lf where fact_type = 'PackageReferenced')
@@ -760,8 +764,9 @@ def _sides(s, d) -> tuple[dict, dict]:
     m = E.current_manifest(table(s, d, "scan_manifest"))
     ends = m.groupBy("repo", "scan_root_relative_path").agg(F.min(F.struct("instant", "scan_id")).alias("b"), F.max(F.struct("instant", "scan_id")).alias("a"))
     ends = ends.select(F.concat_ws("|", "repo", "scan_root_relative_path").alias("series"), F.col("b.scan_id").alias("b"), F.col("a.scan_id").alias("a")).where(F.col("a") != F.col("b"))
-    facts = table(s, d, "facts")
-    return tuple({"facts": facts.join(ends.select("series", F.col(x).alias("scan_id")), "scan_id").withColumn("scan_id", F.col("series"))} for x in ("b", "a"))
+    facts, manifest = table(s, d, "facts"), table(s, d, "scan_manifest")
+    of = lambda df, x: df.join(ends.select("series", F.col(x).alias("scan_id")), "scan_id").withColumn("scan_id", F.col("series"))
+    return tuple({"facts": of(facts, x), "scan_manifest": of(manifest, x)} for x in ("b", "a"))
 
 
 @query(f"with {CF} select source_index_id as source_id, fact_type, evidence_tier, count(*) as n from cf group by all")
@@ -789,7 +794,7 @@ def c_paths(s, d):
 def c_reverse(s, d):
     from . import commands as C
 
-    return C.reverse(_index(s, d), "sql-query", max_roots=10**6)["roots"]
+    return C.reverse(_index(s, d), "sql-query", max_roots=ALL, per_root=ALL, max_frontier=ALL)["roots"]
 
 
 @query()
@@ -815,19 +820,37 @@ def c_release_review(s, d):
 
 @query()
 def c_portfolio(s, d):
-    """Surfaces that the combined index's three largest owners share."""
+    """Surfaces that owners in the combined index share, all owners in one plan."""
+    from . import commands as C
+
+    src = table(s, d, "index_sources").select(F.col("source_index_id").alias("source_id"), F.split_part("repo_name", F.lit("/"), F.lit(1)).alias("label"))
+    return C.portfolio_of(C.surfaces(_index(s, d)).join(src, "source_id"))["shared"]
+
+
+@query(f"""with {CF}, o as (select cf.*, split_part(x.repo_name, '/', 1) as label from cf join index_sources x using (source_index_id) where fact_type in ('HttpCallDetected', 'AspNetRouteDeclared', 'SqlTextUsed', 'PackageReferenced', 'ConfigKeyDeclared', 'ConnectionStringDeclared')),
+k as (select label, case fact_type when 'HttpCallDetected' then 'http-client' when 'AspNetRouteDeclared' then 'http-route' when 'SqlTextUsed' then 'sql-query' else 'package-config' end as surface_kind, evidence_tier from o)
+select label, surface_kind, count(*) as n, count_if(evidence_tier not in ('Tier1Semantic', 'Tier2Structural')) as n_review,
+case when count_if(evidence_tier not in ('Tier1Semantic', 'Tier2Structural')) = 0 then 'available' when count_if(evidence_tier not in ('Tier1Semantic', 'Tier2Structural')) < count(*) then 'partial' else 'review' end as status from k group by all""")
+def a22_portfolio_sections(s, d):
+    """Each owner's surfaces by kind, and whether they are fit to act on."""
     from . import commands as C
 
-    src = table(s, d, "index_sources").select("source_index_id", F.split_part("repo_name", F.lit("/"), F.lit(1)).alias("owner"))
-    facts = table(s, d, "combined_facts").join(src, "source_index_id")
-    return C.portfolio({x: {"combined_facts": facts.where(F.col("owner") == x)} for x in ("helio", "brack", "tamsin")})["shared"]
+    src = table(s, d, "index_sources").select(F.col("source_index_id").alias("source_id"), F.split_part("repo_name", F.lit("/"), F.lit(1)).alias("label"))
+    return C.portfolio_of(C.surfaces(_index(s, d)).join(src, "source_id"))["sections"]
+
+
+_CHECKS = {
+    "rule-version": "regexp_matches(rule_id, '\\.v\\d+$')", "known-tier": "evidence_tier in ('Tier1Semantic', 'Tier2Structural', 'Tier3SyntaxOrTextual', 'Tier4Unknown')",
+    "lines": "start_line between 1 and 1000000000 and end_line >= start_line",
+}
 
 
-@query(f"with {CF} select 'rule-version' as \"check\", count_if(not coalesce(regexp_matches(rule_id, '\\.v\\d+$'), false)) as n_bad, count(*) as n from cf union all select 'known-tier', count_if(not coalesce(evidence_tier in ('Tier1Semantic', 'Tier2Structural', 'Tier3SyntaxOrTextual', 'Tier4Unknown'), false)), count(*) from cf")
+@query(f"with {CF} " + " union all ".join(f"select '{k}' as \"check\", count_if(not coalesce({v}, false)) as n_bad, count(*) as n from cf" for k, v in _CHECKS.items())
+       + " union all select 'relative-path', count_if(regexp_matches(file_path, '^(?:/|\\\\|[A-Za-z]:)')), count(*) from cf")
 def c_evidence_pack(s, d):
     from . import commands as C
 
-    return C.evidence_pack(_index(s, d))["checks"].where(F.col("check").isin("rule-version", "known-tier")).select("check", "n_bad", "n")
+    return C.evidence_pack(_index(s, d))["checks"].select("check", "n_bad", "n")
 
 
 @query(f"with {CF} select fact_type, rule_id, count(*) as n from cf group by all")
@@ -856,13 +879,14 @@ def a15_context_changes(s, d):
     return M.context_changes(*_latest_sides(s, d, ["rule_id"]), "repo", "rule_id")
 
 
-@query(f"""with {CF}, l as (select source_index_id i, string_agg(original_fact_id, ';' order by combined_fact_id) ids from (select *, row_number() over (partition by source_index_id order by combined_fact_id) r from cf) where r <= 3 group by 1),
+@query(f"""with {CF}, l as (select source_index_id i, string_agg(original_fact_id, ';' order by combined_fact_id) ids from cf group by 1),
 e as (select i, trim(unnest(string_split(ids, ';'))) f from l), o as (select distinct on (fact_id) fact_id, fact_type from facts order by fact_id, ingested_at desc, scan_id desc)
 select e.i as source_index_id, e.f as fact_id, o.fact_type from e join o on e.f = o.fact_id where e.f <> ''""")
 def j20_enriched_lists(s, d):
-    """The facts that a list of ids in text names, for each source's first three."""
-    first = M.first_per_key(_combined(s, d, "source_index_id", "original_fact_id"), ["source_index_id"], [F.col("combined_fact_id")], 3)
-    lists = first.groupBy("source_index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "original_fact_id"))), lambda x: x["original_fact_id"]), ";").alias("ids"))
+    """The facts that lists of ids in text name; each of a source's facts is named by one."""
+    one = _combined(s, d, "source_index_id", "original_fact_id").select("source_index_id", "original_fact_id", F.pmod(F.xxhash64("combined_fact_id"), F.lit(64)).alias("list"))
+    # A source's ids stand in 64 lists, so that no text grows with the source.
+    lists = one.groupBy("source_index_id", "list").agg(F.array_join(F.array_sort(F.collect_list("original_fact_id")), ";").alias("ids"))
     types = table(s, d, "facts").groupBy("fact_id").agg(F.max(F.struct("ingested_at", "scan_id", "fact_type")).alias("x")).select("fact_id", "x.fact_type")
     return M.enrich(lists, types, "ids", "fact_id", ["fact_type"]).select("source_index_id", "fact_id", "fact_type")
 
@@ -881,14 +905,17 @@ def g11_override_candidates(s, d):
 
 
 @query(f"""with recursive {_EDGES}, m as (select combined_symbol_id n from cs where symbol_kind = 'Method'),
-p as (select r s, r n, 0 depth, false f from roots union all select p.s, e.b, p.depth + 1, e.b in (select n from m) from p join e on p.n = e.a where not p.f and p.depth < 8)
-select r as start, 'NoPathFound' as gap from roots where r not in (select s from p where f)""")
+p as (select r s, r n, 0 depth, false f from roots union all select p.s, e.b, p.depth + 1, e.b in (select n from m) from p join e on p.n = e.a where not p.f and p.depth < 8),
+part as (select combined_symbol_id n from cs join index_sources x using (source_index_id) where not coalesce(x.analysis_level = 'Level1SemanticAnalysis' and x.build_status = 'Succeeded', false)),
+up as (select n from part union select e.a from up join e on up.n = e.b)
+select r as start, case when r in (select n from up) then 'UnknownAnalysisGap' else 'NoPathFound' end as gap from roots where r not in (select s from p where f)""")
 def g16_no_path_gaps(s, d):
-    """Root symbols with no method below them; no source counts as read in part."""
+    """Root symbols with no method below them; unknown where a source that was read in part can be reached."""
     edges, roots, methods = _graph(s, d)
     paths, _ = G.bounded_paths(roots, edges, methods, 8, ALL, ALL)
     nodes = _symbols(s, d).select(F.col("combined_symbol_id").alias("node"), F.col("source_index_id").alias("source_id"))
-    return G.no_path_gaps(roots, paths, edges, nodes, nodes.select("source_id").limit(0))
+    full = F.coalesce((F.col("analysis_level") == "Level1SemanticAnalysis") & (F.col("build_status") == "Succeeded"), F.lit(False))
+    return G.no_path_gaps(roots, paths, edges, nodes, table(s, d, "index_sources").where(~full).select(F.col("source_index_id").alias("source_id")))
 
 
 @query(f"""with recursive {_EDGES}, m as (select combined_symbol_id n from cs where symbol_kind = 'Method'), src as (select combined_symbol_id n, source_index_id i from cs),
@@ -920,8 +947,11 @@ def o11_sql_schema_impact(s, d):
     return C.sql_schema_impact(_index(s, d), changes)["findings"].groupBy("change_id", "evidence").agg(_n())
 
 
-@query()
+@query(f"""with {CF}, x as (select combined_fact_id as fact_id, json_extract_string(properties_json, '$.name') l from cf where fact_type in ('TypeDeclared', 'PropertyDeclared')),
+y as (select fact_id, l, regexp_matches(l, '^[A-Za-z_][A-Za-z0-9_. ]{{0,99}}$') and not regexp_matches(l, '(?i)password|secret|token|://') safe, left(sha256('||' || l), 32) model_key from x where l is not null and trim(l) <> '')
+select fact_id, case when safe then l else 'hash:' || left(sha256(l), 16) end as display_name, model_key, case when not safe then 'unsafe-label' end as redaction, count(*) over (partition by model_key) as n_same from y""")
 def d3_data_descriptors(s, d):
+    """Declared types and properties as data descriptors: the evidence holds no mapping metadata of its own."""
     facts = E.with_properties(_combined(s, d, "fact_type", "properties_json").withColumn("fact_id", F.col("combined_fact_id")).where(F.col("fact_type").isin("TypeDeclared", "PropertyDeclared")))
     return M.data_descriptors(facts).select("fact_id", "display_name", "model_key", "redaction", "n_same")
 
