@@ -121,11 +121,21 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p3_report, p4_found, p4_report, p4_facts, p6_found, p6_rates, p7_ids, p7_report, p8_found, p8_items, p8_near, p9_found, p9_scores, p9_rates)}
 
-_P8 = """
-with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
-     b as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from benchmark),
+_P8 = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+     b as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from benchmark),
      g as (select distinct item_id, array_to_string(w[i:i+11], ' ') k from b, range(1, greatest(len(w) - 10, 1)) r(i)),
      h as (select distinct doc_id, array_to_string(w[i:i+11], ' ') k from d, range(1, greatest(len(w) - 10, 1)) r(i))
 select distinct h.doc_id, g.item_id from h join g using (k)
 """
-ORACLES = {"p8_found": _P8}
+_P8_ITEMS = r"""
+with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+     b as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from benchmark),
+     g as (select item_id, len(w) item_words, i, array_to_string(w[i:i+11], ' ') k from b, range(1, greatest(len(w) - 10, 1)) r(i)),
+     h as (select doc_id, i, array_to_string(w[i:i+11], ' ') k from d, range(1, greatest(len(w) - 10, 1)) r(i)),
+     m as (select h.doc_id, g.item_id, g.item_words, h.i, h.i - g.i diagonal from h join g using (k)),
+     runs as (select doc_id, item_id, item_words, diagonal, i - row_number() over (partition by doc_id, item_id, diagonal order by i) run from m),
+     best as (select doc_id, item_id, item_words, max(n) + 11 n_words from (select doc_id, item_id, item_words, count(*) n from runs group by doc_id, item_id, item_words, diagonal, run) group by all)
+select item_id, count(*) as n_docs, count_if(n_words >= item_words)::bigint as n_whole, max(n_words) as longest_run from best group by 1
+"""
+ORACLES = {"p8_found": _P8, "p8_items": _P8_ITEMS}
