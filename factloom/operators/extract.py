@@ -179,7 +179,11 @@ def python_syntax(files: DataFrame) -> DataFrame:
 def _matches(files: DataFrame, extensions: str, patterns: dict[str, str]) -> DataFrame:
     """(scan_id, relative_path, line_no, kind, name) of what each pattern's first group finds in lines."""
     rows = lines(files.where(F.lower("relative_path").rlike(rf"\.(?:{extensions})$")))
-    found = F.array(*[F.transform(F.regexp_extract_all("line", F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("name"))) for k, p in patterns.items()])
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    found = F.array(*[of(k, p) for k, p in patterns.items()])
     told = rows.select("scan_id", "relative_path", "line_no", F.explode(F.flatten(found)).alias("m"))
     return told.select("scan_id", "relative_path", "line_no", "m.kind", "m.name").where(F.col("name") != "")
 

@@ -19,7 +19,7 @@ from ..operators import graph as G
 from ..operators import match as M
 from ..operators import rollup as A
 from ..schema import TIERS, tier_rank
-from ..tables import union
+from ..tables import latest, union
 
 Index = dict[str, DataFrame]
 COMBINED = ["source_index_id", "fact_type", "rule_id", "evidence_tier", "source_symbol", "target_symbol", "contract_element", "file_path", "start_line", "end_line", "properties_json"]
@@ -90,7 +90,8 @@ def coverage(index: Index) -> DataFrame:
         m = index["index_sources"].withColumn("source_id", F.col("source_index_id"))
         identity = [F.col("repo_name"), F.col("scan_root_path_hash")]
     elif "scan_manifest" in index:
-        m = E.current_manifest(index["scan_manifest"]).withColumn("source_id", F.col("scan_id"))
+        cols = ["repo", "commit_sha", "scanner_version", "analysis_level", "build_status", "scan_root_relative_path"]
+        m = latest(index["scan_manifest"], ["scan_id"], "ingested_at", cols).withColumn("source_id", F.col("scan_id"))
         identity = [F.col("repo"), F.col("scan_root_relative_path")]
     else:
         return _facts(index).select("source_id", F.lit(True).alias("full"), *[F.lit(None).cast("string").alias(c) for c in ("commit_sha", "scanner_version", "identity")]).distinct()
@@ -108,13 +109,18 @@ def _select(nodes: DataFrame, kind: str | None, name: str | None) -> DataFrame:
     return out if name is None else out.where(T.contains_ci(F.col("display_name"), name))
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """The nodes that nothing leads to."""
+    return edges.select(F.col("source").alias("node")).distinct().join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+
+
 def paths(index: Index, from_symbol: str | None = None, to_kind: str | None = None, to_name: str | None = None, max_depth: int = 8, max_paths: int = 100, max_frontier: int = 10_000) -> Index:
     """Ways from symbols (all that nothing leads to, or those that contain a text) to surfaces."""
     edges, nodes = graph(index)
     if from_symbol:
         starts = edges.select(F.col("source").alias("node")).where(T.contains_ci(F.col("node"), from_symbol)).distinct()
     else:
-        starts = edges.select(F.col("source").alias("node")).distinct().join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+        starts = _roots(edges)
     ends = _select(nodes, to_kind, to_name)
     if to_kind is None:
         ends = ends.where(F.col("surface_kind") != "http-route")
@@ -129,7 +135,7 @@ def reverse(index: Index, kind: str, name: str | None = None, max_depth: int = 8
     """
     edges, nodes = graph(index)
     starts = _select(nodes, kind, name).select("node")
-    roots = edges.select(F.col("source").alias("node")).distinct().join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+    roots = _roots(edges)
     total = max_roots * per_root if max_roots and per_root else None
     found, gaps = G.bounded_paths(starts, edges, roots, max_depth, total, max_frontier, reverse=True, on_cycle="silent", guard=False, per_start=per_root)
     partial = nodes.join(reduced_sources(index), "source_id").select(F.col("node").alias("start"), F.lit(True).alias("__part"))
@@ -257,20 +263,21 @@ def impact(before: Index, after: Index) -> Index:
 
 
 def impact_context(before: Index, after: Index, max_depth: int = 8, per_item: int = 5) -> Index:
-    """For each changed edge or surface the ways of the after side (of the before side if it is gone) that pass its symbol,
-    at most `per_item`, and a gap for each item without one."""
+    """For each change the ways it lies on, on the after side (on the before side if it is gone), at most `per_item`: from a
+    changed edge's symbol on to surfaces, and from a changed surface back to where ways begin. A gap for each item without one."""
     items = impact(before, after)["items"].select("key", "change", F.when(F.col("key").startswith("edge|"), F.col("selector")).alias("symbol"), F.regexp_extract("key", r"^surface\|[^|]*\|(.*)$", 1).alias("name"))
     out = []
     for index, gone in ((after, False), (before, True)):
-        found = paths(index, max_depth=max_depth, max_paths=None, max_frontier=None)["paths"]
-        _, nodes = graph(index)
+        edges, nodes = graph(index)
         mine = items.where((F.col("change") == "removed") if gone else (F.col("change") != "removed"))
-        named = nodes.select("node", F.concat_ws("|", "surface_kind", "display_name").alias("name"))
-        touched = mine.where(F.col("symbol").isNotNull()).select("key", F.col("symbol").alias("node")).unionByName(mine.where(F.col("symbol").isNull()).join(named, "name").select("key", "node"))
-        held = found.select("start", "order", "depth", "classification", F.explode(F.array_distinct("nodes")).alias("node")).join(touched, "node").drop("node").dropDuplicates(["key", "start", "order"])
-        out.append(M.first_per_key(held, ["key"], [F.col("depth"), F.col("start"), F.col("order")], per_item).select("key", "start", "depth", "classification", "rn"))
-    ways = out[0].unionByName(out[1])
-    return {"paths": ways, "gaps": items.join(ways.select("key").distinct(), "key", "left_anti").select("key", F.lit("NoPathContext").alias("gap"))}
+        changed = mine.where(F.col("symbol").isNotNull()).select("key", F.col("symbol").alias("node"))
+        shown = mine.where(F.col("symbol").isNull()).join(nodes.select("node", F.concat_ws("|", "surface_kind", "display_name").alias("name")), "name").select("key", "node")
+        onward, _ = G.bounded_paths(changed.select("node"), edges, nodes.where(F.col("surface_kind") != "http-route").select("node"), max_depth, None, None, on_cycle="silent")
+        back, _ = G.bounded_paths(shown.select("node"), edges, _roots(edges), max_depth, None, None, reverse=True, on_cycle="silent", guard=False)
+        for way, of in ((onward, changed), (back, shown)):
+            out.append(way.select(F.col("start").alias("node"), "start", "order", "depth", "classification").join(of.distinct(), "node").drop("node"))
+    held = M.first_per_key(union(out), ["key"], [F.col("depth"), F.col("start"), F.col("order")], per_item).select("key", "start", "depth", "classification", "rn")
+    return {"paths": held, "gaps": items.join(held.select("key").distinct(), "key", "left_anti").select("key", F.lit("NoPathContext").alias("gap"))}
 
 
 def _with_routes(facts: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..operators import match as M
 from ..operators import rollup as A
 from ..schema import TIERS, tier_rank
-from ..tables import latest, table
+from ..tables import ensure_checkpoint_dir, latest, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -691,6 +691,49 @@ def k3_export_summary(s, d):
     return summary_lines(_combined(s, d, "source_index_id", "fact_type"), "source_index_id", "fact_type")
 
 
+# ---- round trips through sinks and sources
+
+_BACK = """with x as (select distinct * exclude (ingested_at) from facts) select fact_type, count(*) as n, count(distinct fact_id) as n_ids, count(project_path) as n_projects,
+sum(coalesce(start_line, 0))::bigint as lines, count(distinct snippet_hash) as n_hashes from x group by 1"""
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.groupBy("fact_type").agg(_n(), F.countDistinct("fact_id").alias("n_ids"), F.count("project_path").alias("n_projects"), F.sum(F.coalesce("start_line", F.lit(0))).cast("long").alias("lines"), F.countDistinct("snippet_hash").alias("n_hashes"))
+
+
+def _shared(s, name: str) -> str:
+    return f"{ensure_checkpoint_dir(s)}/{name}"
+
+
+@query(_BACK)
+def k2_ndjson_round_trip(s, d):
+    """All facts written as NDJSON in the contract's shape and read again."""
+    from ..sources import readers, sinks
+
+    facts = table(s, d, "facts").drop("ingested_at").distinct()
+    sinks.write_facts_ndjson(facts, _shared(s, "facts.ndjson"))
+    return _told(readers.facts_ndjson(s, _shared(s, "facts.ndjson")))
+
+
+@query(_BACK)
+def k1_index_round_trip(s, d):
+    """All facts and manifests written as an index and read again; tables that aren't there come back empty."""
+    from ..sources import readers, sinks
+
+    sinks.write_index({"facts": table(s, d, "facts").drop("ingested_at").distinct(), "scan_manifest": table(s, d, "scan_manifest")}, _shared(s, "index"))
+    tables, _ = readers.index_parquet(s, _shared(s, "index"))
+    return _told(tables["facts"])
+
+
+@query(f"""with {CF}, k as (select 'chunk-' || left(sha256(source_index_id || '|' || combined_fact_id), 24) as chunk_id, case fact_type when 'HttpCallDetected' then 'http-client' when 'AspNetRouteDeclared' then 'http-route' when 'SqlTextUsed' then 'sql-query' else 'package-config' end as surface_kind
+from cf where fact_type in ('HttpCallDetected', 'AspNetRouteDeclared', 'SqlTextUsed', 'PackageReferenced', 'ConfigKeyDeclared', 'ConnectionStringDeclared')) select chunk_id, surface_kind from k""")
+def k5_evidence_chunks(s, d):
+    """A chunk for each surface, with an id that depends on its key alone."""
+    from . import commands as C
+
+    return C.docs_export(_index(s, d))["chunks"].select("chunk_id", F.get_json_object("payload", "$.surface_kind").alias("surface_kind"))
+
+
 # ---- extraction from source texts
 
 
@@ -724,6 +767,32 @@ def x5_config_keys(s, d):
     return config_keys(_files(s, d))
 
 
+@query()
+def x18_python_syntax(s, d):
+    """Declarations, imports and calls of all Python texts by their syntax trees."""
+    return X.python_syntax(_files(s, d)).groupBy(F.coalesce("kind", "gap").alias("kind")).agg(_n(), F.countDistinct("name").alias("n_names"))
+
+
+@query()
+def s16_xml_elements(s, d):
+    """Elements of all XML settings, and documents that are refused or broken."""
+    from ..sources.markup import xml_elements
+
+    return xml_elements(_files(s, d)).groupBy(F.coalesce("path", "gap").alias("path")).agg(_n())
+
+
+@query()
+def s16_settings(s, d):
+    from ..sources.markup import settings, xml_elements
+
+    return settings(xml_elements(_files(s, d)))
+
+
+@query()
+def x3_integration_calls(s, d):
+    return X.integration_calls(_files(s, d)).groupBy("kind").agg(_n())
+
+
 @query()
 def x7_sql_statements(s, d):
     return X.sql_statements(_files(s, d)).groupBy("kind").agg(_n())
@@ -804,6 +873,22 @@ def c_diff(s, d):
     return C.diff(*_sides(s, d))["classes"]
 
 
+@query()
+def c_path_diff(s, d):
+    """Ways of the newest scans that the first ones lack, and the other way round."""
+    from . import commands as C
+
+    return C.path_diff(*_sides(s, d), max_paths=ALL, max_frontier=ALL)["rows"].groupBy("change", "classification").agg(_n())
+
+
+@query()
+def c_release_summary(s, d):
+    """Sections of a release review over all series, with the ways that pass a change."""
+    from . import commands as C
+
+    return C.release_review(*_sides(s, d), context=True)["summary"]
+
+
 @query()
 def c_contract_diff(s, d):
     from . import commands as C

@@ -6,7 +6,6 @@ failing. Invalid lines keep their text in `_corrupt_record`.
 
 from __future__ import annotations
 
-import os
 import sqlite3
 from collections.abc import Iterator
 
@@ -46,13 +45,19 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema], *[c for c in df.columns if c not in schema.names])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder in whatever file system its scheme names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def index_parquet(spark: SparkSession, folder: str, names: list[str] | None = None) -> tuple[dict[str, DataFrame], list[str]]:
     """The tables of an index of Parquet folders, absent ones empty, and the names of those."""
     out, absent = {}, []
     for name, schema in S.TABLES.items():
         if names and name not in names:
             continue
-        path = next((p for p in (f"{folder}/{name}.parquet", f"{folder}/{name}") if os.path.exists(p.removeprefix("file:"))), None)
+        path = next((p for p in (f"{folder}/{name}.parquet", f"{folder}/{name}") if exists(spark, p)), None)
         if path is None:
             absent.append(name)
             out[name] = spark.createDataFrame([], schema)
@@ -116,12 +121,20 @@ def index_sqlite(spark: SparkSession, paths: list[str], table: str) -> DataFrame
 
 
 def contract_delta(spark: SparkSession, path: str) -> DataFrame:
-    """(change_id, contract, element, kind, change_type, reference) of a contract delta of version 1 or 2."""
+    """(change_id, contract, element, kind, change_type, reference) of a contract delta of version 1 or 2.
+
+    Raises where an id repeats, a change names no element, or the version is another.
+    """
     raw = spark.read.schema("version string, contract string, source string, changes array<struct<id:string,kind:string,element:string,changeType:string,oldType:string,newType:string,value:string,reference:map<string,string>>>").option("multiLine", True).json(path)
     c = raw.select("contract", F.posexplode("changes").alias("i", "c"))
     ref = lambda *k: T.first_value(F.coalesce("c.reference", F.create_map().cast("map<string,string>")), *k)
     element = F.coalesce("c.element", F.concat_ws(".", ref("type", "typeName", "containingType"), ref("member", "memberName", "property", "method")), ref("endpoint", "path"))
-    return c.select(F.coalesce("c.id", F.concat(F.lit("change-"), (F.col("i") + 1).cast("string"))).alias("change_id"), "contract", element.alias("element"), F.coalesce("c.kind", F.lit("element")).alias("kind"), F.col("c.changeType").alias("change_type"), F.col("c.reference").alias("reference"))
+    if raw.where(~F.coalesce(F.col("version"), F.lit("1")).rlike(r"^(?:contract-delta\.)?v?[12](?:\.\d+)?$")).limit(1).count():
+        raise ValueError("a contract delta of another version")
+    told = c.select(F.coalesce("c.id", F.concat(F.lit("change-"), (F.col("i") + 1).cast("string"))).alias("change_id"), "contract", element.alias("element"), F.coalesce("c.kind", F.lit("element")).alias("kind"), F.col("c.changeType").alias("change_type"), F.col("c.reference").alias("reference"))
+    if told.where(T.blank(F.col("element"))).limit(1).count() or told.groupBy("change_id").count().where("count > 1").limit(1).count():
+        raise ValueError("a change without an element or with the id of another")
+    return told
 
 
 def sql_schema_delta(spark: SparkSession, path: str) -> DataFrame:
@@ -177,14 +190,22 @@ def inventory(spark: SparkSession, root: str, include: list[str] | None = None,
 
 def project_packages(files: DataFrame) -> DataFrame:
     """(relative_path, ecosystem, package_name, version) declared in project files: csproj, packages.config, package.json,
-    requirements.txt, Gradle and Maven. Patterns, not parsers: a file that is no valid XML or JSON gives what it shows."""
+    requirements.txt, Gradle and Maven. XML attributes may stand in any order and take either quote; a version may also be an
+    element of its own. A file that is no valid XML or JSON gives what it shows."""
     name = F.lower(F.regexp_extract("relative_path", r"([^/]+)$", 1))
-    pair = lambda pattern: F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("content", F.lit(pattern), 2).alias("version"))
-    rules = (("nuget", name.endswith(".csproj"), r"<PackageReference\s+Include=\"([^\"]+)\"\s+Version=\"([^\"]+)\""), ("nuget", name == "packages.config", r"<package\s+id=\"([^\"]+)\"\s+version=\"([^\"]+)\""), ("npm", name == "package.json", r"\"(@?[a-z0-9][\w./-]*)\"\s*:\s*\"([~^]?\d[\w.+-]*)\""), ("pypi", name == "requirements.txt", r"(?m)^([A-Za-z0-9][\w.-]*)==([\w.]+)"), ("maven", name.isin("build.gradle", "build.gradle.kts"), r"['\"]([\w.-]+:[\w.-]+):([\w.-]+)['\"]"), ("maven", name == "pom.xml", r"<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"))
     out = None
+    # Elements of package references, and the attributes of name and version.
+    for test, element, key, version in ((name.endswith(".csproj"), "PackageReference", "(?:Include|Update)", "Version"), (name == "packages.config", "package", "id", "version"), (name == "directory.packages.props", "PackageVersion", "Include", "Version")):
+        found = F.explode(F.regexp_extract_all("content", F.lit(rf"(?s)(<{element}\b[^>]*?(?:/>|>(?:(?!</{element}>).)*</{element}>))"), 1)).alias("e")
+        read = lambda a: F.regexp_extract("e", rf"\b{a}\s*=\s*[\"']([^\"']+)[\"']", 1)
+        rows = files.where(test).select("relative_path", found).select("relative_path", F.lit("nuget").alias("ecosystem"), read(key).alias("package_name"), F.coalesce(F.nullif(read(version), F.lit("")), F.nullif(F.regexp_extract("e", rf"<{version}>\s*([^<\s]+)\s*</", 1), F.lit(""))).alias("version"))
+        rows = rows.where(F.col("package_name") != "")
+        out = rows if out is None else out.unionByName(rows)
+    pair = lambda pattern: F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), 1).alias("name"), F.regexp_extract_all("content", F.lit(pattern), 2).alias("version"))
+    rules = (("npm", name == "package.json", r"\"(@?[a-z0-9][\w./-]*)\"\s*:\s*\"([~^]?\d[\w.+-]*)\""), ("pypi", name == "requirements.txt", r"(?m)^([A-Za-z0-9][\w.-]*)==([\w.]+)"), ("maven", name.isin("build.gradle", "build.gradle.kts"), r"['\"]([\w.-]+:[\w.-]+):([\w.-]+)['\"]"), ("maven", name == "pom.xml", r"<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"))
     for ecosystem, test, pattern in rules:
         part = files.where(test).select("relative_path", F.lit(ecosystem).alias("ecosystem"), F.explode(pair(pattern)).alias("p")).select("relative_path", "ecosystem", F.col("p").getField("name").alias("package_name"), F.col("p").getField("version").alias("version"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 

@@ -40,11 +40,12 @@ def markdown(rows: DataFrame, title: str, order: list[str], cap: int = 500) -> s
 
 
 def mermaid(edges: DataFrame, cap: int = 500) -> str:
-    """A flow chart of at most `cap` edges (source, kind, target), in their order."""
-    rows = edges.select("source", "kind", "target").distinct().orderBy("source", "kind", "target").limit(cap).collect()
+    """A flow chart of at most `cap` edges (source, kind, target), in their order, and a node that says what was cut."""
+    kept, gap = capped(edges.select("source", "kind", "target").distinct(), [F.col("source"), F.col("kind"), F.col("target")], cap, "DiagramEdgeLimit")
+    rows, cut = kept.collect(), gap.collect()
     ids = {n: f"n{i}" for i, n in enumerate(sorted({x for r in rows for x in (r["source"], r["target"])}))}
     label = lambda n: n.replace('"', "'")
-    return "\n".join(["flowchart LR", *[f'  {i}["{label(n)}"]' for n, i in ids.items()], *[f"  {ids[r['source']]} -->|{r['kind']}| {ids[r['target']]}" for r in rows]]) + "\n"
+    return "\n".join(["flowchart LR", *[f'  {i}["{label(n)}"]' for n, i in ids.items()], *[f"  {ids[r['source']]} -->|{r['kind']}| {ids[r['target']]}" for r in rows], *[f'  cut["{g["cut"]} more edges were cut ({g["gap"]} {g["kept"]})"]' for g in cut]]) + "\n"
 
 
 def evidence_chunks(rows: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

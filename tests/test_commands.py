@@ -54,7 +54,10 @@ def test_identical_sides_give_nothing_and_sides_swap(spark):
 def test_release_portfolio_and_packs(spark):
     a, b = index(spark), index(spark, drop=("f5",))
     out = C.release_review(a, b)
-    assert {(r.section, r.status) for r in out["sections"].collect()} == {("changed_surfaces", "available"), ("changed_edges", "available"), ("contract", "not_requested"), ("packages", "not_requested")}
+    assert {(r.section, r.status) for r in out["sections"].collect()} == {("changed_surfaces", "available"), ("changed_edges", "available"), ("sql_evidence", "available"), ("gaps", "available"), ("contract", "not_requested"), ("packages", "not_requested"), ("path_context", "not_requested"), ("reverse", "not_requested"), ("sql_schema", "not_requested")}
+    assert [(r.section, r.n_rows) for r in out["checklist"].orderBy("at").collect()] == [("changed_surfaces", 1)]
+    full = C.release_review(a, index(spark, drop=("f4",)), context=True)
+    assert {r.section: r.n_rows for r in full["summary"].collect()}["path_context"] >= 1 and full["reverse"].count() == 0
     assert out["rollup"].first().classification == "ActionableEvidence" and C.release_review(a, a)["rollup"].first().classification == "NoActionableEvidence"
     p = C.portfolio({"x": a, "y": b})
     assert p["shared"].count() == 3 and p["inputs"].count() == 2
@@ -85,3 +88,50 @@ def test_package_and_schema_impact(spark):
 def test_empty_index(spark):
     empty = {"facts": spark.createDataFrame([], FACT)}
     assert C.paths(empty)["paths"].count() == 0 and C.diff(empty, empty)["rows"].count() == 0 and C.report(empty)["facts"].count() == 0
+
+
+MANIFEST = "scan_id string, repo string, commit_sha string, scanner_version string, scanned_at string, analysis_level string, build_status string, scan_root_relative_path string, ingested_at timestamp"
+
+
+def with_manifest(spark, idx, repo="o/r", sha="c1", level="Level1SemanticAnalysis", status="Succeeded"):
+    return {**idx, "scan_manifest": spark.createDataFrame([("s", repo, sha, "1", "2025-01-01T00:00:00Z", level, status, ".", None)], MANIFEST)}
+
+
+def test_diffs_heed_coverage_and_identity(spark):
+    a, b = index(spark), index(spark, drop=("f5",))
+    cls = lambda x, y, f=C.diff: [r.classification for r in f(x, y)["rows"].collect()]
+    full, part = with_manifest(spark, a), with_manifest(spark, a, status="Failed")
+    assert cls(with_manifest(spark, b), full) == ["AddedEvidence"] and cls(with_manifest(spark, b, status="Failed"), full) == ["AddedWithBeforeGap"]
+    assert cls(full, with_manifest(spark, b, level="Level3SyntaxAnalysis")) == ["RemovedWithAfterGap"] and cls(part, with_manifest(spark, b)) == ["RemovedEvidence"]
+    assert cls(full, with_manifest(spark, b, repo="o/other")) == ["NeedsReviewDiff"] and cls(full, with_manifest(spark, b, repo="o/other", sha="unknown")) == ["UnknownAnalysisGap"]
+    assert cls(with_manifest(spark, b), full, C.snapshot_diff) == ["ChangedEvidence"]
+    assert [r.impact for r in C.impact(with_manifest(spark, b, status="Failed"), full)["items"].collect()] == ["NeedsReviewImpact"]
+    assert [r.classification for r in C.portfolio_diff({"x": with_manifest(spark, b, status="Failed")}, {"x": full})["rows"].collect()] == ["PartialAnalysis"]
+    assert [r.classification for r in C.portfolio_diff({"x": with_manifest(spark, b, repo="o/other")}, {"x": full})["rows"].collect()] == ["NeedsReview"]
+    assert [r.classification for r in C.reverse(part, "sql-query")["roots"].collect()] == ["NeedsReviewPath"]
+
+
+def test_paths_that_come_and_go(spark):
+    a, b = index(spark), index(spark, drop=("f3",))
+    assert C.path_diff(a, a)["rows"].count() == 0
+    lost = C.path_diff(a, b, to_kind="sql-query")["rows"].collect()
+    assert {r.change for r in lost} == {"removed", "added"} and any(r.key.startswith("App.Client.Load|") for r in lost if r.change == "removed")
+    ctx = C.impact_context(a, b)
+    assert {r.key.split("|")[0] for r in ctx["paths"].collect()} >= {"edge"}
+
+
+def test_filters_know_their_words(spark):
+    a = index(spark)
+    assert C.select(a, kinds=["sql-query"]).count() == 1 and C.select(a, sources=["nope"]).count() == 0 and C.select(a, tiers=["Tier2Structural"]).count() == 3
+    with pytest.raises(ValueError):
+        C.select(a, kinds=["sql-queries"])
+
+
+def test_reverse_caps_each_root(spark):
+    rows = [(f"e{i}", "s", "CallEdge", "c.v1", "Tier1Semantic", "Root.A", f"Mid.M{i}", None, "a.cs", 1, 1, "{}", None) for i in range(4)]
+    rows += [(f"m{i}", "s", "CallEdge", "c.v1", "Tier1Semantic", f"Mid.M{i}", "Data.Read", None, "a.cs", 1, 1, "{}", None) for i in range(4)]
+    rows += [("r2", "s", "CallEdge", "c.v1", "Tier1Semantic", "Root.B", "Mid.M0", None, "a.cs", 1, 1, "{}", None), ("q", "s", "SqlTextUsed", "q.v1", "Tier1Semantic", "Data.Read", None, None, "a.cs", 1, 1, '{"sql":"select 1"}', None)]
+    out = C.reverse({"facts": spark.createDataFrame(rows, FACT)}, "sql-query", per_root=2)
+    assert {r.root: r.n_paths for r in out["roots"].collect()} == {"Root.A": 2, "Root.B": 1}
+    assert [r.gap for r in out["gaps"].collect()] == ["RootPathLimit"]
+    assert {r.root: r.n_paths for r in C.reverse({"facts": spark.createDataFrame(rows, FACT)}, "sql-query", per_root=None)["roots"].collect()} == {"Root.A": 4, "Root.B": 1}

@@ -42,6 +42,19 @@ def test_sql_shapes(spark):
             assert r.s.columns == columns, sql
 
 
+def test_sql_shapes_of_any_nesting(spark):
+    deep = lambda x, n: "(" * n + x + ")" * n
+    rows = [
+        (f"SELECT a, f({deep('b, c', 30)}) d, {deep('e', 25)} g FROM t JOIN u ON {deep('1', 40)} = 1", ["t", "u"], ["a", "d", "g"]),
+        (f"SELECT a FROM {deep('SELECT z FROM hidden', 15)} x JOIN v ON 1 = 1", ["v"], ["a"]),
+        (f"CREATE TEMPORARY TABLE IF NOT EXISTS t (a int default {deep('1, 2', 20)}, b int, constraint c check (a in (1, 2)))", ["t"], ["a", "b"]),
+        ("DROP t", ["t"], []), ("ALTER TABLE s.t ADD x int", ["t"], []), ("TRUNCATE TABLE t", ["t"], []), ("SELECT a FROM t WHERE (b", ["t"], ["a"]), ("UPDATE t SET a = 1 FROM u", ["t"], ["a"]), ("INSERT INTO t SELECT b FROM u", ["t"], []),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, q string").select("i", Q.shape(F.col("q")).alias("s"))
+    for r in df.collect():
+        assert (r.s.tables, r.s.columns) == rows[r.i][1:], rows[r.i][0][:60]
+
+
 def test_shape_properties_leave_out_what_is_empty(spark):
     p = spark.createDataFrame([("CALL f('x')",)], "q string").select(Q.shape_properties(F.col("q"), "file").alias("p")).first().p
     assert p == {"textHash": h("CALL f('x')"), "sqlSourceKind": "file", "queryShapeHash": h("CALL f(' ')"), "operationName": "CALL"}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.operators import evidence as E
+from factloom.operators import extract as X
 from factloom.sources import readers, sinks
 from factloom.streaming import facts as stream
 
@@ -115,3 +116,91 @@ def test_streams_end_like_batches(spark, tmp_path):
     assert spark.sql("select sum(n) from counts").first()[0] == 30
     ev = spark.createDataFrame([(1, f"2025-01-01 00:{m:02d}:00") for m in (0, 10, 50)], "user_id int, t string").select("user_id", F.col("t").cast("timestamp").alias("ts"))
     assert {r.n for r in stream.sessions(ev).collect()} == {2, 1}
+
+
+# ---- markup and syntax trees
+
+ITEM = "scan_id string, relative_path string, content string, kind string"
+
+
+def items(spark, *rows):
+    return spark.createDataFrame([("s", p, t, "z") for p, t in rows], ITEM)
+
+
+def test_xml_is_read_safely(spark):
+    from factloom.sources import markup
+
+    bomb = '<!DOCTYPE x [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;">]><x>&b;</x>'
+    good = '\ufeff<?xml version="1.0"?>\n<configuration xmlns:p="urn:x">\n <appSettings><add value="1" key="A:B"/></appSettings>\n <connectionStrings><add name="Main" connectionString="secret"/></connectionStrings>\n <p:system.serviceModel><client><endpoint name="e" address="http://h/x" binding="basicHttpBinding" contract="I.Orders"/></client></p:system.serviceModel>\n</configuration>'
+    df = items(spark, ("a/Web.config", good), ("b.config", bomb), ("c.xml", "<a><b></a>"), ("d.config", None), ("e.config", ""), ("f.json", good))
+    el = markup.xml_elements(df)
+    assert {(r.relative_path, r.gap) for r in el.where("gap is not null").collect()} == {("b.config", "document-type-refused"), ("c.xml", "not-well-formed")}
+    assert {(r.kind, r.key, r.line_no) for r in markup.settings(el).collect()} == {("setting", "A:B", 3), ("connection-string", "Main", 4)}
+    assert [(r.side, r.binding, r.contract, r.has_address) for r in markup.service_endpoints(el).collect()] == [("client", "basicHttpBinding", "I.Orders", True)]
+    assert markup.xml_elements(df.limit(0)).count() == 0
+
+
+def test_data_models_of_mapping_files(spark):
+    from factloom.sources import markup
+
+    dbml = '<Database><Table Name="dbo.Orders"><Type Name="Order"><Column Name="Id" Type="System.Int32"/><Association Name="O_L" Member="Lines" Type="Line"/></Type></Table></Database>'
+    hbm = '<hibernate-mapping><class name="Item" table="items"><id name="Key"/><property name="Size" type="int"/></class></hibernate-mapping>'
+    got = {(r.format, r.item, r.owner, r.name) for r in markup.data_models(markup.xml_elements(items(spark, ("m.dbml", dbml), ("i.hbm.xml", hbm)))).collect()}
+    assert got == {("dbml", "entity", None, "dbo.Orders"), ("dbml", "property", "dbo.Orders", "Id"), ("dbml", "relation", "dbo.Orders", "O_L"), ("hbm", "entity", None, "Item"), ("hbm", "property", "Item", "Key"), ("hbm", "property", "Item", "Size")}
+
+
+def test_python_syntax_trees(spark):
+    text = "import os.path\nfrom .a import b\nclass C:\n    def m(self):\n        return requests.get('http://h/x', timeout=1)\nasync def f():\n    def g(): pass\n'class No: pass'\n"
+    rows = X.python_syntax(items(spark, ("a.py", text), ("bad.py", "def f(:"), ("n.py", None), ("a.txt", "class D: pass"))).collect()
+    got = {(r.kind, r.name, r.owner, r.line_no, r.argument) for r in rows if r.gap is None}
+    assert got == {("import", "os.path", None, 1, None), ("import", ".a.b", None, 2, None), ("class", "C", None, 3, None), ("method", "m", "C", 4, None), ("call", "requests.get", "C.m", 5, "http://h/x"), ("function", "f", None, 6, None), ("function", "g", "f", 7, None)}
+    assert [(r.relative_path, r.gap) for r in rows if r.gap] == [("bad.py", "not-parsed")]
+
+
+def test_call_sites_views_and_swift(spark):
+    cs = 'var r = await client.GetStringAsync("https://h/api/x");\n[HttpGet("orders/{id}")]\nvar c = new SqlCommand("select 1", k); bus.Publish<Order>("orders.created", o);\nbus.Subscribe("orders.paid", h);\n// nothing'
+    got = {(r.kind, r.name, r.line_no) for r in X.integration_calls(items(spark, ("a.cs", cs), ("b.txt", cs), ("c.cs", None))).collect()}
+    assert got == {("http-client", "https://h/api/x", 1), ("http-route", "orders/{id}", 2), ("sql-text", "select 1", 3), ("message-publish", "orders.created", 3), ("message-consume", "orders.paid", 4)}
+    view = '@model Shop.OrderModel\n<input asp-for="Total" /> @Html.TextBoxFor(m => m.Customer.Name)\n<form asp-controller="Orders" asp-action="Save">@ViewBag.Title</form>'
+    got = {(r.kind, r.name, r.model_type) for r in X.view_bindings(items(spark, ("v.cshtml", view))).collect()}
+    assert got == {("bound", "Total", "Shop.OrderModel"), ("helper", "Customer.Name", "Shop.OrderModel"), ("controller", "Orders", "Shop.OrderModel"), ("action", "Save", "Shop.OrderModel"), ("untyped", "ViewBag.Title", "Shop.OrderModel")}
+    swift = 'import Foundation\npublic final class Api {\n  func load() { let u = URL(string: "https://h/x") ; UserDefaults.standard.set(1) }\n}'
+    assert {(r.kind, r.name) for r in X.swift_syntax(items(spark, ("a.swift", swift))).collect()} == {("import", "Foundation"), ("type", "Api"), ("function", "load"), ("http-client", "https://h/x"), ("storage", "UserDefaults")}
+
+
+def test_sql_contexts(spark):
+    sql = "-- x-sql-context: engineFamily=postgres; executionMode=manual\nselect 1;\n-- sql-context: nope=1\n--sql-context: engineFamily=A\n-- sql-context: stepKind=a; stepKind=b\n-- sql-context:\n"
+    got = {r.line_no: (r.fields and r.fields["engineFamily"], r.fields and r.fields["serverRole"], r.gap) for r in X.sql_directives(items(spark, ("a.sql", sql), ("b.txt", sql))).collect()}
+    assert got == {1: ("postgres", "unknown", None), **{n: (None, None, "invalid-context-directive") for n in (3, 4, 5, 6)}}
+    side = '{"schemaVersion": "v1", "steps": [{"statementOrdinal": 1, "engineFamily": "postgres"}, {"statementOrdinal": 2}, {"statementOrdinal": 2}, {"statementOrdinal": 0}]}'
+    rows = X.sql_sidecars(items(spark, ("a.sql.context.json", side), ("b.sql.context.json", "{"), ("c.sql.context.json", "[]"), ("d.json", side))).collect()
+    assert sorted((r.relative_path, r.ordinal or -1, r.gap) for r in rows if r.gap) == [("a.sql", -1, "invalid-context-sidecar-step"), ("a.sql", 2, "invalid-context-sidecar-step"), ("a.sql", 2, "invalid-context-sidecar-step"), ("b.sql", -1, "invalid-context-sidecar"), ("c.sql", -1, "invalid-context-sidecar")]
+    assert [(r.relative_path, r.ordinal, r.fields["engineFamily"]) for r in rows if not r.gap] == [("a.sql", 1, "postgres")]
+
+
+def test_project_packages_in_any_attribute_order(spark):
+    proj = "<Project><ItemGroup><PackageReference Version='2.0' Include='B' /><PackageReference Include=\"A\"><Version>1.0</Version></PackageReference></ItemGroup></Project>"
+    got = {(r.package_name, r.version) for r in readers.project_packages(items(spark, ("x/P.csproj", proj), ("packages.config", '<packages><package version="3" id="C" /></packages>'))).collect()}
+    assert got == {("A", "1.0"), ("B", "2.0"), ("C", "3")}
+
+
+def test_deltas_are_validated(spark, tmp_path):
+    def delta(text):
+        (tmp_path / "d.json").write_text(text)
+        return readers.contract_delta(spark, str(tmp_path / "d.json"))
+
+    assert [r.change_id for r in delta('{"version": "2", "changes": [{"element": "A.B"}]}').collect()] == ["change-1"]
+    for bad in ('{"version": "9", "changes": [{"element": "A"}]}', '{"version": "1", "changes": [{"id": "x", "element": "A"}, {"id": "x", "element": "B"}]}', '{"version": "1", "changes": [{"id": "x"}]}'):
+        with pytest.raises(ValueError):
+            delta(bad)
+
+
+def test_existence_is_asked_of_the_file_system(spark, tmp_path):
+    assert readers.exists(spark, f"file:{tmp_path}") and not readers.exists(spark, f"file://{tmp_path}/none")
+    with pytest.raises(Exception):  # an unknown scheme is an error, not an absent table
+        readers.index_parquet(spark, "nosuch://x/y")
+
+
+def test_a_diagram_says_what_it_cut(spark):
+    edges = spark.createDataFrame([(f"a{i}", "calls", "b") for i in range(5)], "source string, kind string, target string")
+    assert "3 more edges were cut" in sinks.mermaid(edges, 2) and "more edges" not in sinks.mermaid(edges, 5)
