@@ -246,30 +246,32 @@ def in_shared(facts: DataFrame) -> DataFrame:
     return under.join(covered, ["scan_id", "path"], "left_semi").select("scan_id", "relative_path").distinct()
 
 
-def near_copies(marked: DataFrame) -> DataFrame:
-    """(scan_id, relative_path) of the items without a verdict whose mass lies in blocks of the vendored ones.
+def near_copies(facts: DataFrame, flags: DataFrame) -> DataFrame:
+    """leaf of the texts without a verdict whose mass lies in blocks of the vendored ones.
 
-    `marked` has scan_id, relative_path, leaf, blocks, known (vendored) and rest (no verdict).
+    `flags` has leaf, known (vendored) and rest (no verdict), one row a leaf; blocks are looked at once a text.
     """
-    texts = marked.groupBy("leaf").agg(F.max("known").alias("known"), F.first("blocks").alias("blocks"))
+    texts = facts.where(F.size("blocks") > 0).groupBy("leaf").agg(F.first("blocks").alias("blocks"))
+    texts = cut(texts.join(flags, "leaf").select(F.monotonically_increasing_id().alias("id"), "leaf", "known", "rest", "blocks"))
     held = texts.select("known", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["h"]))).alias("h"))
     counts = held.groupBy("h").agg(F.count_if("known").alias("yes"), F.count(F.lit(1)).alias("n"))
     theirs = counts.where((F.col("yes") > 0) & (F.col("yes") >= THEIRS * F.col("n"))).select("h")
     mass = F.aggregate("blocks", F.lit(0), lambda a, b: a + b["n"])
-    rest = marked.where(F.col("rest") & (mass >= MIN_SHARED)).select("leaf", mass.alias("mass"), "blocks").dropDuplicates(["leaf"])
-    own = rest.select("leaf", "mass", F.explode("blocks").alias("b")).select("leaf", "mass", "b.h", "b.n")
-    near = own.join(theirs, "h", "left_semi").groupBy("leaf").agg(F.sum("n").alias("n"), F.first("mass").alias("mass")).where(F.col("n") >= NEAR * F.col("mass")).select("leaf")
-    return marked.where("rest").join(near, "leaf", "left_semi").select("scan_id", "relative_path")
+    rest = texts.where(F.col("rest")).withColumn("mass", mass).where(F.col("mass") >= MIN_SHARED)
+    own = rest.select("id", F.explode("blocks").alias("b")).select("id", "b.h", "b.n")
+    shared = own.join(theirs, "h", "left_semi").groupBy("id").agg(F.sum("n").alias("n"))
+    return rest.select("id", "leaf", "mass").join(shared, "id").where(F.col("n") >= NEAR * F.col("mass")).select("leaf")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
     """(scan_id, relative_path, repo, verdict) of the items that nobody wrote by hand."""
     facts = cut(file_facts(files))
     keys = ["scan_id", "relative_path"]
-    found = facts.join(in_shared(facts).withColumn("shared", F.lit(True)), keys, "left")
+    found = facts.select(*keys, "repo", "verdict", "leaf").join(in_shared(facts).withColumn("shared", F.lit(True)), keys, "left")
     shared = F.coalesce("shared", F.lit(False)) & F.col("verdict").isNull()
     known = (shared | (F.coalesce("verdict", F.lit("")) == "vendored")).alias("known")
-    marked = cut(found.select(*keys, "repo", "verdict", "leaf", "blocks", shared.alias("shared"), known, (F.col("verdict").isNull() & ~shared).alias("rest")))
+    marked = cut(found.select(*keys, "repo", "verdict", "leaf", shared.alias("shared"), known, (F.col("verdict").isNull() & ~shared).alias("rest")))
     ruled = marked.where(F.col("verdict").isNotNull() | F.col("shared")).select(*keys, "repo", F.coalesce("verdict", F.lit("vendored")).alias("verdict"))
-    copies = marked.where("rest").join(near_copies(marked), keys, "left_semi")
+    flags = marked.where("leaf is not null").groupBy("leaf").agg(F.max("known").alias("known"), F.max("rest").alias("rest"))
+    copies = marked.where("rest").join(near_copies(facts, flags), "leaf", "left_semi")
     return ruled.unionByName(copies.select(*keys, "repo", F.lit("vendored").alias("verdict")))
