@@ -69,17 +69,24 @@ def report(index: Index) -> Index:
 
 
 def graph(index: Index) -> tuple[DataFrame, DataFrame]:
-    """(edges, surface nodes): symbols' edges, facts attached to symbols, surfaces hung on them, and matched endpoints."""
+    """(edges, surface nodes): symbols' edges, facts attached to symbols, surfaces hung on them, calls on remote types, and
+    matched endpoints."""
     f = _facts(index)
-    s = surfaces(index).where(F.col("source_symbol").isNotNull() | F.col("target_symbol").isNotNull())
+    s = surfaces(index).where(F.col("source_symbol").isNotNull() | F.col("target_symbol").isNotNull() | F.col("surface_kind").startswith("remoting-"))
     calls = E.typed_edges(f).where(F.col("source_symbol").isNotNull() & F.col("target_symbol").isNotNull()).select(F.col("fact_id").alias("edge_id"), F.col("source_symbol").alias("source"), F.col("target_symbol").alias("target"), F.col("edge_kind").alias("kind"), "evidence_tier", F.lit(None).cast("string").alias("classification"))
     node = F.concat(F.lit("surface:"), "fact_id")
-    hung = s.select(F.concat(F.lit("at:"), "fact_id").alias("edge_id"), F.coalesce("source_symbol", "target_symbol").alias("source"), node.alias("target"), F.lit("surface-evidence").alias("kind"), "evidence_tier", F.lit(None).cast("string").alias("classification"))
+    hung = s.where(F.coalesce("source_symbol", "target_symbol").isNotNull()).select(F.concat(F.lit("at:"), "fact_id").alias("edge_id"), F.coalesce("source_symbol", "target_symbol").alias("source"), node.alias("target"), F.lit("surface-evidence").alias("kind"), "evidence_tier", F.lit(None).cast("string").alias("classification"))
     served = s.where(F.col("surface_kind") == "http-route").select(node.alias("source"), F.coalesce("target_symbol", "source_symbol").alias("target"), F.concat(F.lit("of:"), "fact_id").alias("edge_id"), F.lit("fact-attached-to-symbol").alias("kind"), "evidence_tier", F.lit(None).cast("string").alias("classification"))
+    # Calls on a type that is configured to be remote lead to its surface.
+    props = E.with_properties(f)
+    configured = props.where(F.col("fact_type").isin("RemotingRegistrationDetected", "RemotingObjectDeclared")).select(F.col("fact_id").alias("id"), T.first_value(F.col("props"), "typeName", "remoteType", "type").alias("type_name"), "source_id")
+    sites = f.where(F.col("fact_type") == "CallEdge").select(F.col("fact_id").alias("id"), "target_symbol", "source_id", "source_symbol", "evidence_tier")
+    remote = M.remoting_calls(configured, sites).join(sites.select(F.col("id").alias("site_id"), "source_symbol", "evidence_tier"), "site_id").where(F.col("source_symbol").isNotNull())
+    remote = remote.select(F.concat_ws("->", "site_id", "configure_id").alias("edge_id"), F.col("source_symbol").alias("source"), F.concat(F.lit("surface:"), "configure_id").alias("target"), F.lit("remoting-call-site").alias("kind"), "evidence_tier", F.lit(None).cast("string").alias("classification"))
     m = endpoints(index)["endpoints"].where(F.col("client_id").isNotNull() & F.col("server_id").isNotNull())
     match = m.select(F.concat_ws("->", "client_id", "server_id").alias("edge_id"), F.concat(F.lit("surface:"), "client_id").alias("source"), F.concat(F.lit("surface:"), F.substring_index("server_id", "#", 1)).alias("target"), F.lit("endpoint-match").alias("kind"), F.lit(TIERS[1]).alias("evidence_tier"), "classification").distinct()
     cols = ["edge_id", "source", "target", "kind", "evidence_tier", "classification"]
-    return union([x.select(*cols) for x in (calls, hung, served, match)]), s.select(node.alias("node"), "source_id", "surface_kind", "display_name", "fact_id")
+    return union([x.select(*cols) for x in (calls, hung, served, remote, match)]), s.select(node.alias("node"), "source_id", "surface_kind", "display_name", "fact_id")
 
 
 def coverage(index: Index) -> DataFrame:
@@ -436,6 +443,19 @@ def baseline_compare(before: Index, after: Index) -> Index:
     return {"rows": D.keyed_diff(b, a, "key", "n", multiplicity=False)}
 
 
+def packet(index: Index) -> Index:
+    """What is handed on: for each source, type and rule the number of facts and files, the weakest tier, and a hash over all."""
+    f = _facts(index)
+    rows = f.groupBy("source_id", "fact_type", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_path").alias("n_files"), F.max_by("evidence_tier", tier_rank(F.col("evidence_tier"))).alias("weakest"), F.bit_xor(F.xxhash64("file_path", "start_line", "end_line", "evidence_tier", "source_symbol", "target_symbol")).alias("digest"))
+    return {"rows": rows}
+
+
+def packet_diff(before: Index, after: Index) -> Index:
+    """Two packets by source, type and rule: counts, files, tiers and hashes say whether a row changed."""
+    side = lambda x: x["rows"].select(F.concat_ws("|", "source_id", "fact_type", "rule_id").alias("key"), F.concat_ws("|", "n", "n_files", "weakest", "digest").alias("metadata"))
+    return {"rows": D.keyed_diff(side(before), side(after), "key", "metadata", multiplicity=False)}
+
+
 def evidence_pack(index: Index) -> Index:
     """A pack's checks: every fact has a rule with a version, a known tier and a relative path."""
     f = _facts(index)

@@ -945,6 +945,91 @@ def c_baseline(s, d):
     return C.baseline(_index(s, d))["counts"]
 
 
+@query(f"with {CF} select source_index_id as source_id, fact_type, rule_id, count(*) as n, count(distinct file_path) as n_files, max(evidence_tier) as weakest from cf group by all")
+def k10_packet(s, d):
+    from . import commands as C
+
+    return C.packet(_index(s, d))["rows"].drop("digest")
+
+
+@query(f"""with {_SNAP}, x as (select repo || '|' || root s, fact_type t, rule_id r, count(*) n, count(distinct file_path) f, max(evidence_tier) w from bf group by all),
+y as (select repo || '|' || root s, fact_type t, rule_id r, count(*) n, count(distinct file_path) f, max(evidence_tier) w from af group by all)
+select coalesce(x.s, y.s) || '|' || coalesce(x.t, y.t) || '|' || coalesce(x.r, y.r) as key, case when x.s is null then 'added' else 'removed' end as change from x full join y on x.s = y.s and x.t = y.t and x.r = y.r where x.s is null or y.s is null""")
+def k10_packet_diff(s, d):
+    """Rows that only one of a series' first and last packets has."""
+    from . import commands as C
+
+    rows = C.packet_diff(*(C.packet(x) for x in _sides(s, d)))["rows"]
+    return rows.where(F.col("change") != "changed").select("key", "change")
+
+
+@query(f"""with {CF} select source_index_id as source_id, case fact_type when 'HttpCallDetected' then 'http-client' else 'sql-query' end as surface_kind, count(*) as n from cf
+where fact_type in ('HttpCallDetected', 'SqlTextUsed') and evidence_tier in ('Tier2Structural', 'Tier3SyntaxOrTextual') group by all""")
+def pr14_selected_surfaces(s, d):
+    """Surfaces of two kinds and two tiers, both checked against their vocabularies."""
+    from . import commands as C
+
+    return C.select(_index(s, d), kinds=["http-client", "sql-query"], tiers=["Tier2Structural", "Tier3SyntaxOrTextual"]).groupBy("source_id", "surface_kind").agg(_n())
+
+
+# ---- the graph of types that call each other: parallel edges, diamonds and cycles
+
+_TYPES = """f as (select distinct on (fact_id) fact_id, fact_type, source_symbol, target_symbol from facts order by fact_id, ingested_at desc, scan_id desc),
+e as (select fact_id id, split_part(source_symbol, '.', 1) a, split_part(target_symbol, '.', 1) b from f where fact_type in ('CallEdge', 'ObjectCreated') and source_symbol is not null and target_symbol is not null),
+roots as (select distinct a n from e where a not in (select b from e)),
+p as (select n s, n, 0 depth, [n] nodes, []::varchar[] edges from roots union all
+select p.s, e.b, p.depth + 1, list_append(p.nodes, e.b), list_append(p.edges, e.id) from p join e on p.n = e.a where p.depth < 4 and not list_contains(p.nodes, e.b))"""
+
+
+def _types(s, d) -> tuple[DataFrame, DataFrame]:
+    one = table(s, d, "facts").groupBy("fact_id").agg(F.max(F.struct("ingested_at", "scan_id", "fact_type", "source_symbol", "target_symbol", "evidence_tier")).alias("x")).select("fact_id", "x.*")
+    named = one.where(F.col("source_symbol").isNotNull() & F.col("target_symbol").isNotNull())
+    of = lambda c: F.split_part(c, F.lit("."), F.lit(1))
+    edges = E.typed_edges(named).select(F.col("fact_id").alias("edge_id"), of("source_symbol").alias("source"), of("target_symbol").alias("target"), F.col("edge_kind").alias("kind"), "evidence_tier")
+    roots = edges.select(F.col("source").alias("node")).distinct().join(edges.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
+    return edges, roots
+
+
+@query(f"with recursive {_TYPES} select s as start, n as node, depth, array_to_string(edges, '>') as edges from p where depth > 0 and (depth = 4 or n not in (select a from e))")
+def g3_type_paths(s, d):
+    """Maximal ways of at most four calls from type to type; each parallel call is a way of its own."""
+    edges, roots = _types(s, d)
+    return G.bounded_paths(roots, edges, None, 4, ALL, ALL)[0].select("start", "node", "depth", F.array_join("edges", ">").alias("edges"))
+
+
+@query(f"""with recursive {_TYPES} select 'CycleDetected' as gap, count(*) as n from p join e on p.n = e.a where p.depth < 4 and list_contains(p.nodes, e.b) having count(*) > 0
+union all select 'DepthLimit', count(*) from p where depth = 4 having count(*) > 0""")
+def g14_type_gaps(s, d):
+    """Where ways between types run into themselves or into the depth limit."""
+    edges, roots = _types(s, d)
+    return G.bounded_paths(roots, edges, None, 4, ALL, ALL)[1].groupBy("gap").agg(_n())
+
+
+@query(f"""with recursive {_TYPES}, r as (select distinct a s, b n, 1 d from e union select r.s, e.b, r.d + 1 from r join e on r.n = e.a where r.d < 60)
+select s as start, n as node, min(d)::int as distance from r where s <> n group by all union all select distinct x, x, 0 from (select a x from e)""")
+def g12_type_reach(s, d):
+    """All types that each type reaches, over cycles too, at their least distance."""
+    edges, _ = _types(s, d)
+    return G.reachable(edges.select(F.col("source").alias("node")).distinct(), edges)
+
+
+@query(f"""with recursive {_TYPES}, t as (select a s, b n, 1 depth, [id] used from e where a in (select n from roots) union all select t.s, e.b, t.depth + 1, list_append(t.used, e.id) from t join e on t.n = e.a where t.depth < 3 and not list_contains(t.used, e.id))
+select s as start, n as node, depth from t where depth = 3 or not exists (select 1 from e where e.a = t.n and not list_contains(t.used, e.id))""")
+def g7_type_trails(s, d):
+    """Maximal trails of at most three calls that use no call twice; they may pass a type twice."""
+    edges, roots = _types(s, d)
+    return G.edge_simple_paths(roots, edges, 3, ALL).select("start", "node", "depth")
+
+
+@query(f"""with recursive {_TYPES}, n as (select a x from e union select b from e), h as (select b from e group by 1 having count(*) >= 2), up as (select b x from h union select e.a from up join e on up.x = e.b)
+select x as node from up""")
+def g16_reaching_hubs(s, d):
+    """Types from which one that several calls lead to can be reached."""
+    edges, _ = _types(s, d)
+    hubs = edges.groupBy(F.col("target").alias("node")).agg(_n()).where(F.col("n") >= 2)
+    return G.reaching(hubs, edges)
+
+
 # ---- further joins and classes on whole tables
 
 
