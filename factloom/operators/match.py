@@ -97,11 +97,11 @@ def align_endpoints(clients: DataFrame, servers: DataFrame) -> DataFrame:
 # ---- messages
 
 
-def pair_messages(surfaces: DataFrame, per_key: int = 100, total: int = 1000) -> tuple[DataFrame, DataFrame]:
+def pair_messages(surfaces: DataFrame, per_key: int = 100, total: int | None = 1000) -> tuple[DataFrame, DataFrame]:
     """Publishers with the consumers of the same static destination, and the keys at which a cap cut.
 
     `surfaces` has id, direction, status, key, tier, label. Pairs come in the order of key, publisher, consumer; at most
-    `per_key` a key and `total` in all. Ranks decide beforehand which pairs are formed, so no key yields more.
+    `per_key` a key and `total` in all (None: all). Ranks decide beforehand which pairs are formed, so no key yields more.
     """
     rows = surfaces.where((F.col("status") == "static") & ~T.blank(F.col("key")))
     order = [F.col("label").asc_nulls_first(), F.col("id")]
@@ -111,7 +111,8 @@ def pair_messages(surfaces: DataFrame, per_key: int = 100, total: int = 1000) ->
     c = side("consume").where(F.col("r") <= per_key)
     pairs = p.select("key", F.col("id").alias("publisher"), F.col("tier").alias("p_tier"), F.col("r").alias("p_r"), "n_c").join(c.select("key", F.col("id").alias("consumer"), F.col("tier").alias("c_tier"), F.col("r").alias("c_r")), "key")
     pairs = pairs.where((F.col("p_r") - 1) * F.col("n_c") + F.col("c_r") <= per_key)
-    edges = pairs.orderBy("key", "p_r", "c_r").limit(total).select("key", "publisher", "consumer", tier_name(F.greatest(tier_rank(F.col("p_tier")), tier_rank(F.col("c_tier")))).alias("tier"))
+    kept = pairs if total is None else pairs.orderBy("key", "p_r", "c_r").limit(total)
+    edges = kept.select("key", "publisher", "consumer", tier_name(F.greatest(tier_rank(F.col("p_tier")), tier_rank(F.col("c_tier")))).alias("tier"))
     sizes = rows.groupBy("key").agg(F.count_if(F.col("direction") == "publish").alias("n_p"), F.count_if(F.col("direction") == "consume").alias("n_c"))
     cut = sizes.where(F.col("n_p") * F.col("n_c") > per_key).select("key", (F.col("n_p") * F.col("n_c")).alias("n_pairs"))
     return edges, cut
@@ -202,13 +203,14 @@ def permission_status(operations: DataFrame, permissions: DataFrame) -> DataFram
     """Each operation with the state of its evidence in permission scripts.
 
     `operations` has operation_id, capability, object_id, role_id, file_path, end_line, context, coverage; `permissions`
-    capability, object_id, role_id, action, file_path, start_line, context, coverage. The first rule that holds decides.
+    capability, object_id, role_id, action, file_path, start_line, context, coverage. The order of the rules is fixed by the
+    contract; the first that holds decides. Only permissions on the same object meet an operation.
     """
-    o = operations.alias("o")
-    p = permissions.select("capability", F.col("object_id").alias("p_object"), F.col("role_id").alias("p_role"), "action", F.col("file_path").alias("p_file"), F.col("start_line").alias("p_line"), F.col("context").alias("p_context"), F.col("coverage").alias("p_coverage"))
+    o = operations.withColumn("object_key", F.lower("object_id")).alias("o")
+    p = permissions.select("capability", F.col("object_id").alias("p_object"), F.col("role_id").alias("p_role"), "action", F.col("file_path").alias("p_file"), F.col("start_line").alias("p_line"), F.col("context").alias("p_context"), F.col("coverage").alias("p_coverage"), F.lower("object_id").alias("object_key"))
     missing = T.blank(F.col("object_id"))
     fits = ~missing & (F.coalesce(F.lower("p_object"), F.lit("")) == F.lower("object_id")) & (F.col("role_id").isNull() | F.col("p_role").isNull() | (F.lower("p_role") == F.lower("role_id")))
-    j = o.join(p, "capability", "left")
+    j = o.join(p, ["capability", "object_key"], "left")
     grant = fits & F.col("action").isin("grant", "owner-change", "role-membership")
     agg = j.groupBy("operation_id").agg(
         F.first("capability").alias("capability"), F.bool_or(missing).alias("no_id"), F.count_if(grant).alias("grants"), F.count_if(fits & (F.col("action") == "revoke")).alias("revokes"),

@@ -142,6 +142,16 @@ def pr3_surfaces(s, d):
     return E.surfaces(facts).select("combined_fact_id", "source_index_id", "surface_kind", "display_name", "http_method", "path_key", "table_names", "shape_hash", "package_name", "package_version", "config_key", "evidence_tier", "safe_path", "start_line")
 
 
+@query(f"""with {CF}, x as (select *, json_extract_string(properties_json, '$.url') u from cf where fact_type = 'HttpCallDetected')
+select combined_fact_id, source_index_id, 'http-client' as surface_kind, {{key}} as display_name, {{key}} as path_key, upper(json_extract_string(properties_json, '$.httpMethod')) as http_method, evidence_tier, start_line from x
+union all select combined_fact_id, source_index_id, 'package-config', json_extract_string(properties_json, '$.key'), null, null, evidence_tier, start_line from cf where fact_type in ('ConfigKeyDeclared', 'ConnectionStringDeclared')""".replace("{key}", "lower(regexp_replace('/' || trim(regexp_replace(regexp_replace(u, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'), '\\{[^}]*\\}', '{}', 'g'))"))
+def pr3_client_and_setting_surfaces(s, d):
+    """Surfaces of HTTP clients and of settings, with what names them."""
+    facts = E.with_properties(_combined(s, d, "source_index_id", "fact_type", "rule_id", "evidence_tier", "file_path", "start_line", "properties_json").withColumn("fact_id", F.col("combined_fact_id")))
+    rows = E.surfaces(facts.where(F.col("fact_type").isin("HttpCallDetected", "ConfigKeyDeclared", "ConnectionStringDeclared")))
+    return rows.select("combined_fact_id", "source_index_id", "surface_kind", "display_name", "path_key", "http_method", "evidence_tier", "start_line")
+
+
 _DEST = "trim(coalesce(source_symbol, ''))"
 
 
@@ -219,9 +229,12 @@ def _endpoints(s, d) -> tuple[DataFrame, DataFrame]:
     return clients, servers
 
 
-@query(f"""with {CF}, c as (select combined_fact_id id, upper(json_extract_string(properties_json, '$.httpMethod')) m, {_KEY.format("json_extract_string(properties_json, '$.url')")} k from cf where fact_type = 'HttpCallDetected'),
-v as (select combined_fact_id, source_index_id src, upper(json_extract_string(properties_json, '$.httpMethod')) m, unnest(string_split(json_extract_string(properties_json, '$.routes'), ',')) r from cf where fact_type = 'AspNetRouteDeclared'),
-w as (select combined_fact_id || '#' || r id, src, m, {_KEY.format('r')} k from v),
+_ENDS = f"""{CF}, c as (select combined_fact_id id, upper(json_extract_string(properties_json, '$.httpMethod')) m, {_KEY.format("json_extract_string(properties_json, '$.url')")} k, json_extract_string(properties_json, '$.url') r from cf where fact_type = 'HttpCallDetected'),
+v as (select combined_fact_id, source_index_id src, file_path, start_line, upper(json_extract_string(properties_json, '$.httpMethod')) m, unnest(string_split(json_extract_string(properties_json, '$.routes'), ',')) r from cf where fact_type = 'AspNetRouteDeclared'),
+w as (select combined_fact_id || '#' || r id, src, m, {_KEY.format('r')} k, r, file_path, start_line from v)"""
+
+
+@query(f"""with {_ENDS},
 j as (select c.id, w.src, w.id sid, (w.m = 'ANY' or c.m = 'ANY' or w.m = c.m) fit from c join w using (k)),
 a as (select id, src, count_if(fit) n from j group by all),
 seen as (select distinct j.sid from j join a on j.id = a.id and j.src = a.src where a.n = 0 or j.fit)
@@ -241,7 +254,7 @@ def j5_message_pairs(s, d):
     """Purchases as publishers and clicks as consumers of one user's destination, at most 100 pairs a user."""
     e = table(s, d, "events").where(F.col("event_type").isin("purchase", "click"))
     rows = e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("key"), F.lit("static").alias("status"), F.lit(TIERS[1]).alias("tier"), F.lit("events").alias("label"), F.when(F.col("event_type") == "purchase", F.lit("publish")).otherwise(F.lit("consume")).alias("direction"))
-    return M.pair_messages(rows, total=2**31 - 1)[0].select("key", "publisher", "consumer")
+    return M.pair_messages(rows, total=ALL)[0].select("key", "publisher", "consumer")
 
 
 @query("""with e as (select * from events where event_type in ('purchase', 'error')), v as (select user_id, ts, event_id from events where event_type = 'view'),
@@ -598,12 +611,18 @@ def o2_diff_classes(s, d):
     return rows.groupBy(D.classify_combined(F.col("change"), F.col("duplicate"), F.col("needs_review"), no, no, ~F.col("fb"), ~F.col("fa")).alias("classification")).agg(_n())
 
 
-@query(f"""with {_SNAP}, t as (select coalesce(y.evidence_tier, x.evidence_tier) tier from {_FULL} where {_DIFF})
-select case tier when 'Tier3SyntaxOrTextual' then 'NeedsReviewImpact' when 'Tier4Unknown' then 'UnknownAnalysisGap' else 'ProbableStaticImpact' end as impact, count(*) as n from t group by 1""")
+@query(f"""with {_SNAP}, c as (select repo, root, (select analysis_level = 'Level1SemanticAnalysis' and build_status = 'Succeeded' from lm where scan_id = b.b) fb, (select analysis_level = 'Level1SemanticAnalysis' and build_status = 'Succeeded' from lm where scan_id = b.a) fa from b),
+t as (select coalesce(y.evidence_tier, x.evidence_tier) tier, {_CHANGE} change, c.fb, c.fa from {_FULL} join c on c.repo = coalesce(x.repo, y.repo) and c.root = coalesce(x.root, y.root) where {_DIFF})
+select case when (change = 'added' and not coalesce(fb, false)) or (change = 'removed' and not coalesce(fa, false)) or tier = 'Tier3SyntaxOrTextual' then 'NeedsReviewImpact' when tier = 'Tier4Unknown' then 'UnknownAnalysisGap' else 'ProbableStaticImpact' end as impact, count(*) as n from t group by 1""")
 def o8_change_impact(s, d):
+    """Impact of each change: what a gap on the other side may explain is for review."""
     b, a = _snapshots(s, d)
-    rows = D.keyed_diff(b, a, "key", "metadata", "evidence", keep=["evidence_tier"])
-    return rows.groupBy(D.impact_of(F.lit("ChangedEvidence"), F.coalesce("after_evidence_tier", "before_evidence_tier")).alias("impact")).agg(_n())
+    m = E.current_manifest(table(s, d, "scan_manifest")).select("scan_id", F.coalesce((F.col("analysis_level") == "Level1SemanticAnalysis") & (F.col("build_status") == "Succeeded"), F.lit(False)).alias("full"), F.concat_ws("|", "repo", "scan_root_relative_path").alias("series"), "instant")
+    ends = m.groupBy("series").agg(F.min(F.struct("instant", "scan_id", "full")).alias("b"), F.max(F.struct("instant", "scan_id", "full")).alias("a")).select("series", F.col("b.full").alias("fb"), F.col("a.full").alias("fa"))
+    rows = D.keyed_diff(b, a, "key", "metadata", "evidence", keep=["evidence_tier", "series"]).withColumn("series", F.coalesce("before_series", "after_series")).join(ends, "series")
+    no = F.lit(False)
+    cls = D.classify_combined(F.col("change"), F.col("duplicate"), F.col("needs_review"), no, no, ~F.col("fb"), ~F.col("fa"))
+    return rows.groupBy(D.impact_of(cls, F.coalesce("after_evidence_tier", "before_evidence_tier")).alias("impact")).agg(_n())
 
 
 @query(f"""with {_SNAP} select {_CHANGE} as change, count(*) as n from (select * from bf where fact_type in ('TypeDeclared', 'MethodDeclared', 'PropertyDeclared')) x
@@ -1100,12 +1119,18 @@ def g6_lifted_paths(s, d):
     return G.lift_to_sources(paths, nodes).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_paths"), F.min("depth").alias("shortest"))
 
 
-@query()
+@query(f"""with {_ENDS}, names as (select 'c' side, id, list_sort(regexp_extract_all(r, '\\{{([A-Za-z_][A-Za-z0-9_]*)', 1)) p from c union all select 'w', id, list_sort(regexp_extract_all(r, '\\{{([A-Za-z_][A-Za-z0-9_]*)', 1)) from w),
+j as (select c.id, w.id sid, w.file_path f, w.start_line l from c join w using (k) where w.m = 'ANY' or c.m = w.m),
+best as (select id, first(sid order by f, l, sid) sid from j group by 1)
+select classification, note, count(*) as n from (
+ select 'Matched' as classification, case when x.p <> y.p then 'parameter names differ' end as note from best join names x on x.side = 'c' and x.id = best.id join names y on y.side = 'w' and y.id = best.sid
+ union all select 'ClientCallNoServerEndpoint', null from c where id not in (select id from best)
+ union all select 'ServerEndpointNoClientMatch', null from w where id not in (select sid from j)) group by all""")
 def j4_two_index_endpoints(s, d):
     """Clients of all sources as one index against servers of all as the other."""
     clients, servers = _endpoints(s, d)
-    one = lambda df: df.select("id", "path_key", F.get("methods", F.lit(0)).alias("method"), F.array().cast("array<string>").alias("parameters"), "file_path", "start_line")
-    return M.align_two_indexes(one(clients), one(servers)).groupBy("classification").agg(_n())
+    one = lambda df, route: df.select("id", "path_key", F.get("methods", F.lit(0)).alias("method"), R.normalize(F.col(route))["parameters"].alias("parameters"), "file_path", "start_line")
+    return M.align_two_indexes(one(clients, "url"), one(servers, "route")).groupBy("classification", "note").agg(_n())
 
 
 @query()

@@ -68,7 +68,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def xml_elements(files: DataFrame, pattern: str = r"\.(?:config|xml|csproj|edmx|dbml|xsd|hbm\.xml|resx|svc|wsdl|disco)$") -> DataFrame:
+def xml_elements(files: DataFrame, pattern: str = r"\.(?:config|xml|\w*proj|edmx|dbml|xsd|hbm\.xml|resx|svc|wsdl|disco)$") -> DataFrame:
     """ELEMENTS of the items whose path matches `pattern`."""
     src = files.where(F.col("content").isNotNull() & (F.col("content") != "") & F.lower("relative_path").rlike(pattern))
     return src.select("scan_id", "relative_path", "content").mapInPandas(_read, ELEMENTS)
@@ -107,3 +107,25 @@ def data_models(elements: DataFrame) -> DataFrame:
     w = Window.partitionBy("scan_id", "relative_path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     owner = F.last(F.when(F.col("item") == "entity", F.col("name")), ignorenulls=True).over(w)
     return rows.withColumn("owner", F.when(F.col("item") != "entity", owner)).where(F.col("item").isNotNull() & F.col("name").isNotNull()).select("scan_id", "relative_path", "line_no", "format", "item", "owner", "name", "type")
+
+
+def project_diagnostics(elements: DataFrame) -> DataFrame:
+    """(scan_id, relative_path, line_no, code, value): what project files say of the environment that they need to build.
+
+    `value` is kept only where it is a plain version; anything else that was observed stays out.
+    """
+    a = F.col("attributes")
+    # Codes of build diagnostics, and kinds of projects that can't be analysed by their type's id.
+    kinds = {"{54435603-dbb4-11d2-8724-00a0c9a8b90c}": "setup-deployment", "{c8d11400-126e-41cd-887f-60bd40844f9e}": "database-project"}
+    project = elements.where(F.lower("relative_path").rlike(r"\.\w*proj$"))
+    root, name = F.col("path") == "Project", F.element_at(F.split("path", "/"), -1)
+    sdk = F.coalesce(a["Sdk"], F.lit("")) != ""
+    guid = F.lower("text")
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    rules = [
+        (F.col("gap").isNotNull(), "UnknownLegacyProjectFormat", F.lit(None)), (root & ~sdk, "NonSdkStyleProject", F.lit(None)), (root & a["ToolsVersion"].isNotNull(), "OldMsBuildToolsVersion", a["ToolsVersion"]),
+        (name.isin("TargetFrameworkVersion", "TargetFramework", "TargetFrameworks"), "TargetFramework", F.col("text")), ((name == "ProjectTypeGuids") & F.exists(F.split(guid, ";"), lambda x: x.isin(*kinds)), "UnsupportedProjectType", F.element_at(known, F.element_at(F.filter(F.split(guid, ";"), lambda x: x.isin(*kinds)), 1))),
+    ]
+    told = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), value.cast("string").alias("value"))) for test, code, value in rules]), lambda x: x.isNotNull())
+    rows = project.select("scan_id", "relative_path", "line_no", F.explode(told).alias("d")).select("scan_id", "relative_path", "line_no", "d.code", "d.value")
+    return rows.withColumn("value", F.when(F.col("value").rlike(r"^[A-Za-z0-9.;-]{1,80}$"), F.col("value")))

@@ -191,6 +191,26 @@ def test_packages_dispatch_and_permissions(spark):
     assert got == {"ok": "present-in-scripts", "none": "missing-evidence", "cross": "needs-owner-review", "revoked": "conflicting-evidence", "noid": "unknown", "late": "needs-owner-review", "owner": "needs-owner-review", "ctx": "conflicting-evidence"}
 
 
+def test_remoting_calls(spark):
+    conf = spark.createDataFrame([("c1", "App.Remote.Orders", "s"), ("c2", "orders", "t"), ("c3", None, "s")], "id string, type_name string, source_id string")
+    sites = spark.createDataFrame([("x", "Lib.ORDERS.Get", "s"), ("y", "Lib.Other.Get", "s"), ("z", "Orders.Put", "t"), ("w", None, "s")], "id string, target_symbol string, source_id string")
+    assert {(r.configure_id, r.site_id) for r in M.remoting_calls(conf, sites).collect()} == {("c1", "x"), ("c2", "z")}
+
+
+def test_orders_without_a_single_task(spark):
+    """No plan of a search without caps sorts everything in one task."""
+    edges = spark.createDataFrame([("e1", "a", "b", "calls", "Tier1Semantic"), ("e2", "b", "a", "calls", "Tier1Semantic"), ("e3", "b", "c", "calls", "Tier1Semantic"), ("e4", "b", "c", "calls", "Tier1Semantic")], "edge_id string, source string, target string, kind string, evidence_tier string")
+    starts = spark.createDataFrame([("a",)], "node string")
+    found, gaps = G.bounded_paths(starts, edges, None, 5, None, None)
+    assert sorted(tuple(r.edges) for r in found.collect()) == [("e1", "e3"), ("e1", "e4")] and [r.gap for r in gaps.collect()] == ["CycleDetected"]
+    trails = G.edge_simple_paths(starts, edges, 5, None)
+    assert sorted(tuple(r.edges) for r in trails.collect()) == [("e1", "e2"), ("e1", "e3"), ("e1", "e4")]
+    for df in (found, trails):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "CollectLimit" not in plan and "TakeOrdered" not in plan
+    assert {r.node for r in G.reaching(spark.createDataFrame([("c",)], "node string"), edges).collect()} == {"a", "b", "c"}
+
+
 # ---- diffs and rollups
 
 SIDE = "k string, m string, e string, extra int"

@@ -140,6 +140,15 @@ def test_xml_is_read_safely(spark):
     assert markup.xml_elements(df.limit(0)).count() == 0
 
 
+def test_project_diagnostics(spark):
+    from factloom.sources import markup
+
+    old = '<Project ToolsVersion="4.0"><PropertyGroup><TargetFrameworkVersion>v4.5</TargetFrameworkVersion><ProjectTypeGuids>{X};{C8D11400-126E-41CD-887F-60BD40844F9E}</ProjectTypeGuids></PropertyGroup></Project>'
+    df = items(spark, ("a/Old.csproj", old), ("New.csproj", '<Project Sdk="Microsoft.NET.Sdk"><PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup></Project>'), ("Bad.vbproj", "<Project>"), ("x.config", old))
+    got = {(r.relative_path, r.code, r.value) for r in markup.project_diagnostics(markup.xml_elements(df)).collect()}
+    assert got == {("a/Old.csproj", "NonSdkStyleProject", None), ("a/Old.csproj", "OldMsBuildToolsVersion", "4.0"), ("a/Old.csproj", "TargetFramework", "v4.5"), ("a/Old.csproj", "UnsupportedProjectType", "database-project"), ("New.csproj", "TargetFramework", "net8.0"), ("Bad.vbproj", "UnknownLegacyProjectFormat", None)}
+
+
 def test_data_models_of_mapping_files(spark):
     from factloom.sources import markup
 
