@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..tables import cut, union
 
 #: Words of one filter at most and at least, and words of a row.
-MAX_WORDS, MIN_WORDS, LINE = 1 << 24, 1 << 10, 1 << 10
+MAX_WORDS, MIN_WORDS, LINE = 1 << 24, 1 << 10, 1 << 6
 BITS_A_KEY = 16
 PROBES = 4
 
