@@ -478,15 +478,14 @@ def scored(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of each document and its score, a probability."""
     if net is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
-    types = dict(docs.dtypes)
     model = docs.sparkSession.sparkContext.broadcast(_pack(net))
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keep), "score double"])
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only texts go to Python, so that ids and other columns come back as they are, nulls included.
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _unpack(model.value)
-        for pdf in frames:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i:i + 500]
-                yield part[keep].assign(score=own.score([words(t) for t in part["text"]]))
+        for texts in batches:
+            out = [own.score([words(t) for t in texts.iloc[i:i + 500]]) for i in range(0, len(texts), 500)]
+            yield pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(score, schema)
+    return docs.select(*keep, score("text").alias("score"))

@@ -12,7 +12,7 @@ Runs are listed in slices of PAIRS, so memory is bounded however often a q-gram
 
 Texts are compared as their words (maximal runs of letters and digits, lower-cased) joined by single blanks.
 
-Defined results: null and empty texts leak nothing. Items with fewer than MIN_WORDS words can't be leaked. Repeated
+Defined results: null and empty texts leak nothing, and rows without an id are left out. Items with fewer than MIN_WORDS words can't be leaked. Repeated
 rows of a document or item give one row each pair. Ties don't arise. The items are sent to the executors in blocks of
 BLOCK_CHARS characters, so what is broadcast stays bounded whatever their number; every document meets every block.
 """
@@ -283,12 +283,13 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 0) -> DataFrame:
     length of the verified region.
     """
     spark = docs.sparkSession
+    items = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     chars = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    todo = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    todo = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     out = None
     for block in range(blocks):
-        rows = items.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)).select("item_id", "text").distinct().collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").distinct().collect()
         index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows], k))
         part = todo.mapInPandas(_finder(index), OUT)
         out = part if out is None else out.unionByName(part)

@@ -70,8 +70,10 @@ def test_leaks_against_brute_force(spark):
         piece = ("; " if d % 2 else "\n- ").join(x.upper() if d % 3 else x for x in w[a:a + n])
         docs.append((d, f"{text(5)}{'. ' if d % 5 else ''}{piece}{', ' if d % 7 else 'z'}{text(5)}"))
     docs.append(docs[-1])
-    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
-    it = spark.createDataFrame([(i, t, "s") for i, t in items], "item_id long, text string, doc_id string")
+    big = (1 << 53) + 1  # no id goes through a float, also beside rows without one
+    docs.append((big, items[0][1]))
+    df = spark.createDataFrame([(d, t, 1) for d, t in [*docs, (None, items[0][1])]], "doc_id long, text string, item_id int")
+    it = spark.createDataFrame([(i, t, "s") for i, t in [*items, (None, items[1][1])]], "item_id long, text string, doc_id string")
     got = leakage.leaks(df, it).collect()
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
@@ -576,6 +578,8 @@ def test_scores_of_odd_texts(spark):
     got = abuse.scored(df, net, ["doc_id", "source"]).collect()
     assert len(got) == 5 and all(r.score == 0 for r in got[:3]) and all(0 <= r.score <= 1 for r in got)
     assert [r.score for r in abuse.scored(df, None, ["doc_id"]).collect()] == [0] * 5
+    ids = spark.createDataFrame([((1 << 53) + 1, "fine words"), (None, "fine words")], "doc_id long, text string")
+    assert {r.doc_id for r in abuse.scored(ids, net, ["doc_id"]).collect()} == {(1 << 53) + 1, None} and abuse.scored(ids.limit(0), net, ["doc_id"]).count() == 0
 
 
 def test_a_network_is_fitted_once(spark, monkeypatch, tmp_path):
