@@ -387,9 +387,9 @@ def release_review(before: Index, after: Index, changes: DataFrame | None = None
             status.append(spark.createDataFrame([(at, name, "not_requested", 0)], "at int, section string, status string, n_rows long"))
             continue
         order = [F.col("severity"), F.col("key")] if "severity" in rows.columns else [F.col("key")]
-        out[name], gap = A.capped(rows, order, max_rows, name)
-        n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-        status.append(n.crossJoin(gap.agg(F.count(F.lit(1)).alias("n"))).select(F.lit(at).alias("at"), F.lit(name).alias("section"), F.when(F.col("n") > 0, F.lit("truncated")).when((F.col("n_rows") == 0), F.lit("empty")).otherwise(F.lit("available")).alias("status"), "n_rows"))
+        out[name], _ = A.capped(rows, order, max_rows, name)
+        n = F.col("n_rows")
+        status.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(at).alias("at"), F.lit(name).alias("section"), F.when(n > max_rows, F.lit("truncated")).when(n == 0, F.lit("empty")).otherwise(F.lit("available")).alias("status"), "n_rows"))
     sections = union(status)
     asks = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])[F.col("section")]
     out["sections"] = sections.select("section", F.when(F.col("status") == "empty", F.lit("available")).otherwise(F.col("status")).alias("status"))
