@@ -320,3 +320,35 @@ def test_descriptors_hide_unsafe_labels(spark):
     df = E.with_properties(spark.createDataFrame([("1", '{"entityName":"Order"}'), ("2", '{"entityName":"Order"}'), ("3", '{"name":"x://y"}'), ("4", "{}")], "fact_id string, properties_json string"))
     got = {r.fact_id: (r.display_name[:5], r.n_same, r.redaction) for r in M.data_descriptors(df).collect()}
     assert got == {"1": ("Order", 2, None), "2": ("Order", 2, None), "3": ("hash:", 1, "unsafe-label")}
+
+
+def cut_sizes(monkeypatch) -> list[int]:
+    """The numbers of rows that the graph operators write from now on."""
+    sizes, real = [], G.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    return sizes
+
+
+def layers(width: int, n: int) -> list[tuple[str, str]]:
+    """A root and n layers, each node of which leads to all of the next."""
+    return [("r", f"0.{j}") for j in range(width)] + [(f"{k}.{i}", f"{k + 1}.{j}") for k in range(n - 1) for i in range(width) for j in range(width)]
+
+
+def test_large_levels_without_caps_are_not_written(spark, monkeypatch):
+    rnd = random.Random(5)
+    loops = sorted({(f"n{rnd.randrange(9)}", f"n{rnd.randrange(9)}") for _ in range(30)})
+    for pairs, ends in ((layers(5, 4), None), (layers(5, 4), ["3.1", "3.2"]), (loops, None), (loops, ["n7"])):
+        starts, to = nodes(spark, "r", "n0", "n1"), ends and nodes(spark, *ends)
+        found = lambda: [sorted(map(str, df.collect())) for df in G.bounded_paths(starts, edges(spark, pairs), to, 4, None, None)]
+        want = found()
+        with monkeypatch.context() as m:
+            m.setattr(G, "STREAM_ROWS", 30)
+            sizes = cut_sizes(m)
+            assert found() == want
+        assert max(sizes) <= max(30, len(pairs), 125 if pairs is loops else 0) and (pairs is loops or len(want[0]) >= 250)
