@@ -10,6 +10,9 @@ depth, path and frontier caps leave gap rows, cycles only where asked. Empty inp
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from ..tables import BROADCAST_ROWS, cut, row_bound, union
 
 #: Rows of a level beyond which uncapped paths are streamed past broadcast edges instead of being written.
 STREAM_ROWS = 200_000
+#: Distinct edges up to which every task of `reachable` holds the graph (about 60 MB of names and numbers).
+HELD_EDGES = 1_000_000
 PATH = ["start", "node", "depth", "nodes", "edges", "order", "tier", "review", "unknown"]
 
 
@@ -145,14 +150,18 @@ def drop_suffixes(paths: DataFrame) -> DataFrame:
     return paths.join(tails, "edges", "left_anti")
 
 
-def reachable(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, max_depth: int | None = None, reverse: bool = False, max_held: int = HELD_EDGES) -> DataFrame:
     """(start, node, distance): everything reachable, each at its least distance; a node seen before isn't expanded.
 
-    It goes on until nothing new is found, or for `max_depth` levels.
+    It goes on until nothing new is found, or for `max_depth` levels. Up to `max_held` distinct edges are held by every task,
+    which searches from its starts with no row of a pair written or shuffled; more are searched level by level.
     """
     a, b = ("target", "source") if reverse else ("source", "target")
     e = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct())
-    frontier = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).where(F.col("node").isNotNull()).distinct())
+    first = starts.select("node").where(F.col("node").isNotNull()).distinct()
+    if row_bound(e, max_held):
+        return _reach_held(first, e, max_depth)
+    frontier = cut(first.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")))
     levels, d = [frontier], 0
     while max_depth is None or d < max_depth:
         d += 1
@@ -166,6 +175,52 @@ def reachable(starts: DataFrame, edges: DataFrame, max_depth: int | None = None,
     return union(levels)
 
 
+def _reach_held(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """`reachable` over edges (node, next) that fit into memory: breadth first from 64 starts at a time, a bit for each."""
+    spark = starts.sparkSession
+    pairs = edges.toArrow()
+    names = pc.unique(pa.chunked_array([*pairs["node"].chunks, *pairs["next"].chunks], pa.string()).combine_chunks())
+    source, target = (pc.index_in(pairs[c], names).to_numpy().astype(np.int32) for c in ("node", "next"))
+    order = np.argsort(source, kind="stable")
+    held = spark.sparkContext.broadcast((names, np.concatenate([[0], np.cumsum(np.bincount(source, minlength=len(names)))]), target[order]))
+    columns = ["start", "node", "distance"]
+
+    def rows(start, node, distance: int):
+        return pa.RecordBatch.from_arrays([start.cast(pa.string()), node.cast(pa.string()), pa.array(np.full(len(start), distance, np.int32))], names=columns)
+
+    def search(batches):
+        names, begin, target = held.value
+        for batch in batches:
+            own = batch.column(0)
+            yield rows(own, own, 0)
+            ids = pc.index_in(own, names).drop_null().to_numpy()
+            for at in range(0, len(ids), 64):
+                block = ids[at : at + 64]
+                seen = np.zeros(len(names), np.uint64)
+                seen[block] = np.uint64(1) << np.arange(len(block), dtype=np.uint64)
+                nodes, bits, d = block, seen[block], 0
+                while len(nodes) and (max_depth is None or d < max_depth):
+                    d += 1
+                    n = begin[nodes + 1] - begin[nodes]
+                    to = target[np.repeat(begin[nodes] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                    if not len(to):
+                        break
+                    by = np.argsort(to, kind="stable")
+                    to, came = to[by], np.repeat(bits, n)[by]
+                    heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                    nodes, bits = to[heads], np.bitwise_or.reduceat(came, heads)
+                    bits &= ~seen[nodes]
+                    nodes, bits = nodes[bits != 0], bits[bits != 0]
+                    seen[nodes] |= bits
+                    for k in range(0, len(nodes), 4096):
+                        of = np.unpackbits(bits[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        which, bit = np.nonzero(of)
+                        yield rows(names.take(pa.array(block[bit])), names.take(pa.array(nodes[k : k + 4096][which])), d)
+
+    parts = 8 * spark.sparkContext.defaultParallelism
+    return starts.select("node").repartition(parts).mapInArrow(search, "start string, node string, distance int")
+
+
 def reaching(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """node: everything from which a target (node) can be reached, targets included; one row a node, whatever the starts."""
     e = cut(edges.select(F.col("target").alias("node"), F.col("source").alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct())

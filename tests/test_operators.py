@@ -352,3 +352,29 @@ def test_large_levels_without_caps_are_not_written(spark, monkeypatch):
             sizes = cut_sizes(m)
             assert found() == want
         assert max(sizes) <= max(30, len(pairs), 125 if pairs is loops else 0) and (pairs is loops or len(want[0]) >= 250)
+
+
+def test_reach_without_written_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    sparse = sorted({(f"n{rnd.randrange(150)}", f"n{rnd.randrange(150)}") for _ in range(190)})
+    ring = [(f"n{i}", f"n{(i + 1) % 150}") for i in range(150)]
+    starts = nodes(spark, "alone", *[f"n{i}" for i in range(150)])
+    for pairs, depth, back in ((sparse, None, False), (sparse, 3, True), (ring, None, False), (ring, 2, False), ([], None, False)):
+        e = edges(spark, pairs) if pairs else edges(spark, ring).limit(0)
+        with monkeypatch.context() as m:
+            sizes = cut_sizes(m)
+            got = sorted(map(tuple, G.reachable(starts, e, depth, back).collect()))
+        assert len(got) == len(set(got)) and max(sizes) <= len(pairs)
+        want, to = [], {}
+        for a, b in pairs:
+            to.setdefault(b if back else a, []).append(a if back else b)
+        for s in ["alone", *[f"n{i}" for i in range(150)]]:
+            seen, level, d = {s}, [s], 0
+            want.append((s, s, 0))
+            while level and (depth is None or d < depth):
+                d += 1
+                level = sorted({y for x in level for y in to.get(x, ())} - seen)
+                seen |= set(level)
+                want += [(s, x, d) for x in level]
+        assert got == sorted(want)
+    assert sorted(map(tuple, G.reachable(starts, edges(spark, sparse), 3, max_held=0).collect())) == sorted(map(tuple, G.reachable(starts, edges(spark, sparse), 3).collect()))
