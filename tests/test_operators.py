@@ -378,3 +378,19 @@ def test_reach_without_written_pairs(spark, monkeypatch):
                 want += [(s, x, d) for x in level]
         assert got == sorted(want)
     assert sorted(map(tuple, G.reachable(starts, edges(spark, sparse), 3, max_held=0).collect())) == sorted(map(tuple, G.reachable(starts, edges(spark, sparse), 3).collect()))
+
+
+def test_gaps_are_counted_without_ways(spark, monkeypatch):
+    rnd = random.Random(4)
+    loops = [(f"n{rnd.randrange(8)}", f"n{rnd.randrange(8)}") for _ in range(24)]
+    loops += [(f"r{i}", f"n{i % 3}") for i in range(6)] + loops[:4]
+    for pairs, depth in ((loops, 4), (loops, 1), (loops, 0), (loops, 2), (layers(5, 4), 4)):
+        starts, e = nodes(spark, "r", "r0", "r1", "r2", "n0", "n5", "alone"), edges(spark, pairs)
+        gaps = G.bounded_paths(starts, e, None, depth, None, None, guard=False)[1]
+        want = {r.gap: r["count"] for r in gaps.groupBy("gap").count().collect()}
+        with monkeypatch.context() as m:
+            m.setattr(G, "STREAM_ROWS", 30)
+            sizes = cut_sizes(m)
+            assert {r.gap: r.n for r in G.gap_counts(starts, e, depth).collect()} == want
+        assert max(sizes) <= len(pairs) + 7
+    assert G.gap_counts(nodes(spark, "a"), edges(spark, [("a", "b")]), 3).count() == 0
