@@ -261,15 +261,19 @@ def _reach_held(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> D
     return starts.select("node").repartition(parts).mapInArrow(search, "start string, node string, distance int")
 
 
-def reaching(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """node: everything from which a target (node) can be reached, targets included; one row a node, whatever the starts."""
+def reaching(targets: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node: everything from which a target (node) can be reached, in `max_depth` steps if given, targets included; one row
+    a node, whatever the starts."""
     e = cut(edges.select(F.col("target").alias("node"), F.col("source").alias("next")).where(F.col("node").isNotNull() & F.col("next").isNotNull()).distinct())
     frontier = cut(targets.select("node").where(F.col("node").isNotNull()).distinct())
-    seen = frontier
-    while frontier.limit(1).count():
-        frontier = cut(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(frontier).coalesce(64))
-    return seen
+    levels, d = [frontier], 0
+    while (max_depth is None or d < max_depth) and frontier.limit(1).count():
+        d += 1
+        frontier = cut(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(union(levels), "node", "left_anti"))
+        levels.append(frontier)
+        if len(levels) > 8:
+            levels = [cut(union(levels).coalesce(64))]
+    return union(levels)
 
 
 def bfs_tree(starts: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..operators import match as M
 from ..operators import rollup as A
 from ..schema import TIERS, tier_rank
-from ..tables import ensure_checkpoint_dir, latest, table
+from ..tables import BROADCAST_ROWS, cut, ensure_checkpoint_dir, latest, row_bound, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -852,8 +852,9 @@ def _sides(s, d) -> tuple[dict, dict]:
     m = E.current_manifest(table(s, d, "scan_manifest"))
     ends = m.groupBy("repo", "scan_root_relative_path").agg(F.min(F.struct("instant", "scan_id")).alias("b"), F.max(F.struct("instant", "scan_id")).alias("a"))
     ends = ends.select(F.concat_ws("|", "repo", "scan_root_relative_path").alias("series"), F.col("b.scan_id").alias("b"), F.col("a.scan_id").alias("a")).where(F.col("a") != F.col("b"))
-    facts, manifest = table(s, d, "facts"), table(s, d, "scan_manifest")
-    of = lambda df, x: df.join(ends.select("series", F.col(x).alias("scan_id")), "scan_id").withColumn("scan_id", F.col("series"))
+    facts, manifest, ends = table(s, d, "facts"), table(s, d, "scan_manifest"), cut(ends)
+    near = F.broadcast(ends) if row_bound(ends, BROADCAST_ROWS) else ends
+    of = lambda df, x: df.join(near.select("series", F.col(x).alias("scan_id")), "scan_id").withColumn("scan_id", F.col("series"))
     return tuple({"facts": of(facts, x), "scan_manifest": of(manifest, x)} for x in ("b", "a"))
 
 

@@ -135,3 +135,37 @@ def test_reverse_caps_each_root(spark):
     assert {r.root: r.n_paths for r in out["roots"].collect()} == {"Root.A": 2, "Root.B": 1}
     assert [r.gap for r in out["gaps"].collect()] == ["RootPathLimit"]
     assert {r.root: r.n_paths for r in C.reverse({"facts": spark.createDataFrame(rows, FACT)}, "sql-query", per_root=None)["roots"].collect()} == {"Root.A": 4, "Root.B": 1}
+
+
+def met_everywhere(n: int) -> list[tuple]:
+    """n calls of one route that n sources serve; in one of them the handler reads a table. A call without a symbol begins a way."""
+    http = lambda i, s, kind, a, b, props: (i, s, kind, "h.v1", "Tier1Semantic", a, b, None, f"{i}.cs", 1, 1, props, None)
+    rows = [http(f"c{i}", "s0", "HttpCallDetected", None if i else "App.Ask", None, '{"url":"/api/x","httpMethod":"GET"}') for i in range(n)]
+    rows += [http(f"r{i}", f"s{i}", "AspNetRouteDeclared", None, f"Web{i}.Get", '{"routes":"/api/x","httpMethod":"GET"}') for i in range(n)]
+    rows += [http("call", "s0", "CallEdge", "App.Main", "App.Ask", "{}"), http("deep", "s3", "CallEdge", "Web3.Get", "Data.Read", "{}")]
+    return [*rows, http("q", "s3", "SqlTextUsed", "Data.Read", None, '{"sql":"select 1 from t"}')]
+
+
+def written(monkeypatch) -> list[int]:
+    """The numbers of rows that commands and searches write from now on."""
+    from factloom.operators import graph as G
+
+    sizes, real = [], G.cut
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    monkeypatch.setattr(C, "cut", counted, raising=False)
+    return sizes
+
+
+def test_path_diff_forms_no_pairs_that_lead_nowhere(spark, monkeypatch):
+    rows = met_everywhere(12)
+    a, b = ({"facts": spark.createDataFrame(x, FACT)} for x in (rows, rows[:-1]))
+    told = lambda most: sorted(map(str, C.path_diff(a, b, max_paths=most, max_frontier=most)["rows"].drop("__rank").collect()))
+    want = told(100_000)
+    sizes = written(monkeypatch)
+    assert told(None) == want and len(want) == 11 and max(sizes) < 100
