@@ -169,3 +169,9 @@ def test_path_diff_forms_no_pairs_that_lead_nowhere(spark, monkeypatch):
     want = told(100_000)
     sizes = written(monkeypatch)
     assert told(None) == want and len(want) == 11 and max(sizes) < 100
+
+
+def test_context_of_sources_with_a_separator_in_their_id(spark):
+    a, b = ({"facts": spark.createDataFrame([(r[0], "o/r|src", *r[2:]) for r in rows], FACT)} for rows in (met_everywhere(2)[:-3], met_everywhere(2)[:-1]))
+    ctx = C.impact_context(b, a)["paths"]
+    assert {r.key for r in ctx.collect()} == {"edge|o/r|src|calls|App.Main|App.Ask"}
